@@ -1,0 +1 @@
+"""Empty on purpose: real-time processing is outside the feature set (see README)."""
