@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtrail.plans import graph  # noqa: F401
+from loomtrail.plans import exploration, graph  # noqa: F401
 from loomtrail.plans.registry import ORACLES, QUERIES, Query
 
 
