@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtrail.plans import business, exploration, graph, ingestion  # noqa: F401
+from loomtrail.plans import business, exploration, graph, ingestion, scalars  # noqa: F401
 from loomtrail.plans.registry import ORACLES, QUERIES, Query
 
 
