@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ class DirectlyFollowsGraph:
     nodes: DataFrame
     edges: DataFrame
 
+    def fetch(self) -> dict[str, list[Row]]:
+        """Rows of the three reports, run as concurrent jobs. For graphs bounded by the limits."""
+        reports = {"totals": self.totals, "nodes": self.nodes, "edges": self.edges}
+        with ThreadPoolExecutor(len(reports)) as pool:
+            return dict(zip(reports, pool.map(lambda df: df.collect(), reports.values())))
+
 
 def log_totals(log: DataFrame) -> DataFrame:
     return log.agg(
