@@ -1,9 +1,9 @@
 """Exact interpolated quantiles of whole numbers (milliseconds, counts), per group.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer that cannot
-spill. That is fine while the input fits one task. The split form works on a value histogram:
-it is aggregated before every shuffle, finds the few bins that hold the wanted ranks, and sorts
-only those bins, so that one group may hold most of the rows.
+spill. That is fine while the input fits one task. The split form counts values in coarse bins
+first, which combines before the shuffle, and then looks only at the few bins that hold the wanted
+ranks. One group, or one value, may hold most of the rows.
 """
 
 from __future__ import annotations
@@ -14,34 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task, stage
 
-_BIN_BITS = 10
+BINS_PER_OCTAVE = 128
 
 
-def value_bin(name: str) -> Column:
-    """Order-preserving bin of a bigint: exact below 1024, then 1024 bins per power of two."""
-    magnitude = f"abs({name})"
-    top = f"(length(bin({magnitude})) - 1)"
-    lead = f"(shiftright({magnitude}, greatest({top} - {_BIN_BITS}, 0)) & {(1 << _BIN_BITS) - 1})"
-    place = f"(CASE WHEN {top} < {_BIN_BITS} THEN {magnitude} ELSE {top} * {1 << _BIN_BITS} + {lead} END)"
-    return F.expr(f"CAST(CASE WHEN {name} < 0 THEN -{place} ELSE {place} END AS INT)")
+def value_bin(value: Column) -> Column:
+    """Order-preserving bin of a bigint: 128 bins per power of two (the logarithm is monotone)."""
+    place = F.floor(F.log2(F.abs(value) + F.lit(1.0)) * BINS_PER_OCTAVE).cast("int")
+    return F.when(value < 0, -place).otherwise(place)
 
 
-def histogram_quantiles(
-    hist: DataFrame,
+def split_quantiles(
+    rows: DataFrame,
     keys: Sequence[str],
     value: str,
-    weight: str,
     wanted: dict[str, float],
+    policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Exact quantiles from rows ``(keys, value, weight)``; one row per key."""
+    """Exact quantiles per key. ``rows`` is read twice, so it should be a table or staged."""
     keys = list(keys)
-    binned = hist.filter(F.col(value).isNotNull()).withColumn("_bin", value_bin(value))
+    binned = (
+        rows.filter(F.col(value).isNotNull())
+        .select(*keys, F.col(value).alias("_value"))
+        .withColumn("_bin", value_bin(F.col("_value")))
+    )
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bins = (
         binned.groupBy(*keys, "_bin")
-        .agg(F.sum(weight).alias("_rows"))
+        .agg(F.count("*").alias("_rows"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_rows").over(W.partitionBy(*keys)))
     )
@@ -57,17 +58,21 @@ def histogram_quantiles(
     for q in wanted:
         for rank in ranks(q):
             needed = needed | holds(rank, "_start", "_rows")
-    targets = bins.filter(needed).select(*keys, "_bin", "_start", "_total")
-
-    inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = binned.join(targets, [*keys, "_bin"]).withColumn(
-        "_first", F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    # At most two bins per key and quantile; staged so that its size is known before it is joined.
+    targets = stage(bins.filter(needed).select(*keys, "_bin", "_start", "_total"), "quantile-bins")
+
+    inside = W.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
+    placed = (
+        binned.join(broadcast_checked(targets, policy), [*keys, "_bin"])
+        .groupBy(*keys, "_bin", "_start", "_total", "_value")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     )
     picks = []
     for q in wanted:
         lo, hi = ranks(q)
-        picks.append(F.max(F.when(holds(lo, "_first", weight), F.col(value))).alias(f"_lo_{q}"))
-        picks.append(F.max(F.when(holds(hi, "_first", weight), F.col(value))).alias(f"_hi_{q}"))
+        picks.append(F.max(F.when(holds(lo, "_first", "_n"), F.col("_value"))).alias(f"_lo_{q}"))
+        picks.append(F.max(F.when(holds(hi, "_first", "_n"), F.col("_value"))).alias(f"_hi_{q}"))
     found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     return found.select(
         *keys,
@@ -93,9 +98,18 @@ def quantiles(
     value: str,
     wanted: dict[str, float],
     policy: ScalePolicy = DEFAULT_POLICY,
+    staged: bool = False,
 ) -> DataFrame:
-    """Exact quantiles per group, in the form the size of ``df`` asks for."""
+    """Exact quantiles per group, in the form the size of ``df`` asks for.
+
+    Pass ``staged`` when ``df`` is a table already, so that it is not written again.
+    """
     if fits_one_task(df, policy):
         return df.groupBy(*keys).agg(*percentile_columns(value, wanted))
-    hist = df.groupBy(*keys, value).agg(F.count("*").alias("_weight"))
-    return histogram_quantiles(hist, keys, value, "_weight", wanted)
+    rows = df if staged else stage(df.select(*keys, value), "quantile-values")
+    return split_quantiles(rows, keys, value, wanted, policy)
+
+
+def one_row(spread: DataFrame, wanted: dict[str, float]) -> Column:
+    """Ungrouped quantiles as a single struct value."""
+    return spread.select(F.struct(*wanted)).scalar()

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import quantiles
+from loomtrail.functions.quantiles import one_row, quantiles
 from loomtrail.functions.timing import millis_between, ratio
 from loomtrail.model import CASE_PAGE_SIZE, ORDER_KEYS
 from loomtrail.operators.dfg import case_total
 from loomtrail.operators.filters import in_range
 from loomtrail.operators.sequence import event_order, follow, order_value
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
 
 THROUGHPUT_QUANTILES = {"median_throughput_ms": 0.5, "p90_throughput_ms": 0.9}
 
@@ -104,19 +104,21 @@ def overview(
 ) -> DataFrame:
     """One row: cases, events, activities, median and p90 throughput, rework rate
     (and failure rate of events when ``failure`` is given). Quantiles are NULL on an empty log."""
-    per_case = case_summary(log)
+    per_case = case_summary(log).select("event_count", "throughput_ms", "has_rework")
+    if not fits_one_task(log, policy):
+        per_case = stage(per_case, "case-facts")
     figures = per_case.agg(
         F.count("*").alias("case_count"),
         F.coalesce(F.sum("event_count"), F.lit(0)).alias("event_count"),
         F.count_if("has_rework").alias("_rework"),
     )
-    spread = quantiles(per_case, [], "throughput_ms", THROUGHPUT_QUANTILES, policy)
+    spread = quantiles(per_case, [], "throughput_ms", THROUGHPUT_QUANTILES, policy, staged=True)
     n_activities = log.agg(F.count_distinct("activity").alias("n")).scalar()
-    row = figures.select(
+    row = figures.withColumn("_q", one_row(spread, THROUGHPUT_QUANTILES)).select(
         "case_count",
         "event_count",
         n_activities.alias("activity_count"),
-        *[spread.select(q).scalar().alias(q) for q in THROUGHPUT_QUANTILES],
+        *[F.col(f"_q.{q}") for q in THROUGHPUT_QUANTILES],
         ratio(F.col("_rework"), F.col("case_count")).alias("rework_rate"),
     )
     if failure is not None:
@@ -127,17 +129,20 @@ def overview(
 
 def throughput_statistics(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     per_case = case_bounds(log).select("throughput_ms")
+    if not fits_one_task(log, policy):
+        per_case = stage(per_case, "case-facts")
     wanted = {
         "median_throughput_ms": 0.5,
         "p75_throughput_ms": 0.75,
         "p90_throughput_ms": 0.9,
         "p95_throughput_ms": 0.95,
     }
-    spread = quantiles(per_case, [], "throughput_ms", wanted, policy)
-    return per_case.agg(
+    spread = quantiles(per_case, [], "throughput_ms", wanted, policy, staged=True)
+    row = per_case.agg(
         F.avg("throughput_ms").alias("avg_throughput_ms"),
         F.max("throughput_ms").alias("max_throughput_ms"),
-    ).select("*", *[spread.select(q).scalar().alias(q) for q in wanted])
+    )
+    return row.withColumn("_q", one_row(spread, wanted)).select(*row.columns, "_q.*")
 
 
 def slowest_cases(log: DataFrame, limit: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import histogram_quantiles, percentile_columns
+from loomtrail.functions.quantiles import percentile_columns, split_quantiles
 from loomtrail.functions.timing import ratio
 from loomtrail.model import MAX_EDGES, MAX_NODES, effective_limit
 from loomtrail.operators.sequence import transitions
@@ -63,22 +63,35 @@ def top_activities(log: DataFrame, max_nodes: int) -> DataFrame:
     )
 
 
-def edge_metrics(steps: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Count, cases and exact quantiles per (source, target); ``steps`` as ``transitions`` gives."""
-    pairs = steps.filter(F.col("target").isNotNull())
+def edge_metrics(
+    steps: DataFrame, policy: ScalePolicy = DEFAULT_POLICY, last_events: bool = False
+) -> DataFrame:
+    """Count, cases and exact quantiles per (source, target); ``steps`` as ``transitions`` gives
+    (staged, when large, because it is read more than once).
+
+    Cases are counted in a branch of their own: a distinct count next to quantiles would carry a
+    quantile buffer per case. ``last_events`` keeps the rows without a target.
+    """
+    pairs = steps if last_events else steps.filter(F.col("target").isNotNull())
+    counted = (
+        pairs.groupBy("case_id", "source", "target")
+        .agg(F.count("*").alias("_n"))
+        .groupBy("source", "target")
+        .agg(F.sum("_n").alias("transition_count"), F.count("*").alias("case_count"))
+    )
     if fits_one_task(steps, policy):
-        return pairs.groupBy("source", "target").agg(
-            F.count("*").alias("transition_count"),
-            F.count_distinct("case_id").alias("case_count"),
-            *percentile_columns("transition_ms", EDGE_QUANTILES),
+        spread = pairs.groupBy("source", "target").agg(
+            *percentile_columns("transition_ms", EDGE_QUANTILES)
         )
-    counts = pairs.groupBy("source", "target").agg(
-        F.count("*").alias("transition_count"),
-        F.count_distinct("case_id").alias("case_count"),
-    )
-    hist = pairs.groupBy("source", "target", "transition_ms").agg(F.count("*").alias("_weight"))
-    spread = histogram_quantiles(hist, ["source", "target"], "transition_ms", "_weight", EDGE_QUANTILES)
-    return counts.join(spread, ["source", "target"])
+        # Not larger than the input, which fits one task.
+        spread = F.broadcast(spread)
+    else:
+        spread = split_quantiles(pairs, ["source", "target"], "transition_ms", EDGE_QUANTILES, policy)
+    if not last_events:
+        return counted.join(spread, ["source", "target"])
+    spread = spread.withColumnsRenamed({"source": "_s", "target": "_t"})
+    same = (F.col("source") == F.col("_s")) & F.col("target").eqNullSafe(F.col("_t"))
+    return counted.join(spread, same, "left").drop("_s", "_t")
 
 
 def dfg_edges(
@@ -91,23 +104,18 @@ def dfg_edges(
     steps = transitions(log, policy)
     if fits_one_task(log, policy):
         # Every case has exactly one last event, so the same pass also yields the case total.
-        grouped = steps.groupBy("source", "target").agg(
-            F.count("*").alias("transition_count"),
-            F.count_distinct("case_id").alias("case_count"),
-            *percentile_columns("transition_ms", EDGE_QUANTILES),
-        )
         ends = F.sum(F.when(F.col("target").isNull(), F.col("transition_count")))
-        edges = grouped.withColumn("_cases", ends.over(W.partitionBy())).filter(
-            F.col("target").isNotNull()
+        edges = edge_metrics(steps, policy, last_events=True).withColumn(
+            "_cases", ends.over(W.partitionBy())
         )
+        edges = edges.filter(F.col("target").isNotNull())
         edges = edges.withColumn("case_share", ratio(F.col("case_count"), F.col("_cases")))
     else:
         steps = stage(
             steps.select("case_id", "source", "target", "transition_ms"), "transitions"
         )
-        edges = edge_metrics(steps, policy).withColumn(
-            "case_share", ratio(F.col("case_count"), case_total(log))
-        )
+        last = steps.filter(F.col("target").isNull()).agg(F.count("*").alias("n")).scalar()
+        edges = edge_metrics(steps, policy).withColumn("case_share", ratio(F.col("case_count"), last))
     if max_nodes is not None:
         # The limit itself bounds this broadcast.
         visible = F.broadcast(top_activities(log, effective_limit(max_nodes, MAX_NODES)))

@@ -8,11 +8,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import quantiles
+from loomtrail.functions.quantiles import one_row, quantiles
 from loomtrail.functions.text import blank_to_null, whole_number
 from loomtrail.functions.timing import ratio
 from loomtrail.model import LARGE_CASE_EVENTS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
 
 CASE_SIZE_QUANTILES = {"events_per_case_median": 0.5, "events_per_case_p90": 0.9}
 
@@ -55,8 +55,10 @@ def quality_report(
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """One row. Distinct counts come from per-key groupings, so no row is expanded."""
-    sizes = valid_case_sizes(validated)
-    spread = quantiles(sizes, [], "event_count", CASE_SIZE_QUANTILES, policy)
+    sizes = valid_case_sizes(validated).select("event_count", "ambiguous")
+    if not fits_one_task(validated, policy):
+        sizes = stage(sizes, "case-sizes")
+    spread = quantiles(sizes, [], "event_count", CASE_SIZE_QUANTILES, policy, staged=True)
     activities = validated.filter("is_valid").agg(
         F.count_distinct(F.trim("activity_value")).alias("n")
     )
@@ -75,14 +77,14 @@ def quality_report(
         F.count_if("is_valid").alias("valid_events"),
         F.count_if(~F.col("is_valid")).alias("invalid_events"),
         *[F.count_if(flag).alias(name) for flag, name in FLAG_COUNTS.items()],
-    ).withColumn("_c", per_case.scalar())
+    ).withColumns({"_c": per_case.scalar(), "_q": one_row(spread, CASE_SIZE_QUANTILES)})
     report = rows.select(
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(mapping_version).alias("mapping_version"),
-        *[c for c in rows.columns if c != "_c"],
+        *[c for c in rows.columns if c not in ("_c", "_q")],
         F.col("_c.*"),
         activities.scalar().alias("unique_activities"),
-        *[F.coalesce(spread.select(q).scalar(), F.lit(0.0)).alias(q) for q in CASE_SIZE_QUANTILES],
+        *[F.coalesce(F.col(f"_q.{q}"), F.lit(0.0)).alias(q) for q in CASE_SIZE_QUANTILES],
     )
     return report.select("*", technical_outcome().alias("outcome"), semantic_outcome().alias("semantic_quality"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import histogram_quantiles, percentile_columns
+from loomtrail.functions.quantiles import percentile_columns, split_quantiles
 from loomtrail.functions.text import blank_to_null, whole_number
 from loomtrail.functions.timestamps import parse_local
 from loomtrail.functions.timing import millis_between, ratio
@@ -33,10 +33,9 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*percentile_columns("l_partkey", _QUANTILES))
 
 
-@query("X02_interpolated_quantiles_by_histogram", _X02)
+@query("X02_interpolated_quantiles_by_bins", _X02)
 def _(spark, d):
-    hist = table(spark, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("n"))
-    return histogram_quantiles(hist, ["l_returnflag"], "l_partkey", "n", _QUANTILES)
+    return split_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_partkey", _QUANTILES)
 
 
 @query(
