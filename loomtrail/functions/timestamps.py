@@ -1,4 +1,4 @@
-"""Tolerant timestamp parsing and UTC normalization of text."""
+"""Tolerant timestamp parsing and UTC normalization of text. Sessions run with time zone UTC."""
 
 from __future__ import annotations
 
@@ -30,7 +30,9 @@ _DIGIT_FIELDS = {"%Y", "%y", "%m", "%d", "%H", "%I", "%M", "%S", "%f", "%j"}
 # A date must lead the text; otherwise Spark would accept a bare year.
 DATE_SHAPE = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 # A zone ends the text: an offset after a time of day, a Z, or an Area/City name.
-AWARE_SHAPE = r"(?i)((:\d{2}(\.\d+)?|[T ]\d{1,2})\s*[+-]\d{2}:?\d{2}|Z|[A-Z_]+/[A-Z_]+)$"
+OFFSET_TAIL = r"[+-]\d{2}:?\d{2}$"
+TIMED_OFFSET = r"(:\d{2}(\.\d+)?|[Tt ]\d{1,2})\s*[+-]\d{2}:?\d{2}$"
+ZONE_NAME = r"[A-Za-z_]+/[A-Za-z_]+$"
 
 
 def spark_pattern(fmt: str) -> str:
@@ -62,35 +64,41 @@ def spark_pattern(fmt: str) -> str:
     return f"{pattern}'{literal}'" if literal else pattern
 
 
+def _dashed(text: Column) -> Column:
+    """Dates written with slashes, in the form the cast reads."""
+    slashed = r"^(\s*\d{4})/(\d{1,2})/(\d{1,2})"
+    return F.when(text.contains("/"), F.regexp_replace(text, slashed, "$1-$2-$3")).otherwise(text)
+
+
 def parse_local(text: Column, fmt: str | None = None) -> Column:
     """Timestamp as written, without a zone; NULL when it cannot be read."""
     if fmt is not None:
         return F.try_to_timestamp(text, F.lit(spark_pattern(fmt))).cast("timestamp_ntz")
-    dashed = F.regexp_replace(text, r"^(\s*\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.when(text.rlike(DATE_SHAPE), dashed.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(DATE_SHAPE), _dashed(text).try_cast("timestamp_ntz"))
 
 
 def is_aware(text: Column) -> Column:
-    """Does the text carry its own zone?"""
-    return F.trim(text).rlike(AWARE_SHAPE)
+    """Does the text carry its own zone? Short tests come first, so that most rows stop early."""
+    trimmed = F.trim(text)
+    offset = F.right(trimmed, F.lit(6)).rlike(OFFSET_TAIL) & trimmed.rlike(TIMED_OFFSET)
+    named = trimmed.contains("/") & trimmed.rlike(ZONE_NAME)
+    return trimmed.endswith("Z") | trimmed.endswith("z") | offset | named
 
 
 def parse_utc(text: Column, source_timezone: str, fmt: str | None = None) -> Column:
     """UTC fields: a zone in the text wins, other values are read in the source zone."""
     if fmt is None:
-        dashed = F.regexp_replace(text, r"^(\s*\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-        instant = F.when(text.rlike(DATE_SHAPE), dashed.try_cast("timestamp"))
+        instant = F.when(text.rlike(DATE_SHAPE), _dashed(text).try_cast("timestamp"))
     else:
         instant = F.try_to_timestamp(text, F.lit(spark_pattern(fmt)))
     local = parse_local(text, fmt)
-    return F.when(is_aware(text), instant.cast("timestamp_ntz")).otherwise(
-        F.convert_timezone(F.lit(source_timezone), F.lit("UTC"), local)
-    )
+    shifted = F.to_utc_timestamp(local.cast("timestamp"), source_timezone)
+    return F.when(is_aware(text), instant).otherwise(shifted).cast("timestamp_ntz")
 
 
 def in_zone(utc: Column, zone: str) -> Column:
     """Display text of a UTC timestamp in another zone."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    local = F.from_utc_timestamp(utc.cast("timestamp"), zone)
     return F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.when(utc.isNotNull(), F.lit(zone)))
 
 
