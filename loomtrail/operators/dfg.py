@@ -13,7 +13,7 @@ from loomtrail.functions.quantiles import percentile_columns, split_quantiles
 from loomtrail.functions.timing import ratio
 from loomtrail.model import MAX_EDGES, MAX_NODES, effective_limit
 from loomtrail.operators.sequence import transitions
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task, stage
 
 EDGE_QUANTILES = {"median_transition_ms": 0.5, "p90_transition_ms": 0.9}
 
@@ -117,8 +117,8 @@ def dfg_edges(
         last = steps.filter(F.col("target").isNull()).agg(F.count("*").alias("n")).scalar()
         edges = edge_metrics(steps, policy).withColumn("case_share", ratio(F.col("case_count"), last))
     if max_nodes is not None:
-        # The limit itself bounds this broadcast.
-        visible = F.broadcast(top_activities(log, effective_limit(max_nodes, MAX_NODES)))
+        # The limit bounds this side.
+        visible = broadcast_checked(top_activities(log, effective_limit(max_nodes, MAX_NODES)), policy)
         for end in ("source", "target"):
             edges = edges.join(visible.withColumnRenamed("activity", end), end, "left_semi")
     edges = edges.select(

@@ -143,8 +143,8 @@ def variants_top(log: DataFrame, limit: int = MAX_VARIANTS, policy: ScalePolicy
         .orderBy(F.desc("case_count"), "variant_hash")
         .limit(limit)
     )
-    # The limit bounds this broadcast.
-    chosen = F.broadcast(top.select(F.col("representative_case_id").alias("case_id")))
+    # The limit bounds this side.
+    chosen = broadcast_checked(top.select(F.col("representative_case_id").alias("case_id")), policy)
     texts = case_sequences(log.join(chosen, "case_id", "left_semi"))
     return (
         top.withColumnRenamed("representative_case_id", "case_id")
@@ -161,7 +161,9 @@ def variant_steps(log: DataFrame, limit: int = MAX_VARIANTS, policy: ScalePolicy
         .orderBy(F.desc("case_count"), "variant_hash")
         .limit(limit)
     )
-    chosen = F.broadcast(top.select("variant_hash", F.col("representative_case_id").alias("case_id")))
+    chosen = broadcast_checked(
+        top.select("variant_hash", F.col("representative_case_id").alias("case_id")), policy
+    )
     steps = follow(log.join(chosen, "case_id", "left_semi"), policy, position=True)
     return steps.join(chosen, "case_id").select(
         "variant_hash", F.col("event_position").alias("step"), "activity"

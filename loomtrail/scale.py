@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ScalePolicy:
-    """Bounds that decide between the short and the split form of an operator."""
+    """Bounds that decide between the short and the split form of an operator.
 
-    whole_bytes: int = 64 << 20
+    ``whole_bytes`` is compared with file sizes, which are compressed: it is kept far below what a
+    task can sort or gather, so that ten times as many bytes in memory still fit.
+    """
+
+    whole_bytes: int = 32 << 20
     max_group_rows: int = 2_000_000
     broadcast_bytes: int = 64 << 20
     mode: str = "auto"

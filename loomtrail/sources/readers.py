@@ -31,7 +31,11 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 
 
 def read_csv_gz(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Gzip CSV. One file is one task while reading, so rows are spread right after the scan."""
+    """Gzip CSV. One file is one task while reading, so rows are spread right after the scan.
+
+    Spreading loses file order. To number rows, give ``read_csv`` of the same path to
+    ``number_rows``: its staged copy can be split again.
+    """
     n = partitions or spark.sparkContext.defaultParallelism
     return read_csv(spark, path).repartition(n)
 
