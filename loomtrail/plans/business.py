@@ -12,7 +12,7 @@ from loomtrail.operators import caserules, compare, mapping, versions
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.operators.filters import filter_signature, in_range
 from loomtrail.plans.dirty import BINDING, CHECKED, DATASET, KEY
-from loomtrail.plans.exploration import IS_FAILED, JAN_20
+from loomtrail.plans.exploration import JAN_20, is_failed
 from loomtrail.plans.ingestion import _hmac_sql, _normalized
 from loomtrail.plans.logs import CASES, DAY_LOG, EDGE_COLUMNS, EDGES, STEPS, TRACES, USER_LOG, day_log, user_log
 from loomtrail.plans.registry import query, table, ts_text
@@ -617,7 +617,7 @@ SELECT variant_hash, count(*) AS case_count, round(count(*) / (SELECT CAST(count
 )
 def _(spark, d):
     log = in_range(day_log(spark, d), None, JAN_20)
-    return compare.variant_aggregate(log, SIGNATURE, IS_FAILED).drop("representative_case_id", "avg_event_count")
+    return compare.variant_aggregate(log, SIGNATURE, is_failed()).drop("representative_case_id", "avg_event_count")
 
 
 @query(

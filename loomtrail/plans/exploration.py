@@ -18,12 +18,15 @@ from loomtrail.plans.registry import query, ts_text
 from loomtrail.scale import ScalePolicy
 
 JAN_5, JAN_20 = datetime(2024, 1, 5), datetime(2024, 1, 20)
-IS_FAILED = F.col("result_code") == FAILED
 SMALL_PIECES = ScalePolicy(mode="split", max_group_rows=5)
 
 _EVENT = f"event_id, case_id, activity, {ts_text('event_ts')} AS event_ts"
 
 
+def is_failed():
+    return F.col("result_code") == FAILED
+
+
 def _event(df):
     return df.select("event_id", "case_id", "activity", "event_ts")
 
@@ -186,7 +189,7 @@ SELECT count(*) AS case_count, CAST(sum(n) AS BIGINT) AS event_count,
   (SELECT round(count_if(result_code = 'FAILED') / CAST(count(*) AS DOUBLE), 6) FROM log) AS failure_rate FROM cases""",
 )
 def _(spark, d):
-    return cases.overview(user_log(spark, d), failure=IS_FAILED)
+    return cases.overview(user_log(spark, d), failure=is_failed())
 
 
 _THROUGHPUT = f"""WITH {ORDER_LOG}, {CASES}
@@ -342,7 +345,7 @@ def _(spark, d):
 FROM steps WHERE result_code = 'FAILED' AND target IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, d):
-    return cases.after_failure(user_log(spark, d), IS_FAILED)
+    return cases.after_failure(user_log(spark, d), is_failed())
 
 
 _BY_OUTCOME = f"""WITH {DAY_LOG}, outcome AS (
@@ -355,12 +358,12 @@ FROM outcome GROUP BY failed"""
 
 @query("M07_throughput_by_outcome", _BY_OUTCOME)
 def _(spark, d):
-    return cases.throughput_by_outcome(day_log(spark, d), IS_FAILED)
+    return cases.throughput_by_outcome(day_log(spark, d), is_failed())
 
 
 @query("M07_throughput_by_outcome_split", _BY_OUTCOME)
 def _(spark, d):
-    return cases.throughput_by_outcome(day_log(spark, d), IS_FAILED, SPLIT)
+    return cases.throughput_by_outcome(day_log(spark, d), is_failed(), SPLIT)
 
 
 @query(
@@ -370,7 +373,7 @@ SELECT variant_hash, count_if(failed) AS failed_cases, count_if(NOT failed) AS s
 FROM traces JOIN outcome USING (case_id) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100""",
 )
 def _(spark, d):
-    return variants.variants_by_outcome(day_log(spark, d), IS_FAILED)
+    return variants.variants_by_outcome(day_log(spark, d), is_failed())
 
 
 @query(
@@ -405,12 +408,12 @@ FROM traces JOIN outcome USING (case_id)"""
 
 @query("A11_case_traces", _CASE_TRACES)
 def _(spark, d):
-    return variants.case_traces(day_log(spark, d), IS_FAILED)
+    return variants.case_traces(day_log(spark, d), is_failed())
 
 
 @query("A11_case_traces_split", _CASE_TRACES)
 def _(spark, d):
-    return variants.case_traces(day_log(spark, d), IS_FAILED, SMALL_PIECES)
+    return variants.case_traces(day_log(spark, d), is_failed(), SMALL_PIECES)
 
 
 @query("A11_case_sequences", f"WITH {ORDER_LOG}, {TRACES} SELECT case_id, seq AS variant_sequence FROM traces")
@@ -439,12 +442,12 @@ FROM traces JOIN outcome USING (case_id) GROUP BY 1)"""
 
 @query("M03_variant_summary", f"{_VARIANT_SUMMARY} FROM summary")
 def _(spark, d):
-    return variants.variant_summary(day_log(spark, d), IS_FAILED)
+    return variants.variant_summary(day_log(spark, d), is_failed())
 
 
 @query("M03_variant_summary_split", f"{_VARIANT_SUMMARY} FROM summary")
 def _(spark, d):
-    return variants.variant_summary(day_log(spark, d), IS_FAILED, SMALL_PIECES)
+    return variants.variant_summary(day_log(spark, d), is_failed(), SMALL_PIECES)
 
 
 @query(
@@ -453,7 +456,7 @@ def _(spark, d):
 FROM summary ORDER BY rank LIMIT 100""",
 )
 def _(spark, d):
-    return variants.ranked_variants(day_log(spark, d), failure=IS_FAILED)
+    return variants.ranked_variants(day_log(spark, d), failure=is_failed())
 
 
 _COVERAGE = f"""WITH {DAY_LOG}, {TRACES}, counted AS (SELECT variant_hash, count(*) AS case_count FROM traces GROUP BY 1),
