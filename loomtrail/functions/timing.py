@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def moment(value: datetime) -> Column:
+    """A zone-free literal holding UTC fields; independent of the time zone of the Python process."""
+    if value.tzinfo is not None:
+        value = value.astimezone(UTC).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.functions.privacy import hmac_token
 from loomtrail.functions.text import blank_to_null
+from loomtrail.functions.timing import moment
 
 
 @dataclass(frozen=True)
@@ -47,9 +48,9 @@ def _rule_value(rule: CaseRule) -> Column:
         raise ValueError(f"unknown rule kind {rule.kind!r}")
     ts = F.col("event_ts")
     if rule.valid_from is not None:
-        value = F.when(ts >= F.lit(rule.valid_from).cast("timestamp_ntz"), value)
+        value = F.when(ts >= moment(rule.valid_from), value)
     if rule.valid_to is not None:
-        value = F.when(ts < F.lit(rule.valid_to).cast("timestamp_ntz"), value)
+        value = F.when(ts < moment(rule.valid_to), value)
     return value
 
 

@@ -8,15 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrail.functions.timing import moment
 from loomtrail.model import EventFilter
 
 
 def in_range(log: DataFrame, date_from: datetime | None = None, date_to: datetime | None = None) -> DataFrame:
     """Half-open range ``[date_from, date_to)`` on the event time."""
     if date_from is not None:
-        log = log.filter(F.col("event_ts") >= F.lit(date_from).cast("timestamp_ntz"))
+        log = log.filter(F.col("event_ts") >= moment(date_from))
     if date_to is not None:
-        log = log.filter(F.col("event_ts") < F.lit(date_to).cast("timestamp_ntz"))
+        log = log.filter(F.col("event_ts") < moment(date_to))
     return log
 
 

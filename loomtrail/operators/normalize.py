@@ -35,6 +35,7 @@ FAILURES = (
     ("invalid_timestamp", "INVALID_TIMESTAMP"),
     ("duplicate_event", "DUPLICATE_EVENT"),
 )
+# Fixed value: the only reason text a rejected row carries.
 FAILURE_REASON = "Technical event-log validation failed"
 
 

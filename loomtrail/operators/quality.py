@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.functions.quantiles import one_row, quantiles
 from loomtrail.functions.text import blank_to_null, whole_number
-from loomtrail.functions.timing import ratio
+from loomtrail.functions.timing import moment, ratio
 from loomtrail.model import LARGE_CASE_EVENTS
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
 
@@ -156,7 +156,7 @@ def load_metrics(
     """Per-load rates over rows that may lack a case or a time: one row, one scan plus one
     grouping by case."""
     ts = F.col("event_ts")
-    outlier = (ts < F.lit(earliest).cast("timestamp_ntz")) | (ts >= F.lit(latest).cast("timestamp_ntz"))
+    outlier = (ts < moment(earliest)) | (ts >= moment(latest))
     cases = (
         events.filter(F.col("case_id").isNotNull())
         .groupBy("case_id")
@@ -201,8 +201,8 @@ def timestamp_quality(
     counts = flagged.agg(
         F.count("*").alias("total_rows"),
         F.count_if("invalid_timestamp").alias("parse_failures"),
-        F.count_if(ts >= F.lit(latest).cast("timestamp_ntz")).alias("future_outliers"),
-        F.count_if(ts < F.lit(earliest).cast("timestamp_ntz")).alias("old_outliers"),
+        F.count_if(ts >= moment(latest)).alias("future_outliers"),
+        F.count_if(ts < moment(earliest)).alias("old_outliers"),
         F.count_if(ts.isNotNull() & aware).alias("zoned_rows"),
         F.count_if(ts.isNotNull() & ~aware).alias("unzoned_rows"),
     )

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from loomtrail.functions import privacy
+from loomtrail.functions.timing import moment
 from loomtrail.model import EventFilter, UnmappedPolicy
 from loomtrail.operators import caserules, compare, mapping, versions
 from loomtrail.operators.dfg import dfg_edges
@@ -180,7 +181,7 @@ def _rules(spark, d):
         none.alias("source_system"), none.alias("class_pattern"),
         F.concat(F.lit("^"), "source_method", F.lit("$")).alias("method_pattern"), none.alias("module_pattern"),
         F.substring("source_method", 3, 50).alias("activity_name"), F.lit("Base").alias("activity_group"),
-        ts.alias("valid_from"), F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz").alias("valid_to"),
+        ts.alias("valid_from"), moment(datetime(2024, 1, 20)).alias("valid_to"),
         (F.col("source_method") != "doError").alias("enabled"),
     )
     pairs = (

@@ -18,7 +18,7 @@ from loomtrail.plans.registry import query, ts_text
 from loomtrail.scale import ScalePolicy
 
 JAN_5, JAN_20 = datetime(2024, 1, 5), datetime(2024, 1, 20)
-SMALL_PIECES = ScalePolicy(mode="split", max_group_rows=5)
+SMALL_PIECES = ScalePolicy(mode="split", max_group_rows=7)
 
 _EVENT = f"event_id, case_id, activity, {ts_text('event_ts')} AS event_ts"
 
@@ -524,7 +524,7 @@ def _(spark, d):
 @query("M10_ordered_path_split", _ORDERED_PATH)
 def _(spark, d):
     return paths.cases_with_ordered_path(
-        day_log(spark, d), ["signup", "click", "view"], ScalePolicy(mode="split", max_group_rows=2)
+        day_log(spark, d), ["signup", "click", "view"], ScalePolicy(mode="split", max_group_rows=4)
     )
 
 

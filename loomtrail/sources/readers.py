@@ -5,14 +5,18 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
+# Fixed value: rows looked at to infer the types of a text source.
+TYPE_SAMPLE_ROWS = 20_480
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low ones
 
 
@@ -70,21 +74,56 @@ def check_header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def detect_schema(spark: SparkSession, path: str, file_type: str, sampling_ratio: float = 1.0) -> DataFrame:
-    """Inferred type per column: ``ordinal_position, column_name, inferred_type``."""
-    if file_type == "PARQUET":
-        fields = spark.read.parquet(path).schema.fields
-    else:
-        check_header(spark, path)
-        fields = (
-            spark.read.option("header", True)
-            .option("escape", '"')
-            .option("inferSchema", True)
-            .option("samplingRatio", sampling_ratio)
-            .option("preferDate", False)
-            .csv(path)
-            .schema.fields
+def _type_tests(text: Column) -> list[tuple[str, Column]]:
+    """Types from narrow to wide, each with a value that is NULL where the text does not fit it."""
+    return [
+        ("boolean", F.when(F.lower(F.trim(text)).isin("true", "false"), True)),
+        ("int", text.try_cast("int")),
+        ("bigint", text.try_cast("bigint")),
+        ("double", text.try_cast("double")),
+        ("date", F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), text.try_cast("date"))),
+        ("timestamp", F.when(text.rlike(DATE_SHAPE), text.try_cast("timestamp"))),
+    ]
+
+
+def infer_types(rows: DataFrame, sample_rows: int = TYPE_SAMPLE_ROWS) -> DataFrame:
+    """Narrowest type per text column that fits every value of the first rows; ``string`` if none.
+
+    The limit ends the scan early, so the cost does not grow with the source.
+    """
+    names = rows.columns
+    counts = rows.limit(sample_rows).agg(
+        *[
+            F.struct(
+                F.count(F.col(f"`{c}`")).alias("n"),
+                *[F.count(fits).alias(kind) for kind, fits in _type_tests(F.col(f"`{c}`"))],
+            ).alias(f"c{i}")
+            for i, c in enumerate(names)
+        ]
+    )
+
+    def narrowest(i: int) -> Column:
+        n = F.col(f"c{i}.n")
+        kinds = [kind for kind, _ in _type_tests(F.lit(None).cast("string"))]
+        chosen = [F.when((n > 0) & (F.col(f"c{i}.{k}") == n), k) for k in kinds]
+        return F.coalesce(*chosen, F.lit("string"))
+
+    rows_out = [
+        F.struct(
+            F.lit(i + 1).alias("ordinal_position"),
+            F.lit(c).alias("column_name"),
+            narrowest(i).alias("inferred_type"),
         )
+        for i, c in enumerate(names)
+    ]
+    return counts.select(F.inline(F.array(*rows_out)))
+
+
+def detect_schema(spark: SparkSession, path: str, file_type: str) -> DataFrame:
+    """Type per column: ``ordinal_position, column_name, inferred_type``. Parquet states its types."""
+    if file_type != "PARQUET":
+        return infer_types(read_csv(spark, path))
+    fields = spark.read.parquet(path).schema.fields
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields, 1)]
     return spark.createDataFrame(rows, "ordinal_position int, column_name string, inferred_type string")
 

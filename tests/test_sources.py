@@ -56,6 +56,12 @@ def test_row_numbers_are_contiguous(spark, tmp_path):
 def test_schema_detection_and_header(spark, csv_file, tmp_path):
     types = {r.column_name: r.inferred_type for r in readers.detect_schema(spark, csv_file, "CSV").collect()}
     assert types["event_ts"] == "timestamp" and types["source_sequence"] == "int" and len(types) == 5
+    mixed = spark.createDataFrame(
+        [("1", "5000000000", "1.5", "true", "2026-01-01", None, "1"), (" 7", "1", "2", "False", "2026-01-02", None, "x")],
+        "i string, l string, d string, b string, day string, none string, s string",
+    )
+    found = [r.inferred_type for r in readers.infer_types(mixed).orderBy("ordinal_position").collect()]
+    assert found == ["int", "bigint", "double", "boolean", "date", "string", "string"]
     twice = tmp_path / "twice.csv"
     twice.write_text("a,b,a\n1,2,3\n")
     with pytest.raises(ValueError):
