@@ -10,6 +10,14 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+# Decimal or exponent form. Testing it first spares the cast of other text, which fails slowly.
+NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def decimal_number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+
+
 def whole_number(text: Column) -> Column:
     """Tolerant bigint: whole text exactly, otherwise a decimal or exponent form rounded."""
-    return F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), F.round(decimal_number(text)).try_cast("bigint"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtrail.functions.text import decimal_number
 from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
@@ -80,7 +81,7 @@ def _type_tests(text: Column) -> list[tuple[str, Column]]:
         ("boolean", F.when(F.lower(F.trim(text)).isin("true", "false"), True)),
         ("int", text.try_cast("int")),
         ("bigint", text.try_cast("bigint")),
-        ("double", text.try_cast("double")),
+        ("double", decimal_number(text)),
         ("date", F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), text.try_cast("date"))),
         ("timestamp", F.when(text.rlike(DATE_SHAPE), text.try_cast("timestamp"))),
     ]

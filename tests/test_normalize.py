@@ -208,3 +208,11 @@ def test_failed_publication_keeps_the_old_version(spark, tmp_path):
     assert [r.version for r in writers.publications(spark, root, "ds").collect()] == [1]
     assert readers.normalized_source(spark, root + "/ds/events/v=1", "ds", 1).events.count() == 10
     assert writers.current_events(spark, root, "ds").count() == 10
+
+
+def test_whole_numbers(spark):
+    from loomtrail.functions.text import whole_number
+
+    texts = {"7": 7, " 7 ": 7, "+5": 5, "1.6": 2, "2.5": 3, "-2.5": -3, "1e3": 1000, "x1": None, "": None, "n/a": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", whole_number(F.col("t")).alias("n")).collect()} == texts
