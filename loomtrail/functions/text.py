@@ -10,7 +10,8 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-# Decimal or exponent form. Testing it first spares the cast of other text, which fails slowly.
+# Whole, and decimal or exponent form. Testing the shape first spares casts that fail slowly.
+WHOLE_SHAPE = r"^\s*[+-]?\d+\s*$"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -18,6 +19,10 @@ def decimal_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
+def plain_integer(text: Column) -> Column:
+    return F.when(text.rlike(WHOLE_SHAPE), text.try_cast("bigint"))
+
+
 def whole_number(text: Column) -> Column:
     """Tolerant bigint: whole text exactly, otherwise a decimal or exponent form rounded."""
-    return F.coalesce(text.try_cast("bigint"), F.round(decimal_number(text)).try_cast("bigint"))
+    return F.coalesce(plain_integer(text), F.round(decimal_number(text)).try_cast("bigint"))

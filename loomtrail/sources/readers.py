@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrail.functions.text import decimal_number
+from loomtrail.functions.text import decimal_number, plain_integer
 from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
@@ -77,10 +77,11 @@ def check_header(spark: SparkSession, path: str) -> list[str]:
 
 def _type_tests(text: Column) -> list[tuple[str, Column]]:
     """Types from narrow to wide, each with a value that is NULL where the text does not fit it."""
+    whole = plain_integer(text)
     return [
         ("boolean", F.when(F.lower(F.trim(text)).isin("true", "false"), True)),
-        ("int", text.try_cast("int")),
-        ("bigint", text.try_cast("bigint")),
+        ("int", F.when(whole.between(-(1 << 31), (1 << 31) - 1), whole)),
+        ("bigint", whole),
         ("double", decimal_number(text)),
         ("date", F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$"), text.try_cast("date"))),
         ("timestamp", F.when(text.rlike(DATE_SHAPE), text.try_cast("timestamp"))),
@@ -90,34 +91,26 @@ def _type_tests(text: Column) -> list[tuple[str, Column]]:
 def infer_types(rows: DataFrame, sample_rows: int = TYPE_SAMPLE_ROWS) -> DataFrame:
     """Narrowest type per text column that fits every value of the first rows; ``string`` if none.
 
-    The limit ends the scan early, so the cost does not grow with the source.
+    The limit ends the scan early, so the cost does not grow with the source. Values are turned
+    into rows, so that the generated code stays small for wide sources.
     """
     names = rows.columns
-    counts = rows.limit(sample_rows).agg(
-        *[
-            F.struct(
-                F.count(F.col(f"`{c}`")).alias("n"),
-                *[F.count(fits).alias(kind) for kind, fits in _type_tests(F.col(f"`{c}`"))],
-            ).alias(f"c{i}")
-            for i, c in enumerate(names)
-        ]
+    cells = rows.limit(sample_rows).select(
+        F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "text")
+    )
+    tests = _type_tests(F.col("text"))
+    counts = cells.groupBy("at").agg(
+        F.count("text").alias("n"), *[F.count(fits).alias(kind) for kind, fits in tests]
+    )
+    fitting = [F.when((F.col("n") > 0) & (F.col(kind) == F.col("n")), kind) for kind, _ in tests]
+    # One row per column of the source; an empty source still names its columns.
+    listed = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("column_name")) for i, c in enumerate(names)])
+    columns = rows.sparkSession.range(1).select(F.inline(listed))
+    return columns.join(counts, "at", "left").select(
+        (F.col("at") + 1).alias("ordinal_position"),
+        "column_name",
+        F.coalesce(*fitting, F.lit("string")).alias("inferred_type"),
     )
-
-    def narrowest(i: int) -> Column:
-        n = F.col(f"c{i}.n")
-        kinds = [kind for kind, _ in _type_tests(F.lit(None).cast("string"))]
-        chosen = [F.when((n > 0) & (F.col(f"c{i}.{k}") == n), k) for k in kinds]
-        return F.coalesce(*chosen, F.lit("string"))
-
-    rows_out = [
-        F.struct(
-            F.lit(i + 1).alias("ordinal_position"),
-            F.lit(c).alias("column_name"),
-            narrowest(i).alias("inferred_type"),
-        )
-        for i, c in enumerate(names)
-    ]
-    return counts.select(F.inline(F.array(*rows_out)))
 
 
 def detect_schema(spark: SparkSession, path: str, file_type: str) -> DataFrame:
