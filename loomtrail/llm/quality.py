@@ -2,10 +2,11 @@
 
 A line fails if it
 
-* does not end in sentence punctuation,
+* holds no end of a sentence,
 * is navigation: three bars or more, or
 * consists of symbols or capitals: symbols of ``SYMBOLS`` above a tenth of its characters, or more than
   half of 20 or more Latin letters in capitals, or
+* says the same words over and over: ten words or more, a quarter of them or less different, or
 * names boilerplate (``BOILERPLATE``), or
 * repeats an earlier line of the document.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from loomtrail.llm.text_native import SPACE_RUN, SPACES, let, once, windows, words
 
 SYMBOLS = "[#*$%&|<>]"
-SENTENCE_END = "[.!?\\x{2026}\\x{3002}\\x{FF01}\\x{FF1F}][\"')\\]\\x{201D}\\x{2019}\\x{00BB}]*[\\x20\\x09-\\x0D]*$"
+SENTENCE_END = "[.!?\\x{2026}\\x{3002}\\x{FF01}\\x{FF1F}][\"')\\]\\x{201D}\\x{2019}\\x{00BB}]*([\\x20\\x09-\\x0D]|$)"
 NAVIGATION = "\\|[^|]*\\|[^|]*\\|"
 BOILERPLATE = (
     "(?i)\\b(enable javascript|uses cookies|cookie policy|privacy policy|terms of use|terms of service"
@@ -48,6 +49,7 @@ def line_fails(line: Column) -> Column:
         | line.rlike(NAVIGATION)
         | (_count(line, SYMBOLS) * 10 > F.length(line))
         | ((letters >= 20) & (capitals * 2 > letters))
+        | let(words(line), lambda w: (F.size(w) >= 10) & (F.size(F.array_distinct(w)) * 4 <= F.size(w)))
         | line.rlike(BOILERPLATE)
     )
 

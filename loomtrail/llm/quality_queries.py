@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from loomtrail.llm import quality
 from loomtrail.llm.registry import query, table
 
-_LINE = r"""regexp_matches(l, '[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'')\]\x{201D}\x{2019}\x{00BB}]*[\x20\x09-\x0D]*$')
+_LINE = r"""regexp_matches(l, '[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'')\]\x{201D}\x{2019}\x{00BB}]*([\x20\x09-\x0D]|$)')
   AND NOT regexp_matches(l, '\|[^|]*\|[^|]*\|')
   AND NOT (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 10 > length(l)
   AND NOT (length(l) - length(regexp_replace(l, '[A-Za-z]', '', 'g')) >= 20
            AND (length(l) - length(regexp_replace(l, '[A-Z]', '', 'g'))) * 2
                > length(l) - length(regexp_replace(l, '[A-Za-z]', '', 'g')))
+  AND NOT (len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 10
+           AND len(list_distinct(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) * 4
+               <= len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')))
   AND NOT regexp_matches(l, '(?i)\b(enable javascript|uses cookies|cookie policy|privacy policy|terms of use|terms of service|lorem ipsum|click here to|subscribe to our)\b')"""
 
 SQL = rf"""
