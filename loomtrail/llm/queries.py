@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtrail.llm import packing_queries, quality_queries, tokenfiles_queries  # noqa: F401
+from loomtrail.llm import packing_queries, pii_queries, quality_queries, tokenfiles_queries  # noqa: F401
 from loomtrail.llm.registry import ORACLES, QUERIES, Query
 
 
