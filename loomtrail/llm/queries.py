@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from loomtrail.llm import packing_queries, pii_queries, quality_queries, tokenfiles_queries  # noqa: F401
-from loomtrail.llm.registry import ORACLES, QUERIES, Query
+import corpus_pipeline
+from loomtrail.llm import near_dedup_queries, packing_queries, pii_queries, quality_queries, tokenfiles_queries  # noqa: F401
+from loomtrail.llm.registry import ORACLES, QUERIES, Query, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 def queries() -> dict[str, Query]:
