@@ -40,7 +40,8 @@ _MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-
 _IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
-_SECRET = r"(?i:(?<=\b(token|secret|password|api_key|apikey|key)\s{0,2}[=:]\s{0,2}[\"']?)[a-z0-9_-]{16,128}+)"
+#: Its value is the pattern's first group.
+_SECRET = r"(?i:(?<=\b(?:token|secret|password|api_key|apikey|key)\s{0,2}[=:]\s{0,2}[\"']?)([a-z0-9_-]{16,128}+))"
 
 #: Kinds in the order they are tried, each with its form.
 KINDS = {
@@ -253,19 +254,19 @@ def _ssn_valid(value: Column) -> Column:
     return value.rlike(r"^(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
 
 
-def kind_of(value: Column) -> Column:
-    """The kind of a found value, null if it fails its check."""
+def kind_of(value: Column, named: Column) -> Column:
+    """The kind of a found value, null if it fails its check; ``named``: a naming word stood before it."""
     is_a = {k: value.rlike(f"^({p})$") for k, p in KINDS.items()}
     day = _day(value)
     return (
-        F.when(is_a["email"], F.lit("email"))
+        F.when(named, F.lit("secret"))
+        .when(is_a["email"], F.lit("email"))
         .when(is_a["date"], F.when((day >= 0) & (day < DAYS), F.lit("date")))
         .when(is_a["ip"], F.when(F.forall(_octets(value), lambda o: o <= 255), F.lit("ip")))
         .when(is_a["ssn"], F.when(_ssn_valid(value), F.lit("ssn")))
         .when(is_a["iban"] & _iban_valid(value), F.lit("iban"))
         .when(is_a["card"], F.when(F.call_function("luhn_check", _only(value, "0-9")), F.lit("card")))
         .when(is_a["phone"], F.lit("phone"))
-        .when(value.rlike(r"^[A-Za-z0-9_-]{16,128}$"), F.lit("secret"))
     )
 
 
@@ -294,18 +295,20 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     if not key:
         raise ValueError("a key is needed")
     own = [c for c in docs.columns if c != "findings"]
-    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text}`").alias("body"))
+    body = F.col("body")
     hit = F.coalesce(body.rlike("[0-9@]|(?i:token|secret|password|key)"), F.lit(False))
-    df = once(
-        docs.select(*[F.col(f"`{c}`") for c in own]),
-        _p_found=F.when(hit, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))).otherwise(
-            F.array().cast("array<string>")
-        ),
-    )
+    no_texts = F.array().cast("array<string>")
+    df = once(rows, _p_found=F.when(hit, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))).otherwise(no_texts))
     some = F.size("_p_found") > 0
+    secrets = F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(1))).otherwise(no_texts)
+    df = once(df, _p_secret=secrets)
     new = F.transform(
         "_p_found",
-        lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("value"))),
+        lambda v, i: let(
+            kind_of(v, F.get("_p_secret", i) != ""),
+            lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("value")),
+        ),
     )
     none = F.array().cast("array<struct<kind:string,value:string>>")
     df = once(df, _p_new=F.when(some, new).otherwise(none))
@@ -314,6 +317,9 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
         F.zip_with(between, "_p_new", lambda p, n: F.concat(p, F.coalesce(n["value"], F.lit("")))), ""
     )
     return df.select(
-        *[F.when(F.size("_p_new") > 0, rebuilt).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in own],
+        *[
+            F.when(F.size("_p_new") > 0, rebuilt).otherwise(body).alias(c) if c == text else F.col("row").getField(c).alias(c)
+            for c in own
+        ],
         F.filter("_p_new", lambda n: n["kind"].isNotNull()).alias("findings"),
     )
