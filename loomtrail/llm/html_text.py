@@ -191,6 +191,20 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, schema)
 
 
+def _gone(covered: np.ndarray, long: int = LONG) -> np.ndarray:
+    """What leaves a block: all of it if all is covered, else covered runs that are long by themselves.
+
+    A repeat may begin in the blocks before; its last words alone do not make a block's own begin boilerplate.
+    """
+    if covered.all() or not covered.any():
+        return covered
+    edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
+    out = np.zeros(len(covered), bool)
+    for a, b in zip(edges[::2], edges[1::2]):
+        out[a:b] = b - a >= long
+    return out
+
+
 def _unique_runs(group: pd.DataFrame) -> pd.DataFrame:
     """The open streams of one part of a host without their repeats."""
     group = group.sort_values("stream_key", kind="stable").reset_index(drop=True)
@@ -203,7 +217,7 @@ def _unique_runs(group: pd.DataFrame) -> pd.DataFrame:
     for page in cut:
         kept = []
         for block in page:
-            gone = covered[at : at + len(block)]
+            gone = _gone(covered[at : at + len(block)])
             kept.append(" ".join(w for w, g in zip(block, gone) if not g))
             at += len(block)
         out.append(kept)
