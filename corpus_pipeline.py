@@ -1,8 +1,9 @@
 """The corpus pipeline: documents are cleaned, freed of near copies, pseudonymized and packed.
 
 Every stage is written as Parquet and read again before the next one starts. All but the last return the
-columns of ``documents``; the last returns packed pieces with their token ids. A row without ``doc_id``
-passes through all stages as a document of its own.
+columns of ``documents``; the last returns packed pieces with their token ids. Rows that share a ``doc_id``
+are one document after the second stage; of rows without one, a text stays once. Other columns pass
+through until the last stage.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: the one with the smallest ``doc_id``."""
     ship(spark)
     judged = near_dedup.near_duplicates(docs)
-    rest = docs.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
-    # Rows that repeat an id are one document.
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    first = W.partitionBy("doc_id", "_own").orderBy(F.xxhash64("text"))
-    numbered = rest.withColumn("_own", own).withColumn("_n", F.row_number().over(first))
-    return numbered.where("_n = 1").select(*docs.columns)
+    rows = docs.select(
+        "doc_id", F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    rest = rows.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    # Rows that repeat an id are one document; those without an id are told apart by their texts.
+    first = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h"))).orderBy("h")
+    numbered = rest.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return numbered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
