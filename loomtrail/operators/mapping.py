@@ -9,17 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrail.functions.text import blank_to_null
 from loomtrail.functions.timing import ratio
 from loomtrail.model import UNMAPPED_LABEL, UnmappedPolicy
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked
 
 
 def enabled_entries(entries: DataFrame, label: str = "business_activity") -> DataFrame:
+    """Entries in use, texts trimmed; a blank label is none."""
     return entries.filter("enabled").select(
-        F.col("source_activity").alias("activity"), F.col(label).alias("_label"), F.lit(True).alias("_mapped")
+        F.trim("source_activity").alias("activity"), blank_to_null(F.col(label)).alias("_label"), F.lit(True).alias("_mapped")
     )
 
 
+def check_entries(entries: DataFrame) -> DataFrame:
+    """Reject sets that name a source activity twice: such an entry would multiply events."""
+    named = enabled_entries(entries.withColumn("_none", F.lit(None).cast("string")), "_none")
+    twice = named.groupBy("activity").count().filter("count > 1").orderBy("activity").limit(5).collect()
+    if twice:
+        raise ValueError(f"repeated source activities: {[r['activity'] for r in twice]}")
+    return entries
+
+
 def business_log(
     log: DataFrame,
     entries: DataFrame,
@@ -29,9 +40,12 @@ def business_log(
 ) -> DataFrame:
     """The log with activities replaced by their mapped label; other columns stay.
 
-    ``EXCLUDE`` removes unmapped events, so that transitions bridge over them.
+    Entries are trimmed, and repeated ones rejected. ``EXCLUDE`` removes events without a label, so that
+    transitions bridge over them.
     """
-    mapped = enabled_entries(entries, label)
+    mapped = enabled_entries(check_entries(entries), label)
+    if unmapped == UnmappedPolicy.EXCLUDE:
+        mapped = mapped.filter(F.col("_label").isNotNull())
     how = "inner" if unmapped == UnmappedPolicy.EXCLUDE else "left"
     joined = log.join(broadcast_checked(mapped, policy), "activity", how)
     fallback = {

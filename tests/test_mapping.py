@@ -150,3 +150,14 @@ def test_comparison_and_conformance(spark, log):
     assert (s.transition_count, s.allowed_count, s.deviating_edges) == (4, 2, 2)
     fit = {r.case_id: r.fitness for r in compare.case_fitness(log, allowed).collect()}
     assert fit == {"C1": 1.0, "C2": 0.0, "C3": 0.0}
+
+
+def test_entries_are_trimmed_and_unique(spark):
+    log = as_log(spark, [("1", "c", "A", "2026-01-01", 1), ("2", "c", "B", "2026-01-02", 2)])
+    columns = "source_activity string, business_activity string, activity_group string, enabled boolean"
+    padded = spark.createDataFrame([(" A", " one ", None, True), ("B", "two", "g", True), ("B", "x", "g", False)], columns)
+    assert [r.activity for r in mapping.business_log(log, padded).orderBy("event_ts").collect()] == ["one", "two"]
+    assert [r.activity for r in mapping.grouped_log(log, padded, UnmappedPolicy.EXCLUDE).collect()] == ["g"]
+    twice = spark.createDataFrame([("A", "one", None, True), ("A ", "two", None, True)], columns)
+    with pytest.raises(ValueError):
+        mapping.business_log(log, twice)
