@@ -29,10 +29,12 @@ _DIGIT_FIELDS = {"%Y", "%y", "%m", "%d", "%H", "%I", "%M", "%S", "%f", "%j"}
 
 # A date must lead the text; otherwise Spark would accept a bare year.
 DATE_SHAPE = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
-# A zone ends the text: an offset after a time of day, a Z, or an Area/City name.
-OFFSET_TAIL = r"[+-]\d{2}:?\d{2}$"
-TIMED_OFFSET = r"(:\d{2}(\.\d+)?|[Tt ]\d{1,2})\s*[+-]\d{2}:?\d{2}$"
-ZONE_NAME = r"[A-Za-z_]+/[A-Za-z_]+$"
+# A zone ends the text: an offset after a time of day, a Z, UTC or GMT, or a name with an area.
+# A zone that is recognised but cannot be read makes the whole value unreadable.
+OFFSET_TAIL = r"[+-]\d{2}(:?\d{2})?$"
+TIMED_OFFSET = r"(:\d{2}(\.\d+)?|[Tt ]\d{1,2})\s*[+-]\d{2}:?\d{2}$|:\d{2}(\.\d+)?\s*[+-]\d{2}$"
+ZONE_NAME = r"[A-Za-z][A-Za-z_]*(/[A-Za-z0-9_+-]+)+$"
+UNIVERSAL = r"(?i)\d\s*(UTC?|GMT)([+-]\d{1,2}(:?\d{2})?)?$"
 
 
 def spark_pattern(fmt: str) -> str:
@@ -82,7 +84,8 @@ def is_aware(text: Column) -> Column:
     trimmed = F.trim(text)
     offset = F.right(trimmed, F.lit(6)).rlike(OFFSET_TAIL) & trimmed.rlike(TIMED_OFFSET)
     named = trimmed.contains("/") & trimmed.rlike(ZONE_NAME)
-    return trimmed.endswith("Z") | trimmed.endswith("z") | offset | named
+    letters = trimmed.rlike("[TtCc]") & trimmed.rlike(UNIVERSAL)
+    return trimmed.endswith("Z") | trimmed.endswith("z") | offset | named | letters
 
 
 def parse_utc(text: Column, source_timezone: str, fmt: str | None = None) -> Column:

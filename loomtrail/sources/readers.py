@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,22 +16,21 @@ from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
-# Fixed value: rows looked at to infer the types of a text source.
-TYPE_SAMPLE_ROWS = 20_480
-
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low ones
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV with a header, every column as text. Quotes are doubled inside quoted values.
 
-    ``multiline`` allows line breaks inside values; such files cannot be split between tasks.
+    Values may hold line breaks. Sources known to have none can be read with ``multiline=False``, so
+    that large files are split between tasks. A file whose header differs from the others' fails.
     """
     check_header(spark, path)
     return (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("enforceSchema", False)
         .csv(path)
     )
 
@@ -64,12 +64,14 @@ def read_json_events(spark: SparkSession, path: str, multiline: bool = True) ->
 
 
 def check_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names as written in the first line; repeated names are rejected."""
+    """Column names as written in the first line; repeated names are rejected, as Spark compares names."""
     line = spark.read.text(path).first()
     names = next(csv.reader([line[0]])) if line else []
     if not names:
         raise ValueError("the source has no columns")
-    repeated = sorted({n for n in names if names.count(n) > 1})
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    compared = names if exact else [n.lower() for n in names]
+    repeated = sorted({n for n, c in zip(names, compared) if compared.count(c) > 1})
     if repeated:
         raise ValueError(f"repeated column names: {repeated}")
     return names
@@ -88,14 +90,13 @@ def _type_tests(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def infer_types(rows: DataFrame, sample_rows: int = TYPE_SAMPLE_ROWS) -> DataFrame:
-    """Narrowest type per text column that fits every value of the first rows; ``string`` if none.
+def infer_types(rows: DataFrame) -> DataFrame:
+    """Narrowest type per text column that fits every value; ``string`` if none.
 
-    The limit ends the scan early, so the cost does not grow with the source. Values are turned
-    into rows, so that the generated code stays small for wide sources.
+    Values are turned into rows, so that the generated code stays small for wide sources.
     """
     names = rows.columns
-    cells = rows.limit(sample_rows).select(
+    cells = rows.select(
         F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "text")
     )
     tests = _type_tests(F.col("text"))
@@ -130,8 +131,6 @@ def number_parquet_rows(spark: SparkSession, path: str, policy: ScalePolicy = DE
     """
     rows = spark.read.parquet(path)
     numbered = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    if len(rows.inputFiles()) == 1:
-        return numbered.withColumn(ROW_NUMBER, F.col("_at") + 1).drop("_file", "_at")
     along = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     offsets = (
         numbered.groupBy("_file")
@@ -149,22 +148,27 @@ def number_rows(rows: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFr
     """Contiguous ``source_row_number`` for sources without a row index, such as CSV.
 
     The rows are staged once with their position, which also parses the text only once and fixes
-    the numbering; offsets per read partition then make the numbers contiguous.
+    the numbering; offsets then make the numbers contiguous: per block of a file, in the order of files
+    and blocks, where ``rows`` come straight from files, else per read partition.
     """
-    staged = stage(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered-rows")
-    part = F.shiftright("_id", _ROW_BITS)
-    along = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    try:
+        placed = rows.select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+        )
+    except AnalysisException:
+        part = F.shiftright(F.monotonically_increasing_id(), _ROW_BITS)
+        placed = rows.withColumns({"_file": F.lit(""), "_block": part})
+    staged = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered-rows")
+    along = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
     offsets = (
-        staged.groupBy(part.alias("_part"))
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
+        staged.groupBy("_file", "_block")
+        .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+        .select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
     )
-    at = F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
     return (
-        staged.withColumn("_part", part)
-        .join(broadcast_checked(offsets, policy), "_part")
-        .withColumn(ROW_NUMBER, F.col("_before") + at + 1)
-        .drop("_id", "_part", "_before")
+        staged.join(broadcast_checked(offsets, policy), ["_file", "_block"])
+        .withColumn(ROW_NUMBER, F.col("_before") + F.col("_id") - F.col("_first") + 1)
+        .drop("_id", "_file", "_block", "_first", "_before")
     )
 
 

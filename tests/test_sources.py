@@ -126,3 +126,52 @@ def test_drift(spark, tmp_path):
     now = drift.file_listing(spark, f"{tmp_path}/*", checksum=True).drop("modified_at")
     state = {r.path.rsplit("/", 1)[1]: r.drift for r in drift.source_drift(now, manifest).collect()}
     assert state == {"same": "UNCHANGED", "changed": "CHANGED", "gone": "MISSING", "new": "NEW"}
+
+
+def _write(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_csv_line_breaks_inside_values(spark, tmp_path):
+    path = _write(tmp_path / "a", "x.csv", 'id,note\n1,"two\nlines"\n2,b\n')
+    assert [tuple(r) for r in readers.read_csv(spark, path).orderBy("id").collect()] == [("1", "two\nlines"), ("2", "b")]
+
+
+def test_csv_columns_in_another_order_fail(spark, tmp_path):
+    path = _write(tmp_path / "b", "x.csv", "id,case_id\n1,c\n")
+    _write(tmp_path / "b", "y.csv", "case_id,id\nc,2\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, path).collect()
+
+
+def test_csv_names_that_differ_in_case_only(spark, tmp_path):
+    with pytest.raises(ValueError):
+        readers.check_header(spark, _write(tmp_path / "c", "x.csv", "id,ID\n1,2\n"))
+
+
+def test_late_text_makes_a_column_text(spark, tmp_path):
+    path = _write(tmp_path / "d", "x.csv", "n\n" + "1\n" * 21_000 + "word\n")
+    assert readers.detect_schema(spark, path, "CSV").first().inferred_type == "string"
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    sizes = {"1.csv": 3, "2.csv": 400, "3.csv": 20}
+    for name, n in sizes.items():
+        _write(tmp_path / "e", name, "f,i\n" + "".join(f"{name},{i}\n" for i in range(n)))
+    rows = readers.number_rows(readers.read_csv(spark, str(tmp_path / "e"))).orderBy("source_row_number").collect()
+    assert [(r.f, int(r.i)) for r in rows] == [(name, i) for name, n in sizes.items() for i in range(n)]
+    assert [r.source_row_number for r in rows] == list(range(1, 424))
+
+
+def test_zones_named_by_letters_and_hours(spark):
+    from loomtrail.functions.timestamps import parse_utc
+
+    texts = {
+        "2026-01-01 10:00:00 UTC": 10, "2026-01-01 10:00:00GMT": 10, "2026-01-01 10:00:00+09": 1,
+        "2026-01-01 10:00:00 Etc/GMT+9": 19, "2026-01-01 10:00:00 Asia/Seoul": 1, "2026-01-01 10:00:00": 1,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.hour(parse_utc(F.col("t"), "Asia/Seoul")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == texts
