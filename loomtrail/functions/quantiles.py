@@ -1,9 +1,10 @@
 """Exact interpolated quantiles of whole numbers (milliseconds, counts), per group.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer that cannot
-spill. That is fine while the input fits one task. The split form counts values in coarse bins
-first, which combines before the shuffle, and then looks only at the few bins that hold the wanted
-ranks. One group, or one value, may hold most of the rows.
+spill. It is used where a count has shown that no group has more than ``BUFFERED_ROWS`` rows.
+Otherwise values are counted in coarse bins first, which combines before the shuffle; the few bins
+that hold the wanted ranks are divided again until each is small, and only their rows are sorted. One
+group, or one value, may hold most of the rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 BINS_PER_OCTAVE = 128
+BUFFERED_ROWS = 500_000
+#: Parts a bin is divided into when it holds too many values.
+PARTS = 4096
 
 
 def value_bin(value: Column) -> Column:
@@ -42,7 +46,7 @@ def split_quantiles(
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bins = (
         binned.groupBy(*keys, "_bin")
-        .agg(F.count("*").alias("_rows"))
+        .agg(F.count("*").alias("_rows"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_rows").over(W.partitionBy(*keys)))
     )
@@ -59,11 +63,33 @@ def split_quantiles(
         for rank in ranks(q):
             needed = needed | holds(rank, "_start", "_rows")
     # At most two bins per key and quantile; staged so that its size is known before it is joined.
-    targets = stage(bins.filter(needed).select(*keys, "_bin", "_start", "_total"), "quantile-bins")
+    targets = stage(
+        bins.filter(needed).select(*keys, "_bin", "_start", "_total", "_rows", "_low", "_high"), "quantile-bins"
+    )
+    bound = min(policy.max_group_rows, BUFFERED_ROWS)
+    wide = (F.col("_rows") > bound) & (F.col("_high") > F.col("_low"))
+    while not targets.filter(wide).isEmpty():
+        # Divide every bin again, by value; a part of one value needs no further division.
+        width = F.ceil((F.col("_high") - F.col("_low") + 1) / PARTS).cast("bigint")
+        part = F.floor((F.col("_value") - F.col("_low")) / width).cast("int")
+        old = targets.select(*keys, "_bin", F.col("_start").alias("_from"), "_total", "_low", "_high")
+        binned = (
+            binned.join(broadcast_checked(old, policy), [*keys, "_bin"])
+            .select(*keys, "_value", "_total", "_from", F.struct("_bin", part.alias("part")).alias("_bin"))
+            .withColumn("_bin", F.sha2(F.to_json("_bin"), 256))
+        )
+        first = W.partitionBy(*keys, "_from").orderBy("_low").rowsBetween(W.unboundedPreceding, -1)
+        parts = (
+            binned.groupBy(*keys, "_bin", "_from", "_total")
+            .agg(F.count("*").alias("_rows"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+            .withColumn("_start", F.col("_from") + F.coalesce(F.sum("_rows").over(first), F.lit(0)))
+        )
+        targets = stage(parts.filter(needed).select(*targets.columns), "quantile-bins")
+        binned = binned.drop("_from", "_total")
 
     inside = W.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        binned.join(broadcast_checked(targets, policy), [*keys, "_bin"])
+        binned.join(broadcast_checked(targets.drop("_rows", "_low", "_high"), policy), [*keys, "_bin"])
         .groupBy(*keys, "_bin", "_start", "_total", "_value")
         .agg(F.count("*").alias("_n"))
         .withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
@@ -87,7 +113,7 @@ def split_quantiles(
 
 
 def percentile_columns(value: str | Column, wanted: dict[str, float]) -> list[Column]:
-    """Short form: one shared percentile buffer, one output column per quantile."""
+    """One shared percentile buffer, one output column per quantile; for groups of bounded size."""
     many = F.percentile(value, list(wanted.values()))
     return [many[i].alias(q) for i, q in enumerate(wanted)]
 
@@ -100,13 +126,14 @@ def quantiles(
     policy: ScalePolicy = DEFAULT_POLICY,
     staged: bool = False,
 ) -> DataFrame:
-    """Exact quantiles per group, in the form the size of ``df`` asks for.
+    """Exact quantiles per group, buffered or by bins as the counted rows of the largest group ask for.
 
     Pass ``staged`` when ``df`` is a table already, so that it is not written again.
     """
-    if fits_one_task(df, policy):
-        return df.groupBy(*keys).agg(*percentile_columns(value, wanted))
     rows = df if staged else stage(df.select(*keys, value), "quantile-values")
+    largest = rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= min(policy.max_group_rows, BUFFERED_ROWS):
+        return rows.groupBy(*keys).agg(*percentile_columns(value, wanted))
     return split_quantiles(rows, keys, value, wanted, policy)
 
 

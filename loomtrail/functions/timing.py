@@ -1,4 +1,4 @@
-"""Millisecond arithmetic on zone-free timestamps. Sessions run with time zone UTC."""
+"""Millisecond arithmetic on zone-free timestamps, whatever the time zone of the session."""
 
 from __future__ import annotations
 
@@ -23,7 +23,9 @@ def moment(value: datetime) -> Column:
 
 
 def epoch_millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970 of the fields as they are written."""
+    since = ts.cast("timestamp_ntz") - moment(datetime(1970, 1, 1))
+    return F.floor(since.cast("interval second").cast("decimal(20,6)") * 1000).cast("bigint")
 
 
 def millis_between(start: Column, end: Column) -> Column:

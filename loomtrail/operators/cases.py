@@ -14,7 +14,7 @@ from loomtrail.model import CASE_PAGE_SIZE, ORDER_KEYS
 from loomtrail.operators.dfg import case_total
 from loomtrail.operators.filters import in_range
 from loomtrail.operators.sequence import event_order, follow, order_value
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, stage
 
 THROUGHPUT_QUANTILES = {"median_throughput_ms": 0.5, "p90_throughput_ms": 0.9}
 
@@ -104,9 +104,7 @@ def overview(
 ) -> DataFrame:
     """One row: cases, events, activities, median and p90 throughput, rework rate
     (and failure rate of events when ``failure`` is given). Quantiles are NULL on an empty log."""
-    per_case = case_summary(log).select("event_count", "throughput_ms", "has_rework")
-    if not fits_one_task(log, policy):
-        per_case = stage(per_case, "case-facts")
+    per_case = stage(case_summary(log).select("event_count", "throughput_ms", "has_rework"), "case-facts")
     figures = per_case.agg(
         F.count("*").alias("case_count"),
         F.coalesce(F.sum("event_count"), F.lit(0)).alias("event_count"),
@@ -128,9 +126,7 @@ def overview(
 
 
 def throughput_statistics(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    per_case = case_bounds(log).select("throughput_ms")
-    if not fits_one_task(log, policy):
-        per_case = stage(per_case, "case-facts")
+    per_case = stage(case_bounds(log).select("throughput_ms"), "case-facts")
     wanted = {
         "median_throughput_ms": 0.5,
         "p75_throughput_ms": 0.75,
@@ -228,9 +224,10 @@ def failure_rate_by_activity(log: DataFrame, failure: Column) -> DataFrame:
 
 def after_failure(log: DataFrame, failure: Column, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     """Which activity directly follows a failed event, and how often."""
+    needed = log.select("case_id", "activity", *ORDER_KEYS, failure.alias("_failed"))
     return (
-        follow(log, policy)
-        .filter(failure & F.col("next_activity").isNotNull())
+        follow(needed, policy)
+        .filter(F.col("_failed") & F.col("next_activity").isNotNull())
         .groupBy(F.col("activity").alias("failed_activity"), "next_activity")
         .agg(F.count("*").alias("transition_count"), F.count_distinct("case_id").alias("case_count"))
         .orderBy(F.desc("transition_count"), "failed_activity", "next_activity")
@@ -248,10 +245,11 @@ def throughput_by_outcome(log: DataFrame, failure: Column, policy: ScalePolicy =
         )
         .select("failed", millis_between(F.col("a"), F.col("b")).alias("throughput_ms"))
     )
+    cases = stage(cases, "case-facts")
     means = cases.groupBy("failed").agg(
         F.count("*").alias("case_count"), F.avg("throughput_ms").alias("avg_throughput_ms")
     )
-    return means.join(quantiles(cases, ["failed"], "throughput_ms", THROUGHPUT_QUANTILES, policy), "failed")
+    return means.join(quantiles(cases, ["failed"], "throughput_ms", THROUGHPUT_QUANTILES, policy, staged=True), "failed")
 
 
 def result_codes(log: DataFrame) -> DataFrame:

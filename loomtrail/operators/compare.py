@@ -12,8 +12,8 @@ from loomtrail.functions.timing import ratio
 from loomtrail.operators.cases import THROUGHPUT_QUANTILES, case_bounds, case_summary, overview
 from loomtrail.operators.dfg import dfg_edges, dfg_nodes
 from loomtrail.operators.sequence import transitions
-from loomtrail.operators.variants import variant_summary
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked
+from loomtrail.operators.variants import case_traces, variant_counts, variant_summary
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 
 def delta(a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -52,9 +52,16 @@ def compare_edges(a: DataFrame, b: DataFrame, policy: ScalePolicy = DEFAULT_POLI
     return delta(dfg_edges(a, policy=policy), dfg_edges(b, policy=policy), ["source", "target"], measures)
 
 
+def _variant_shares(log: DataFrame, policy: ScalePolicy) -> DataFrame:
+    """Case count and share per variant; no quantiles."""
+    counts = variant_counts(stage(case_traces(log, policy=policy), "case-traces"))
+    n_cases = counts.agg(F.sum("case_count").alias("n")).scalar()
+    return counts.withColumn("case_share", ratio(F.col("case_count"), n_cases))
+
+
 def compare_variants(a: DataFrame, b: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     return delta(
-        variant_summary(a, policy=policy), variant_summary(b, policy=policy), ["variant_hash"], ["case_count", "case_share"]
+        _variant_shares(a, policy), _variant_shares(b, policy), ["variant_hash"], ["case_count", "case_share"]
     )
 
 
@@ -65,12 +72,13 @@ def case_trend(log: DataFrame, unit: str = "day", policy: ScalePolicy = DEFAULT_
     started = case_bounds(log).select(
         F.date_trunc(unit, "case_start_ts").cast("timestamp_ntz").alias("period"), "throughput_ms", "event_count"
     )
+    started = stage(started, "case-facts")
     counts = started.groupBy("period").agg(
         F.count("*").alias("case_count"),
         F.sum("event_count").alias("event_count"),
         F.avg("throughput_ms").alias("avg_throughput_ms"),
     )
-    return counts.join(quantiles(started, ["period"], "throughput_ms", THROUGHPUT_QUANTILES, policy), "period")
+    return counts.join(quantiles(started, ["period"], "throughput_ms", THROUGHPUT_QUANTILES, policy, staged=True), "period")
 
 
 def duration_histogram(log: DataFrame, low: int, high: int, buckets: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:

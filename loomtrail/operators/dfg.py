@@ -6,14 +6,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import percentile_columns, split_quantiles
+from loomtrail.functions.quantiles import quantiles
 from loomtrail.functions.timing import ratio
 from loomtrail.model import MAX_EDGES, MAX_NODES, effective_limit
 from loomtrail.operators.sequence import transitions
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 EDGE_QUANTILES = {"median_transition_ms": 0.5, "p90_transition_ms": 0.9}
 
@@ -25,10 +24,11 @@ class DirectlyFollowsGraph:
     edges: DataFrame
 
     def fetch(self) -> dict[str, list[Row]]:
-        """Rows of the three reports, run as concurrent jobs. For graphs bounded by the limits."""
+        """Rows of the three reports, run as concurrent jobs, within the display limits."""
         reports = {"totals": self.totals, "nodes": self.nodes, "edges": self.edges}
         with ThreadPoolExecutor(len(reports)) as pool:
-            return dict(zip(reports, pool.map(lambda df: df.collect(), reports.values())))
+            limits = {"totals": 1, "nodes": MAX_NODES, "edges": MAX_EDGES}
+            return dict(zip(reports, pool.map(lambda name: reports[name].take(limits[name]), reports)))
 
 
 def log_totals(log: DataFrame) -> DataFrame:
@@ -64,34 +64,23 @@ def top_activities(log: DataFrame, max_nodes: int) -> DataFrame:
 
 
 def edge_metrics(
-    steps: DataFrame, policy: ScalePolicy = DEFAULT_POLICY, last_events: bool = False
+    steps: DataFrame, policy: ScalePolicy = DEFAULT_POLICY, staged: bool = False
 ) -> DataFrame:
-    """Count, cases and exact quantiles per (source, target); ``steps`` as ``transitions`` gives
-    (staged, when large, because it is read more than once).
+    """Count, cases and exact quantiles per (source, target); ``steps`` as ``transitions`` gives.
 
     Cases are counted in a branch of their own: a distinct count next to quantiles would carry a
-    quantile buffer per case. ``last_events`` keeps the rows without a target.
+    quantile buffer per case. Pass ``staged`` when ``steps`` is a table already.
     """
-    pairs = steps if last_events else steps.filter(F.col("target").isNotNull())
+    pairs = steps.select("case_id", "source", "target", "transition_ms")
+    pairs = (pairs if staged else stage(pairs, "transitions")).filter(F.col("target").isNotNull())
     counted = (
         pairs.groupBy("case_id", "source", "target")
         .agg(F.count("*").alias("_n"))
         .groupBy("source", "target")
         .agg(F.sum("_n").alias("transition_count"), F.count("*").alias("case_count"))
     )
-    if fits_one_task(steps, policy):
-        spread = pairs.groupBy("source", "target").agg(
-            *percentile_columns("transition_ms", EDGE_QUANTILES)
-        )
-        # Not larger than the input, which fits one task.
-        spread = F.broadcast(spread)
-    else:
-        spread = split_quantiles(pairs, ["source", "target"], "transition_ms", EDGE_QUANTILES, policy)
-    if not last_events:
-        return counted.join(spread, ["source", "target"])
-    spread = spread.withColumnsRenamed({"source": "_s", "target": "_t"})
-    same = (F.col("source") == F.col("_s")) & F.col("target").eqNullSafe(F.col("_t"))
-    return counted.join(spread, same, "left").drop("_s", "_t")
+    spread = quantiles(pairs, ["source", "target"], "transition_ms", EDGE_QUANTILES, policy, staged=True)
+    return counted.join(spread, ["source", "target"])
 
 
 def dfg_edges(
@@ -101,24 +90,15 @@ def dfg_edges(
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Directly-follows pairs. A node limit hides edges; it never bridges over hidden nodes."""
-    steps = transitions(log, policy)
-    if fits_one_task(log, policy):
-        # Every case has exactly one last event, so the same pass also yields the case total.
-        ends = F.sum(F.when(F.col("target").isNull(), F.col("transition_count")))
-        edges = edge_metrics(steps, policy, last_events=True).withColumn(
-            "_cases", ends.over(W.partitionBy())
-        )
-        edges = edges.filter(F.col("target").isNotNull())
-        edges = edges.withColumn("case_share", ratio(F.col("case_count"), F.col("_cases")))
-    else:
-        steps = stage(
-            steps.select("case_id", "source", "target", "transition_ms"), "transitions"
-        )
-        last = steps.filter(F.col("target").isNull()).agg(F.count("*").alias("n")).scalar()
-        edges = edge_metrics(steps, policy).withColumn("case_share", ratio(F.col("case_count"), last))
+    steps = transitions(log, policy).select("case_id", "source", "target", "transition_ms")
+    steps = stage(steps, "transitions")
+    # Every case has exactly one event without a target.
+    last = steps.filter(F.col("target").isNull()).agg(F.count("*").alias("n")).scalar()
+    edges = edge_metrics(steps, policy, staged=True).withColumn("case_share", ratio(F.col("case_count"), last))
     if max_nodes is not None:
         # The limit bounds this side.
-        visible = broadcast_checked(top_activities(log, effective_limit(max_nodes, MAX_NODES)), policy)
+        named = steps.select(F.col("source").alias("activity"))
+        visible = broadcast_checked(top_activities(named, effective_limit(max_nodes, MAX_NODES)), policy)
         for end in ("source", "target"):
             edges = edges.join(visible.withColumnRenamed("activity", end), end, "left_semi")
     edges = edges.select(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrail.functions.privacy import hmac_token
@@ -20,7 +19,7 @@ from loomtrail.model import (
     SemanticContract,
 )
 from loomtrail.operators.quality import quality_report
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, stage
 
 ROW_NUMBER = "source_row_number"
 
@@ -90,11 +89,11 @@ _DUPLICATE_KEYS = ["_k_event", "_k_case", "_k_activity", "_k_ts"]
 _MOMENT_KEYS = ["case_value", "parsed_ts"]
 
 
-def _count_by_join(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _count_by_join(df: DataFrame, source: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Group size per row. Counting combines before the shuffle, and only repeated keys are joined
     back, so a key that holds most rows never meets in one task unless it really repeats there;
     adaptive execution splits such a partition of the row side."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
+    sizes = source.groupBy(*keys).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
     other = sizes.select(*[F.col(k).alias(f"r{k}") for k in keys], name)
     same = [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys]
     joined = df.join(other, same, "left").drop(*[f"r{k}" for k in keys])
@@ -105,14 +104,9 @@ def flag_repeats(flagged: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> Da
     """Flags that need other rows: ``duplicate_event`` (every member of a group of equal events)
     and ``duplicate_timestamp`` (several events of a case at one moment, a signal only)."""
     keyed = _duplicate_key(flagged)
-    if fits_one_task(flagged, policy):
-        counted = keyed.withColumn(
-            "duplicate_count", F.count("*").over(W.partitionBy(*_DUPLICATE_KEYS))
-        ).withColumn("same_timestamp_count", F.count("*").over(W.partitionBy(*_MOMENT_KEYS)))
-    else:
-        keyed = stage(keyed, "keyed-rows")
-        counted = _count_by_join(keyed, _DUPLICATE_KEYS, "duplicate_count")
-        counted = _count_by_join(counted, _MOMENT_KEYS, "same_timestamp_count")
+    # The counts read the key columns only; the rows themselves are not written for them.
+    counted = _count_by_join(keyed, keyed, _DUPLICATE_KEYS, "duplicate_count")
+    counted = _count_by_join(counted, keyed, _MOMENT_KEYS, "same_timestamp_count")
     case = F.col("case_value")
     return counted.select(
         *flagged.columns,

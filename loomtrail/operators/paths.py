@@ -6,12 +6,11 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.operators.sequence import SEQUENCE_COLUMNS, event_order, follow, order_value, split_cases
+from loomtrail.operators.sequence import SEQUENCE_COLUMNS, follow, order_value, split_cases
 from loomtrail.operators.variants import GATHERED_CASE_ROWS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy
 
 
 def exact_path_occurrences(log: DataFrame, path: Sequence[str], policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
@@ -92,16 +91,7 @@ def cases_with_ordered_path(log: DataFrame, path: Sequence[str], policy: ScalePo
 
 def path_occurrences(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     """Every run of ``length`` consecutive activities: ``case_id, start_position, path`` (array)."""
-    log = log.select(*SEQUENCE_COLUMNS)
-    if fits_one_task(log, policy):
-        in_case = W.partitionBy("case_id").orderBy(*event_order())
-        follows = [F.lead("activity", i).over(in_case) for i in range(1, length)]
-        return log.select(
-            "case_id",
-            F.row_number().over(in_case).cast("bigint").alias("start_position"),
-            F.array("activity", *follows).alias("path"),
-        ).filter(F.get("path", F.lit(length - 1)).isNotNull())
-    placed = follow(log, policy, position=True)
+    placed = follow(log.select(*SEQUENCE_COLUMNS), policy, position=True)
     offsets = F.array(*[F.lit(i) for i in range(length)])
     shared = placed.select("case_id", "activity", "event_position", F.explode(offsets).alias("step"))
     # A group holds at most ``length`` rows.
@@ -113,20 +103,28 @@ def path_occurrences(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_
     )
 
 
-def repeated_paths(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Paths that occur more than once within a case: ``case_id, path, occurrences``."""
+def _repeated(log: DataFrame, length: int, policy: ScalePolicy) -> DataFrame:
     return (
         path_occurrences(log, length, policy)
-        .groupBy("case_id", F.array_join("path", " > ").alias("path"))
+        .groupBy("case_id", "path")
         .agg(F.count("*").alias("occurrences"))
         .filter(F.col("occurrences") > 1)
     )
 
 
+def repeated_paths(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+    """Paths that occur more than once within a case: ``case_id, path, occurrences``.
+
+    Paths are told apart by their steps; the text is for display.
+    """
+    return _repeated(log, length, policy).withColumn("path", F.array_join("path", " > "))
+
+
 def repeated_path_ranking(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
     return (
-        repeated_paths(log, length, policy)
+        _repeated(log, length, policy)
         .groupBy("path")
         .agg(F.count("*").alias("case_count"), F.sum("occurrences").alias("occurrences"))
+        .withColumn("path", F.array_join("path", " > "))
         .orderBy(F.desc("case_count"), "path")
     )

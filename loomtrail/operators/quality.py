@@ -12,7 +12,7 @@ from loomtrail.functions.quantiles import one_row, quantiles
 from loomtrail.functions.text import blank_to_null, whole_number
 from loomtrail.functions.timing import moment, ratio
 from loomtrail.model import LARGE_CASE_EVENTS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, stage
 
 CASE_SIZE_QUANTILES = {"events_per_case_median": 0.5, "events_per_case_p90": 0.9}
 
@@ -55,9 +55,7 @@ def quality_report(
     policy: ScalePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """One row. Distinct counts come from per-key groupings, so no row is expanded."""
-    sizes = valid_case_sizes(validated).select("event_count", "ambiguous")
-    if not fits_one_task(validated, policy):
-        sizes = stage(sizes, "case-sizes")
+    sizes = stage(valid_case_sizes(validated).select("event_count", "ambiguous"), "case-sizes")
     spread = quantiles(sizes, [], "event_count", CASE_SIZE_QUANTILES, policy, staged=True)
     activities = validated.filter("is_valid").agg(
         F.count_distinct(F.trim("activity_value")).alias("n")

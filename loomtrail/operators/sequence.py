@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.functions.timing import millis_between
 from loomtrail.model import ORDER_KEYS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 
 def event_order() -> list[Column]:
@@ -37,14 +37,12 @@ class CaseSplit:
 
 
 def split_cases(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> CaseSplit:
-    if fits_one_task(log, policy):
-        return CaseSplit(log, None)
     sizes = log.groupBy("case_id").agg(F.count("*").alias("case_rows"))
+    if (sizes.agg(F.max("case_rows")).first()[0] or 0) <= policy.max_group_rows:
+        return CaseSplit(log, None)
     # At most rows / max_group_rows cases can be this large.
     large = stage(sizes.filter(F.col("case_rows") > policy.max_group_rows), "large-cases")
-    n_large, n_rows = large.agg(F.count("*"), F.sum("case_rows")).first()
-    if not n_large:
-        return CaseSplit(log, None)
+    n_rows = large.agg(F.sum("case_rows")).first()[0]
     keys = broadcast_checked(large.select("case_id"), policy)
     pieces = -(-n_rows // policy.max_group_rows) + 1
     cut = (
@@ -77,8 +75,12 @@ def piece_bounds(pieces: DataFrame) -> DataFrame:
 
 def follow(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY, position: bool = False) -> DataFrame:
     """Add ``next_activity`` and ``next_event_ts`` (and ``event_position``, from 1) to every event."""
-    split = split_cases(log, policy)
-    columns = log.columns
+    return follow_split(split_cases(log, policy), policy, position)
+
+
+def follow_split(split: CaseSplit, policy: ScalePolicy = DEFAULT_POLICY, position: bool = False) -> DataFrame:
+    """``follow`` for a log that has been split already."""
+    columns = [c for c in split.whole.columns if c != "piece"]
     in_case = W.partitionBy("case_id").orderBy(*event_order())
     whole = split.whole.select(
         *columns,

@@ -13,22 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.functions.quantiles import percentile_columns, quantiles
+from loomtrail.functions.quantiles import quantiles
 from loomtrail.functions.timing import millis_between, ratio
 from loomtrail.model import MAX_VARIANTS, ORDER_KEYS
 from loomtrail.operators.cases import THROUGHPUT_QUANTILES, case_summary
 from loomtrail.operators.running import ranked_running_total
-from loomtrail.operators.sequence import follow, order_value, split_cases
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, fits_one_task
+from loomtrail.operators.sequence import CaseSplit, follow, follow_split, order_value, split_cases
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 CHUNK = 4096
 GATHERED_CASE_ROWS = 200_000  # largest case that is gathered into one array
 _UNIT = "\x1f"
+_MISSING = "\x00\x1e"
 ARROW = " > "
 
 
 def _digest(parts: Column) -> Column:
-    return F.sha2(F.array_join(parts, _UNIT), 256)
+    """A missing activity is a step of its own: it is written as a sign that no text contains."""
+    return F.sha2(F.array_join(parts, _UNIT, _MISSING), 256)
 
 
 def _combine(hashes: Column) -> Column:
@@ -76,7 +78,7 @@ def _gathered_traces(log: DataFrame, failure: Column) -> DataFrame:
     )
 
 
-def _chunked_hashes(log: DataFrame, policy: ScalePolicy) -> DataFrame:
+def _chunked_hashes(pieces: CaseSplit, policy: ScalePolicy) -> DataFrame:
     """Hashes of large cases from their event positions, one bounded chunk at a time."""
 
     def level(df: DataFrame, place: str, item: str, digest) -> DataFrame:
@@ -91,7 +93,7 @@ def _chunked_hashes(log: DataFrame, policy: ScalePolicy) -> DataFrame:
             )
         )
 
-    placed = follow(log, policy, position=True).select(
+    placed = follow_split(pieces, policy, position=True).select(
         "case_id", (F.col("event_position") - 1).alias("place"), "activity"
     )
     level1 = level(placed, "place", "activity", _digest)
@@ -117,7 +119,9 @@ def case_traces(
     large = split.pieces.drop("piece")
     facts = case_summary(large).select("case_id", "throughput_ms", "event_count", "has_rework")
     outcome = large.groupBy("case_id").agg(F.coalesce(F.bool_or(failed), F.lit(False)).alias("has_failure"))
-    hashed = _chunked_hashes(large, replace(policy, max_group_rows=bound))
+    # The pieces as they are cut: no case of them is gathered.
+    none_whole = large.filter(F.lit(False))
+    hashed = _chunked_hashes(CaseSplit(none_whole, split.pieces), replace(policy, max_group_rows=bound))
     return gathered.unionByName(hashed.join(facts, "case_id").join(outcome, "case_id"))
 
 
@@ -174,7 +178,7 @@ def variant_summary(
     log: DataFrame, failure: Column | None = None, policy: ScalePolicy = DEFAULT_POLICY
 ) -> DataFrame:
     """All variants with counts, share, throughput quantiles, mean length, rework and failure rate."""
-    traces = case_traces(log, failure, policy)
+    traces = stage(case_traces(log, failure, policy), "case-traces")
     measures = [
         F.count("*").alias("case_count"),
         F.min("case_id").alias("representative_case_id"),
@@ -182,16 +186,9 @@ def variant_summary(
         F.avg(F.col("has_rework").cast("int")).alias("rework_rate"),
         F.avg(F.col("has_failure").cast("int")).alias("failure_rate"),
     ]
-    if fits_one_task(log, policy):
-        grouped = traces.groupBy("variant_hash").agg(
-            *measures, *percentile_columns("throughput_ms", THROUGHPUT_QUANTILES)
-        )
-    else:
-        grouped = traces.groupBy("variant_hash").agg(*measures).join(
-            quantiles(traces, ["variant_hash"], "throughput_ms", THROUGHPUT_QUANTILES, policy),
-            "variant_hash",
-        )
-    n_cases = log.agg(F.count_distinct("case_id").alias("n")).scalar()
+    spread = quantiles(traces, ["variant_hash"], "throughput_ms", THROUGHPUT_QUANTILES, policy, staged=True)
+    grouped = traces.groupBy("variant_hash").agg(*measures).join(spread, "variant_hash")
+    n_cases = traces.agg(F.count("*").alias("n")).scalar()
     return grouped.withColumn("case_share", ratio(F.col("case_count"), n_cases))
 
 
@@ -241,10 +238,10 @@ def filter_variants(log: DataFrame, variants: DataFrame, policy: ScalePolicy = D
 
 
 def variants_by_outcome(
-    log: DataFrame, failure: Column, limit: int = MAX_VARIANTS, policy: ScalePolicy = DEFAULT_POLICY
+    log: DataFrame, failure: Column, limit: int | None = None, policy: ScalePolicy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Case counts per variant, failed against successful, most frequent first."""
-    return (
+    """Case counts per variant, failed against successful, most frequent first; all of them by default."""
+    counted = (
         case_traces(log, failure, policy)
         .groupBy("variant_hash")
         .agg(
@@ -252,5 +249,5 @@ def variants_by_outcome(
             F.count_if(~F.col("has_failure")).alias("successful_cases"),
         )
         .orderBy(F.desc(F.col("failed_cases") + F.col("successful_cases")), "variant_hash")
-        .limit(limit)
     )
+    return counted if limit is None else counted.limit(limit)

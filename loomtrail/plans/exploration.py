@@ -18,7 +18,7 @@ from loomtrail.plans.registry import query, ts_text
 from loomtrail.scale import ScalePolicy
 
 JAN_5, JAN_20 = datetime(2024, 1, 5), datetime(2024, 1, 20)
-SMALL_PIECES = ScalePolicy(mode="split", max_group_rows=7)
+SMALL_PIECES = ScalePolicy(max_group_rows=7)
 
 _EVENT = f"event_id, case_id, activity, {ts_text('event_ts')} AS event_ts"
 
@@ -370,7 +370,7 @@ def _(spark, d):
     "M07_variants_by_outcome",
     f"""WITH {DAY_LOG}, {TRACES}, outcome AS (SELECT case_id, bool_or(result_code = 'FAILED') AS failed FROM log GROUP BY 1)
 SELECT variant_hash, count_if(failed) AS failed_cases, count_if(NOT failed) AS successful_cases
-FROM traces JOIN outcome USING (case_id) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100""",
+FROM traces JOIN outcome USING (case_id) GROUP BY 1""",
 )
 def _(spark, d):
     return variants.variants_by_outcome(day_log(spark, d), is_failed())
@@ -524,7 +524,7 @@ def _(spark, d):
 @query("M10_ordered_path_split", _ORDERED_PATH)
 def _(spark, d):
     return paths.cases_with_ordered_path(
-        day_log(spark, d), ["signup", "click", "view"], ScalePolicy(mode="split", max_group_rows=4)
+        day_log(spark, d), ["signup", "click", "view"], ScalePolicy(max_group_rows=4)
     )
 
 

@@ -15,7 +15,7 @@ from loomtrail.plans.registry import query, ts_text
 from loomtrail.scale import ScalePolicy
 
 # Forces the split form on the small test tables, so that the oracle checks it as well.
-SPLIT = ScalePolicy(mode="split", max_group_rows=60)
+SPLIT = ScalePolicy(max_group_rows=60)
 
 _USER_EDGES = f"WITH {USER_LOG}, {STEPS}, {EDGES}"
 _DAY_EDGES = f"WITH {DAY_LOG}, {STEPS}, {EDGES}"
@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("W02_ordered_events_split", _W02)
 def _(spark, d):
-    policy = ScalePolicy(mode="split", max_group_rows=12)
+    policy = ScalePolicy(max_group_rows=12)
     return follow(order_log(spark, d), policy, position=True).select(*_W02_COLUMNS)
 
 

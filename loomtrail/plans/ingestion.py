@@ -17,7 +17,7 @@ from loomtrail.plans.registry import query, table, ts_text
 from loomtrail.scale import ScalePolicy, stage, staged_path
 from loomtrail.sources import drift, profile, readers, writers
 
-SPLIT = ScalePolicy(mode="split", max_group_rows=60)
+SPLIT = ScalePolicy(max_group_rows=60)
 
 
 def _csv_copy(spark, d, name, compression="none"):

@@ -1,9 +1,8 @@
-"""Decisions that depend on data size: task bounds, broadcasts and staged tables.
+"""What depends on data size: group bounds, broadcasts and staged tables.
 
-Two execution forms exist for operators that gather a group (a case, an edge, a duplicate
-key) in one task. When the plan's own size estimate proves that the *whole input* fits one
-task, no group can be too large and the short form is used. Otherwise the operator measures
-group sizes and splits every group above ``max_group_rows``. Both forms return the same rows.
+An operator that gathers a group (a case, an edge, a duplicate key) in one task counts the rows of its
+groups first. Groups above ``max_group_rows`` are split; the others are gathered. Nothing is decided
+by estimates of sizes.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,53 +21,56 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ScalePolicy:
-    """Bounds that decide between the short and the split form of an operator.
+    """Bounds of one task."""
 
-    ``whole_bytes`` is compared with file sizes, which are compressed: it is kept far below what a
-    task can sort or gather, so that ten times as many bytes in memory still fit.
-    """
-
-    whole_bytes: int = 32 << 20
     max_group_rows: int = 2_000_000
     broadcast_bytes: int = 64 << 20
-    mode: str = "auto"
 
     def __post_init__(self) -> None:
-        if self.mode not in ("auto", "whole", "split"):
-            raise ValueError("mode must be auto, whole or split")
+        if self.max_group_rows < 1:
+            raise ValueError("max_group_rows must be positive")
 
 
 DEFAULT_POLICY = ScalePolicy()
 
+#: Operators that may give out more bytes than they read; no estimate bounds what is above them.
+_MULTIPLYING = ("Generate", "Join", "Expand", "MapInPandas", "MapInArrow", "FlatMap")
+
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame, policy: ScalePolicy) -> bool:
-    if policy.mode != "auto":
-        return policy.mode == "whole"
-    return plan_bytes(df) <= policy.whole_bytes
-
-
 def broadcast_checked(df: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Hint a broadcast only when the size estimate is within the bound.
+    """Hint a broadcast only of a table within the bound, or of a part or an aggregate of one.
 
-    Beyond it the join stays a shuffle join, which adaptive execution may still improve.
+    Otherwise the join stays a shuffle join; adaptive execution may still turn it into a broadcast
+    once it has seen the real size.
     """
-    return F.broadcast(df) if plan_bytes(df) <= policy.broadcast_bytes else df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(name in plan for name in _MULTIPLYING) or plan_bytes(df) > policy.broadcast_bytes:
+        return df
+    return F.broadcast(df)
 
 
 _own_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a scratch folder of this process only when none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share.
+
+    Named by ``spark.checkpoint.dir`` or set with ``setCheckpointDir``. Only a local session, whose one
+    process is driver and executor, may go without: it gets a scratch folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
+    app = context.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="loomtrail-")
         atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
@@ -75,7 +79,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/loomtrail/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loomtrail/{app}/{label}-{uuid.uuid4().hex}"
+    for paths in _scopes[-1:]:
+        paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -84,3 +91,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staged_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within, at the end: write or collect what you need inside."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        context = spark.sparkContext
+        for path in paths:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

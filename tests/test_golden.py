@@ -9,14 +9,14 @@ from loomtrail.model import MAX_NODES, EventFilter, effective_limit
 from loomtrail.operators import cases, dfg, filters, paths, variants
 from loomtrail.scale import ScalePolicy
 
-POLICIES = [ScalePolicy(mode="whole"), ScalePolicy(mode="split", max_group_rows=2)]
+POLICIES = [ScalePolicy(), ScalePolicy(max_group_rows=2)]
 
 
 def edges_of(log, **kw):
     return [tuple(r) for r in dfg.dfg_edges(log, **kw).collect()]
 
 
-@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: str(p.max_group_rows))
 def test_edges(golden, policy):
     edges = edges_of(golden, policy=policy)
     assert [(e[0], e[1], e[2], e[3]) for e in edges] == [
@@ -59,12 +59,12 @@ def test_equal_timestamps_follow_the_sequence(spark):
 def test_missing_order_keys_come_last(spark):
     rows = [("b", "T", "Y", "2026-01-02 09:00:00", None), ("a", "T", "X", "2026-01-02 09:00:00", 9)]
     log = as_log(spark, rows)
-    for policy in [POLICIES[0], ScalePolicy(mode="split", max_group_rows=1)]:
+    for policy in [POLICIES[0], ScalePolicy(max_group_rows=1)]:
         assert [(e[0], e[1]) for e in edges_of(log, policy=policy)] == [("X", "Y")]
     assert cases.case_ends(log).first()["end_activity"] == "Y"
 
 
-@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: str(p.max_group_rows))
 def test_overview(golden, policy):
     row = cases.overview(golden, policy=policy).first().asDict()
     assert (row["case_count"], row["event_count"], row["activity_count"]) == (3, 10, 4)
@@ -73,7 +73,7 @@ def test_overview(golden, policy):
     assert row["rework_rate"] == pytest.approx(1 / 3)
 
 
-@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: str(p.max_group_rows))
 def test_empty_log(golden, policy):
     empty = filters.in_range(golden, datetime(2030, 1, 1))
     assert edges_of(empty, policy=policy) == []
@@ -101,7 +101,7 @@ def test_variants(golden):
     assert max(r.cumulative_share for r in coverage) == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: str(p.max_group_rows))
 def test_paths(golden, policy):
     exact = paths.cases_with_exact_path(golden, ["A", "B", "C"], policy)
     assert [r.case_id for r in exact.collect()] == ["CASE-001"]

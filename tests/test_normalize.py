@@ -32,7 +32,7 @@ INVALID = [
     ("I008", "CASE-105", "A", "2026-02-01 11:00:00", "1"),
     ("I008", "CASE-105", "A", "2026-02-01 11:00:00", "1"),
 ]
-POLICIES = [ScalePolicy(mode="whole"), ScalePolicy(mode="split", max_group_rows=2)]
+POLICIES = [ScalePolicy(), ScalePolicy(max_group_rows=2)]
 
 
 def raw(spark, rows, columns=RAW_COLUMNS):
@@ -44,7 +44,7 @@ def token(text):
     return hmac.new(KEY, text.encode(), hashlib.sha256).hexdigest()
 
 
-@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", POLICIES, ids=lambda p: str(p.max_group_rows))
 def test_damaged_rows(spark, policy):
     log = norm.normalize(raw(spark, INVALID), BINDING, SemanticContract(), "ds", policy=policy)
     q = log.quality.first().asDict()

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from conftest import as_log
 from loomtrail.functions.quantiles import split_quantiles, value_bin
-from loomtrail.functions.timing import use_utc
+from loomtrail.functions.timing import millis_between, use_utc
 from loomtrail.operators import cases, dfg, paths, running, variants
 from loomtrail.operators import normalize as norm
-from loomtrail.operators.sequence import follow, split_cases
+from loomtrail.operators.sequence import follow, split_cases, transitions
 from loomtrail.plans import dirty
 from loomtrail.plans.logs import user_log
-from loomtrail.scale import ScalePolicy, fits_one_task, plan_bytes
+from loomtrail.scale import ScalePolicy, broadcast_checked, plan_bytes, shared_folder, stage, staging
 
-SPLIT = ScalePolicy(mode="split", max_group_rows=40)
+SPLIT = ScalePolicy(max_group_rows=40)
 SF = "/root/testdata/sf0.001"
 
 
@@ -57,7 +57,7 @@ def test_split_cuts_the_hot_case(skewed):
     assert split.whole.filter("case_id = 'HOT'").count() == 0
 
 
-@pytest.mark.parametrize("policy", [ScalePolicy(mode="whole"), SPLIT], ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", [ScalePolicy(), SPLIT], ids=lambda p: str(p.max_group_rows))
 def test_successors_and_positions(skewed, policy):
     got = {r.event_id: (r.event_position, r.next_activity) for r in follow(skewed, policy, position=True).collect()}
     expected = {}
@@ -68,7 +68,7 @@ def test_successors_and_positions(skewed, policy):
 
 
 def test_edges_agree(skewed):
-    whole = [tuple(r) for r in dfg.dfg_edges(skewed, policy=ScalePolicy(mode="whole")).collect()]
+    whole = [tuple(r) for r in dfg.dfg_edges(skewed, policy=ScalePolicy()).collect()]
     split = [tuple(r) for r in dfg.dfg_edges(skewed, policy=SPLIT).collect()]
     assert [w[:4] for w in whole] == [s[:4] for s in split]
     assert np.allclose([w[4:] for w in whole], [s[4:] for s in split])
@@ -77,9 +77,9 @@ def test_edges_agree(skewed):
 
 def test_variant_hash_ignores_the_cut(skewed, monkeypatch):
     monkeypatch.setattr(variants, "CHUNK", 7)  # three levels for the hot case
-    whole = {r.case_id: r for r in variants.case_traces(skewed, F.col("activity") == "C", ScalePolicy(mode="whole")).collect()}
+    whole = {r.case_id: r for r in variants.case_traces(skewed, F.col("activity") == "C", ScalePolicy()).collect()}
     split = {r.case_id: r for r in variants.case_traces(skewed, F.col("activity") == "C", SPLIT).collect()}
-    other = {r.case_id: r for r in variants.case_traces(skewed, F.col("activity") == "C", ScalePolicy(mode="split", max_group_rows=9)).collect()}
+    other = {r.case_id: r for r in variants.case_traces(skewed, F.col("activity") == "C", ScalePolicy(max_group_rows=9)).collect()}
     key = lambda r: (r.variant_hash, r.throughput_ms, r.event_count, r.has_rework, r.has_failure)
     assert {c: key(r) for c, r in whole.items()} == {c: key(r) for c, r in split.items()}
     assert {c: key(r) for c, r in whole.items()} == {c: key(r) for c, r in other.items()}
@@ -92,7 +92,7 @@ def test_short_hash_is_plain(skewed):
         assert got[case] == hashlib.sha256("\x1f".join(a for a, _, _ in steps).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("policy", [ScalePolicy(mode="whole"), SPLIT], ids=lambda p: p.mode)
+@pytest.mark.parametrize("policy", [ScalePolicy(), SPLIT], ids=lambda p: str(p.max_group_rows))
 def test_paths_against_brute_force(skewed, policy):
     text = {c: "".join(a for a, _, _ in t) for c, t in brute_traces().items()}
     exact = {r.case_id: r.occurrences for r in paths.cases_with_exact_path(skewed, list("ABA"), policy).collect()}
@@ -113,8 +113,8 @@ def test_paths_against_brute_force(skewed, policy):
 def test_running_total_agrees(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 101).alias("v")).repartition(5)
     order = [F.desc("v"), F.col("id").asc()]
-    whole = {tuple(r) for r in running.ranked_running_total(df, order, "v", ScalePolicy(mode="whole")).collect()}
-    split = {tuple(r) for r in running.ranked_running_total(df, order, "v", ScalePolicy(mode="split")).collect()}
+    whole = {tuple(r) for r in running.ranked_running_total(df, order, "v", ScalePolicy()).collect()}
+    split = {tuple(r) for r in running.ranked_running_total(df, order, "v", ScalePolicy(max_group_rows=1)).collect()}
     assert whole == split
 
 
@@ -148,8 +148,8 @@ def test_one_duplicate_key_on_most_rows(spark):
 
     binding = ColumnBinding("c", "a", "t", "e")
     results = []
-    for mode in ("whole", "split"):
-        checked = norm.validate(raw, binding, policy=ScalePolicy(mode=mode, max_group_rows=10))
+    for bound in (1000, 10):
+        checked = norm.validate(raw, binding, policy=ScalePolicy(max_group_rows=bound))
         columns = ["source_row_number", "duplicate_event", "duplicate_timestamp", "same_timestamp_count", "is_valid"]
         results.append(sorted(tuple(r) for r in checked.select(*columns).collect()))
     assert results[0] == results[1]
@@ -166,13 +166,9 @@ def test_plans_push_down_and_prune(spark):
     from loomtrail.operators.filters import in_range
 
     log = in_range(user_log(spark, SF), datetime(2024, 1, 5), datetime(2024, 1, 20))
-    edges = dfg.dfg_edges(log)
-    plan = plan_of(edges)
+    plan = plan_of(transitions(log))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
     assert "props" not in plan.split("ReadSchema")[1] and "value" not in plan.split("ReadSchema")[1].split("\n")[0]
-    edges.collect()
-    final = plan_of(edges).split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final  # cases and quantiles share the one shuffle of the log
     for df in (dfg.dfg_edges(log), dfg.dfg_nodes(log), cases.overview(log), variants.variant_summary(log)):
         text = plan_of(df)
         assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text
@@ -185,10 +181,87 @@ def test_no_python_in_normalization_plan(spark):
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
 
 
-def test_size_decides_the_form(spark):
-    log = user_log(spark, SF)
-    assert 0 < plan_bytes(log) < 1 << 20
-    assert fits_one_task(log, ScalePolicy())
-    assert not fits_one_task(log, ScalePolicy(whole_bytes=10))
+def test_counted_rows_decide_not_estimates(spark):
+    """A small table blown up to one large case is estimated small, and split all the same."""
+    small = user_log(spark, SF).limit(20).withColumn("case_id", F.lit("ONE"))
+    exploded = small.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    assert plan_bytes(exploded) < 1 << 20
+    assert split_cases(exploded, ScalePolicy(max_group_rows=1000)).pieces is not None
+    assert split_cases(exploded, ScalePolicy()).pieces is None
     with pytest.raises(ValueError):
-        ScalePolicy(mode="sometimes")
+        ScalePolicy(max_group_rows=0)
+
+
+def test_exploded_sides_get_no_hint(spark):
+    table = spark.read.parquet(f"{SF}/nation.parquet")
+    hint = "ResolvedHint"
+    plan = broadcast_checked(table)._jdf.queryExecution().analyzed().toString()
+    assert hint in plan
+    blown = table.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    assert hint not in broadcast_checked(blown)._jdf.queryExecution().analyzed().toString()
+
+
+def test_quantiles_divide_full_bins(spark):
+    """Most values lie in one logarithmic bin; bins are divided until the bound holds."""
+    rng = random.Random(3)
+    values = [10_000_000_000 + rng.randrange(30_000_000) for _ in range(3000)] + [5] * 50 + [-7] * 9
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v long")
+    wanted = {"lo": 0.01, "mid": 0.5, "hi": 0.999}
+    got = split_quantiles(df, ["g"], "v", wanted, ScalePolicy(max_group_rows=40)).first()
+    for q, p in wanted.items():
+        assert got[q] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_missing_activities_are_steps(spark):
+    log = as_log(spark, [("1", "a", "A", "2026-01-01", 1), ("2", "a", None, "2026-01-02", 2), ("3", "b", "A", "2026-01-01", 1)])
+    assert variants.variant_counts(variants.case_traces(log)).count() == 2
+
+
+def test_paths_are_told_apart_by_steps(spark):
+    rows, n = [], 0
+    for label in ["A > B", "C", "x", "A", "B > C"]:
+        n += 1
+        rows.append((str(n), "c", label, f"2026-01-{n:02d}", n))
+    assert paths.repeated_paths(as_log(spark, rows), 2).count() == 0
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    row = spark.createDataFrame([("2026-03-08 01:30:00.5", "2026-03-08 03:30:00")], "a string, b string")
+    row = row.select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert row.select(millis_between(F.col("a"), F.col("b"))).first()[0] == 7_199_500
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_staged_tables_go_when_their_scope_ends(spark):
+    with staging(spark):
+        df = stage(spark.range(5), "scope")
+        path = df.inputFiles()[0]
+        assert df.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_shared_folder_is_asked_for(spark):
+    class Context:
+        applicationId, master = "other", "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    Session.sparkContext.folder = None
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+    Session.sparkContext.folder = "hdfs://x/y/"
+    assert shared_folder(Session()) == "hdfs://x/y"
