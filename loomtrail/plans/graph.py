@@ -11,7 +11,7 @@ from loomtrail.plans.logs import (
     DAY_LOG, EDGE_COLUMNS, EDGES, LINE_LOG, ORDER_LOG, STEPS, TALK_LOG, USER_LOG,
     day_log, line_log, order_log, talk_log, user_log,
 )
-from loomtrail.plans.registry import query, ts_text
+from loomtrail.plans.registry import query, table, ts_text
 from loomtrail.scale import ScalePolicy
 
 # Forces the split form on the small test tables, so that the oracle checks it as well.
@@ -209,6 +209,35 @@ def _(spark, d):
     )
 
 
+_PART_LOG = "log AS (SELECT l_orderkey AS case_id, 'part ' || CAST(l_partkey AS VARCHAR) AS activity FROM lineitem)"
+
+
+@query(
+    "L03_cap_binds",
+    f"""WITH {_PART_LOG} SELECT activity, count(*) AS event_count, count(DISTINCT case_id) AS case_count FROM log
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {MAX_NODES}""",
+)
+def _(spark, d):
+    """More activities than a graph may show: what was asked for gives way to the cap."""
+    part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    log = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), part.alias("activity"))
+    return dfg.dfg_nodes(log, effective_limit(1_000_000, MAX_NODES)).drop("case_share")
+
+
+@query(
+    "L04_limits_reached",
+    f"""{_USER_EDGES}
+SELECT least(count(DISTINCT activity), 2) >= 2 AS node_limit_reached, (SELECT count(*) FROM edges) >= 3 AS edge_limit_reached,
+       least(count(DISTINCT activity), 2) AS node_count, (SELECT least(count(*), 3) FROM edges
+        WHERE source IN (SELECT activity FROM log GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)
+          AND target IN (SELECT activity FROM log GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)) AS edge_count
+FROM log""",
+)
+def _(spark, d):
+    graph = dfg.directly_follows(user_log(spark, d), max_nodes=2, max_edges=3)
+    return dfg.limit_warnings(graph, max_nodes=2, max_edges=3)
+
+
 @query(
     "L04_limit_warnings",
     f"""{_USER_EDGES}

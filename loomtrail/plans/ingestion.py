@@ -143,6 +143,25 @@ def _(spark, d):
     return profile.profile(table(spark, d, "orders")).select("column_name", "approx_distinct", "inferred_type")
 
 
+@query(
+    "X11_distinct_error",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact_distinct, true AS within_bound FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    ),
+)
+def _(spark, d):
+    """The sketch stays within a sixth of the exact count."""
+    orders = table(spark, d, "orders")
+    counts = [F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("exact_distinct")) for c in orders.columns]
+    exact = orders.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+    return exact.join(profile.profile(orders), "column_name").select(
+        "column_name",
+        "exact_distinct",
+        (F.abs(F.col("approx_distinct") - F.col("exact_distinct")) * 6 <= F.col("exact_distinct")).alias("within_bound"),
+    )
+
+
 @query("R02_source_size", "SELECT count(*) AS row_count, 11 AS column_count FROM lineitem")
 def _(spark, d):
     return profile.source_size(table(spark, d, "lineitem"))
@@ -202,11 +221,23 @@ def _(spark, d):
     return profile.timestamp_preview(raw_log(spark, d), "raw_ts", "Asia/Seoul").drop("parsed_value")
 
 
-@query("R08_needs_source_timezone", f"WITH {RAW} SELECT true AS requires_source_timezone FROM raw LIMIT 1")
+_NAIVE = "coalesce(trim(raw_ts) <> '' AND NOT regexp_matches(trim(raw_ts), '(:[0-9]{2}[+-][0-9]{2}:[0-9]{2}|Z)$'), false)"
+
+
+@query("R08_needs_source_timezone", f"WITH {RAW} SELECT bool_or({_NAIVE}) AS requires_source_timezone FROM raw")
 def _(spark, d):
     return profile.needs_source_timezone(raw_log(spark, d), "raw_ts")
 
 
+@query(
+    "R08_aware_rows_only",
+    f"WITH {RAW} SELECT bool_or({_NAIVE}) AS requires_source_timezone FROM raw WHERE raw_ts IS NULL OR raw_ts LIKE '%+09:00'",
+)
+def _(spark, d):
+    rows = raw_log(spark, d).filter(F.col("raw_ts").isNull() | F.col("raw_ts").endswith("+09:00"))
+    return profile.needs_source_timezone(rows, "raw_ts")
+
+
 @query(
     "R09_pii_candidates",
     " UNION ALL ".join(
@@ -307,6 +338,28 @@ def _(spark, d):
     return orders.agg(F.count("o_orderdate").alias("rows_to_parse"))
 
 
+@query(
+    "N06_settings_from_data",
+    """SELECT DISTINCT o_orderpriority AS setting, false AS accepted FROM orders
+UNION ALL SELECT DISTINCT CASE o_orderstatus WHEN 'O' THEN 'Asia/Seoul' ELSE 'Nowhere/' || o_orderstatus END, o_orderstatus = 'O' FROM orders""",
+)
+def _(spark, d):
+    """Zone names as the data give them: only real ones pass."""
+    named = F.when(F.col("o_orderstatus") == "O", "Asia/Seoul").otherwise(F.concat(F.lit("Nowhere/"), "o_orderstatus"))
+    orders = table(spark, d, "orders")
+    settings = orders.select(F.explode(F.array("o_orderpriority", named)).alias("setting")).distinct()
+
+    def accepted(zone):
+        try:
+            timestamps.check_timezone(spark, zone)
+        except ValueError:
+            return False
+        return True
+
+    good = [r["setting"] for r in settings.collect() if accepted(r["setting"])]
+    return settings.select("setting", F.col("setting").isin(*good).alias("accepted"))
+
+
 @query("N07_row_number_parquet", "SELECT event_id, row_number() OVER () AS source_row_number FROM events")
 def _(spark, d):
     return readers.number_parquet_rows(spark, f"{d}/events.parquet").select("event_id", "source_row_number")
@@ -669,6 +722,23 @@ def _(spark, d):
     return quality.gate(quality.melt(row, ["ingestion_batch_id"], list(_GATES)), _GATES)
 
 
+@query(
+    "V05_manifest_drift",
+    """WITH a AS (SELECT o_orderkey AS path, o_custkey AS size FROM orders WHERE o_orderkey % 11 <> 0),
+b AS (SELECT o_orderkey AS path, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS size FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT path, CASE WHEN b.path IS NULL THEN 'MISSING' WHEN a.path IS NULL THEN 'NEW' WHEN a.size = b.size THEN 'UNCHANGED' ELSE 'CHANGED' END AS drift
+FROM a FULL JOIN b USING (path)""",
+)
+def _(spark, d):
+    """Two manifests over one key: what went, came, changed or stayed."""
+    orders = table(spark, d, "orders")
+    key, size = F.col("o_orderkey"), F.col("o_custkey")
+    old = orders.filter(key % 11 != 0).select(key.alias("path"), size.alias("size_bytes"))
+    grown = size + F.when(key % 7 == 0, 1).otherwise(0)
+    now = orders.filter(key % 13 != 0).select(key.alias("path"), grown.alias("size_bytes"))
+    return drift.source_drift(now, old)
+
+
 @query("V05_source_drift")
 def _(spark, d):
     """All table files against a manifest in which events has another size and orders is missing."""
