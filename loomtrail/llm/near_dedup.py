@@ -7,12 +7,14 @@
 3. Registers are cut into bands of four. Nodes that agree in a band lie in one bucket. Two sets of
    similarity 0.8 miss all 32 bands once in 20 million cases.
 4. Buckets propose pairs. First every member of a bucket is compared with one member, the pivot: the one
-   that shares most buckets, then others at random. What becomes connected needs no further comparison.
-   Then all pairs of a bucket that are still apart are proposed, unless sizes or rare shingles prove
-   them too different. So a bucket of thousands of copies costs about as many pairs as members, yet no
-   pair is left out: pairs within a component change nothing, and the bounds are exact.
-5. A pair's similarity is estimated from its registers, corrected for chance collisions; pairs more than
-   six standard deviations below the threshold are dropped. All others are verified on the full sets.
+   that shares most buckets. What becomes connected needs no further comparison. In buckets that still
+   hold nodes of different components, all pairs of different components follow: one by one in small
+   buckets; in blocks in large ones, where a task counts the overlaps of two blocks of full sets at
+   once and gives out only links that join components. So a bucket of thousands of copies yields about
+   as many pairs as members, and no pair is left out.
+5. A proposed pair's similarity is estimated from its registers, corrected for chance collisions; pairs
+   more than six standard deviations below the threshold are dropped. All others are verified on the
+   full sets.
 6. Connected components of the verified links; a component is named by its smallest ``doc_id``.
 
 Results on edge cases: a null or empty text, or one without words, has an empty set and is linked with
@@ -42,7 +44,11 @@ REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
 BAND = 4
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+#: Open buckets up to this size propose their pairs one by one; larger ones are compared in blocks.
+SMALL_BUCKET = 32
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+MATRIX_COLUMNS = 4096
 DEVIATIONS = 6
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -227,7 +233,10 @@ def find_links(docs: DataFrame, classes: DataFrame, size: int, threshold: tuple[
         found = linker.links(pairs)
         links = stage(found if links is None else links.unionByName(found).distinct(), "near-links")
         labelled = stage(_open_buckets(members, spread(links)), "near-open")
-    rest = linker.links(_remaining_pairs(labelled, sets, threshold))
+    sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("most").alias("weight"))
+    sized = labelled.join(sizes, "bucket")
+    rest = linker.links(_small_bucket_pairs(sized.where(F.col("n") <= SMALL_BUCKET), threshold))
+    rest = rest.unionByName(_large_bucket_links(sized.where(F.col("n") > SMALL_BUCKET), sets, threshold))
     return stage(links.unionByName(rest).distinct(), "near-links")
 
 
@@ -243,28 +252,66 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _remaining_pairs(open_members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket in different components that no bound rules out.
+def _small_bucket_pairs(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs in different components whose sizes allow a link; at most ``SMALL_BUCKET`` a member and bucket."""
+    left = members.select("bucket", "node", "component", "least", "most").toDF("bucket", "a", "ca", "la", "ma")
+    right = left.toDF("bucket", "b", "cb", "lb", "mb")
+    top, base = threshold
+    fit = (F.col("ma") * base >= F.col("lb") * top) & (F.col("mb") * base >= F.col("la") * top)
+    pairs = left.join(right, "bucket").where((F.col("ca") < F.col("cb")) & fit)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    With t the threshold, a link needs a common part of t / (1 + t) of both sizes together. Shingles that no
-    other open node has cannot be common.
-    """
+def _block_links(key: tuple, table: pa.Table, threshold: tuple[int, int]) -> pa.Table:
+    """Links within one block of a bucket, or between two, by exact overlaps; only those that join components."""
     top, base = threshold
-    nodes = open_members.select("node").distinct()
-    shingles = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s")).distinct()
-    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    rows = open_members.join(alone, "node", "left").withColumn("common", F.col("most") - F.coalesce("alone", F.lit(0)))
-    # Only sets that could pair with one of their own size or smaller; the other side may be any.
-    rows = stage(rows.select("bucket", "node", "component", "least", "most", "common", "merit"), "near-rows")
-    left = rows.toDF("bucket", "a", "ca", "la", "ma", "fa", "xa")
-    right = rows.toDF("bucket", "b", "cb", "lb", "mb", "fb", "xb")
-    enough = F.least("fa", "fb") * (base + top) >= (F.col("la") + F.col("lb")) * top
+    nodes, component = table["node"].to_numpy(), table["component"].to_numpy()
+    lists = table["shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(nodes)), sizes)
+    found, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # Shingles of one set only are in no overlap.
+    place = np.cumsum(times > 1) - 1
+    used = times[column] > 1
+    row, column = row[used], place[column[used]]
+    overlap = np.zeros((len(nodes), len(nodes)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + MATRIX_COLUMNS])
+        part = np.zeros((len(nodes), MATRIX_COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        overlap += part @ part.T
+    linked = overlap * (top + base) >= top * (sizes[:, None] + sizes[None, :])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked & (component[:, None] != component[None, :]), 1)).tolist():
+        x, y = root(int(component[i])), root(int(component[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _large_bucket_links(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Large buckets in blocks: every block meets every other in a task of its own, so that each task holds
+    at most two blocks of ``BLOCK`` nodes or about ``BLOCK_SHINGLES`` shingles, and pairs are never written."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = met.select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component"
+    )
     return (
-        left.join(right, "bucket")
-        .where((F.col("ca") < F.col("cb")) & enough)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        keyed.join(sets.select("node", "shingles"), "node")
+        .groupBy("bucket", "low", "high")
+        .applyInArrow(lambda key, table: _block_links(key, table, threshold), "a long, b long")
     )
 
 
