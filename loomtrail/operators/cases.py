@@ -199,18 +199,21 @@ def search_cases(
     after_case_id: str | None = None,
     page_size: int = CASE_PAGE_SIZE,
 ) -> DataFrame:
-    """One page of case summaries in case-id order. The next page starts after the last id."""
+    """One page of case summaries in case-id order. The next page starts after the last id.
+
+    The ids of the page are found first; only their events are summed up.
+    """
     if after_case_id is not None:
         log = log.filter(F.col("case_id") > after_case_id)
+    ids = log if activity is None else log.filter(F.col("activity") == activity)
+    ids = ids.select("case_id").distinct()
     if date_from is not None or date_to is not None:
         active = in_range(log, date_from, date_to).select("case_id").distinct()
-        log = log.join(active, "case_id", "left_semi")
-    if activity is not None:
-        having = log.filter(F.col("activity") == activity).select("case_id").distinct()
-        log = log.join(having, "case_id", "left_semi")
+        ids = ids.join(active, "case_id", "left_semi")
     if variant_cases is not None:
-        log = log.join(variant_cases.select("case_id"), "case_id", "left_semi")
-    return case_bounds(log).orderBy("case_id").limit(page_size)
+        ids = ids.join(variant_cases.select("case_id"), "case_id", "left_semi")
+    page = F.broadcast(ids.orderBy("case_id").limit(page_size))  # page_size rows
+    return case_bounds(log.join(page, "case_id", "left_semi")).orderBy("case_id")
 
 
 def failure_rate_by_activity(log: DataFrame, failure: Column) -> DataFrame:

@@ -53,11 +53,23 @@ def keep_cases(log: DataFrame, cases: DataFrame) -> DataFrame:
     return log.join(cases.select("case_id"), "case_id", "left_semi")
 
 
-def filter_signature(spec: EventFilter, dataset: str | None = None, level: str = "source") -> str:
-    """Stable text that identifies what a result was computed from."""
+def filter_signature(
+    spec: EventFilter,
+    dataset: str | None = None,
+    level: str = "source",
+    mapping_set: int | None = None,
+    unmapped: str | None = None,
+    limits: dict[str, int] | None = None,
+) -> str:
+    """Stable text that identifies what a result was computed from: the data set, the level of activities with
+    its mapping set and treatment of unmapped ones, the filter, and the display limits."""
     parts = [f"dataset={dataset}" if dataset else "all-events"]
     if level != "source":
         parts.append(f"activity-level={level}")
+    if mapping_set is not None:
+        parts.append(f"mapping-set=v{mapping_set}")
+    if unmapped is not None:
+        parts.append(f"unmapped={unmapped}")
     if spec.date_from:
         parts.append(f"from={spec.date_from.isoformat()}")
     if spec.date_to:
@@ -69,4 +81,5 @@ def filter_signature(spec: EventFilter, dataset: str | None = None, level: str =
     if spec.mapping_version:
         parts.append(f"mapping={spec.mapping_version}")
     parts.extend(f"{k}={','.join(sorted(v))}" for k, v in sorted(spec.attributes.items()))
+    parts.extend(f"{k}={v}" for k, v in sorted((limits or {}).items()))
     return ";".join(parts)

@@ -646,3 +646,16 @@ def _(spark, d):
 def _(spark, d):
     log = in_range(user_log(spark, d), None, JAN_20)
     return log.agg(F.count("*").alias("event_count")).withColumn("filter_signature", F.lit(SIGNATURE))
+
+
+@query(
+    "M21_signature_of_limits",
+    f"""WITH {_SIGNED_LOG} SELECT count(*) AS event_count,
+  'dataset=events;activity-level=business;mapping-set=v3;unmapped=EXCLUDE;to=2024-01-20T00:00:00;max_edges=5;max_nodes=9' AS filter_signature FROM log""",
+)
+def _(spark, d):
+    signature = filter_signature(
+        SPEC, "events", "business", mapping_set=3, unmapped="EXCLUDE", limits={"max_nodes": 9, "max_edges": 5}
+    )
+    log = in_range(user_log(spark, d), None, JAN_20)
+    return log.agg(F.count("*").alias("event_count")).withColumn("filter_signature", F.lit(signature))
