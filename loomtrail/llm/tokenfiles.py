@@ -49,20 +49,27 @@ _SHARDS = (
     "part int, shard int, doc_ids array<long>, n_tokens array<long>, symbol_starts array<long>, first_rule long, "
     "rules binary, rule_lengths binary, symbol_bytes int, symbols binary"
 )
-_BINS = 1 << 16
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _frequent_pairs(keys: np.ndarray, limit: int, least: int) -> np.ndarray:
-    """The most frequent keys, ascending, each found ``least`` times or more."""
-    bins = ((keys * _MIX) >> np.uint64(48)).astype(np.int64)
-    counts = np.bincount(bins, minlength=_BINS)
+def _frequent_pairs(keys: np.ndarray, inside: np.ndarray, limit: int, least: int) -> tuple[np.ndarray, ...]:
+    """The most frequent keys, ascending, each found ``least`` times or more; where they are, and which.
+
+    Counts of hashed keys show which keys can be among them; only those are sorted.
+    """
+    wide = keys.dtype.itemsize * 8
+    mix = keys.dtype.type(0x9E3779B1 if wide == 32 else 0x9E3779B97F4A7C15)
+    bins = (keys * mix) >> keys.dtype.type(wide - 16)
+    counts = np.bincount(bins, minlength=1 << 16)
     floor = max(least, int(np.partition(counts, -limit)[-limit]))
-    found, n = np.unique(keys[(counts >= floor)[bins]], return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    if len(found) > limit:
-        found = found[np.argsort(-n, kind="stable")[:limit]]
-    return np.sort(found)
+    at = np.flatnonzero((counts >= floor)[bins] & inside)
+    found, which, n = np.unique(keys[at], return_inverse=True, return_counts=True)
+    good = np.flatnonzero(n >= least)
+    if len(good) > limit:
+        good = np.sort(good[np.argsort(-n[good], kind="stable")[:limit]])
+    rank = np.full(len(found), -1)
+    rank[good] = np.arange(len(good))
+    which = rank[which]
+    return found[good], at[which >= 0], which[which >= 0]
 
 
 def compress(
@@ -73,7 +80,9 @@ def compress(
 
     ``ids`` are the documents one after the other, ``lengths`` their lengths, each 1 or more.
     """
-    symbols = ids.astype(np.uint64)
+    half = 16 if first_rule + rounds * limit <= 1 << 16 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    symbols = ids.astype(kind)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
@@ -81,24 +90,21 @@ def compress(
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        inside = ~last[:-1]
-        chosen = _frequent_pairs(keys[inside], limit, least)
+        keys = (symbols[:-1] << kind(half)) | symbols[1:]
+        chosen, hit, rank = _frequent_pairs(keys, ~last[:-1], limit, least)
         if not len(chosen):
             break
-        rank = np.searchsorted(chosen, keys)
-        rank[rank == len(chosen)] = 0
-        hit = np.flatnonzero((chosen[rank] == keys) & inside)
         # Of pairs that overlap, every other one from the left.
         begins = np.r_[True, np.diff(hit) > 1]
         run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        symbols[hit] = (first_rule + n_rules + rank[hit]).astype(np.uint64)
+        turn = (np.arange(len(hit)) - run) % 2 == 0
+        hit = hit[turn]
+        symbols[hit] = (first_rule + n_rules + rank[turn]).astype(kind)
         last[hit] = last[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1))
+        rules.append(np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], 1).astype(np.uint64))
         n_rules += len(chosen)
     starts = np.r_[0, np.flatnonzero(last) + 1][:-1]
     return symbols, starts, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)
