@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from loomtrail.scale import stage
 
-#: Rounds double the reach of a label, so this covers any chain of links there can be.
-MOST_ROUNDS = 100
-
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -18,10 +15,15 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 
 def _round(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Take the smallest label next to a node, then the label of that label."""
+    """Take the smallest label next to a node or to those it is the label of, then the label of that label.
+
+    So what has no smaller label beside itself is hooked by its followers, and chains in any order settle fast.
+    """
     seen = edges.join(labels.toDF("v", "seen"), "v").groupBy("u").agg(F.min("seen").alias("seen"))
-    lower = labels.join(seen, F.col("node") == F.col("u")).select(
-        "node", F.least("component", "seen").alias("component"), F.col("component").alias("before")
+    beside = labels.join(seen, F.col("node") == F.col("u")).select("node", "component", "seen")
+    hooks = beside.groupBy(F.col("component").alias("root")).agg(F.min("seen").alias("hook"))
+    lower = beside.join(hooks, F.col("node") == F.col("root"), "left").select(
+        "node", F.least("component", "seen", "hook").alias("component"), F.col("component").alias("before")
     )
     jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
     return lower.join(jump, "component").select("node", F.col("further").alias("component"), "before")
@@ -43,12 +45,14 @@ def spread(links: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """Nodes of the links (a, b) with the smallest node of their component; ``links`` is a written table."""
+    """Nodes of the links (a, b) with the smallest node of their component; ``links`` is a written table.
+
+    Labels only fall, so the rounds end by themselves; none changes a label only if all links join equal ones.
+    """
     edges = _both_ways(links)
     labels = stage(_start(edges), "components")
-    for _ in range(MOST_ROUNDS):
+    while True:
         after = stage(_round(edges, labels), "components")
         labels = after.select("node", "component")
         if after.where("component <> before").isEmpty():
             return labels
-    raise RuntimeError("components have not settled")

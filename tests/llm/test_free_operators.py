@@ -103,6 +103,13 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.component for r in connected(links).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = list(range(3000))
+    random.Random(7).shuffle(ids)
+    links = stage(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), "chain")
+    assert {r.node: r.component for r in connected(links).collect()} == dict.fromkeys(ids, 0)
+
+
 def test_licenses(spark):
     rows = [
         (1, "Text. Licensed under CC BY-NC 4.0. cc-by; ALL RIGHTS, reserved"), (2, None), (3, ""),
