@@ -2,7 +2,8 @@
 
 Numbers are validated before they are touched: payment cards by their check digit, IBANs by theirs, IP
 addresses by their octets, dates by the calendar, social security numbers by the blocks never issued.
-Telephone numbers, mail addresses and secrets behind a naming word are found by form.
+Telephone numbers, mail addresses and secrets behind a naming word are found by form. A secret is replaced
+whole, whatever its length; what is neither letter nor digit in it (the points of a JWT) stays in place.
 
 Digits, small and capital letters of a value are permuted each among themselves by a Feistel network:
 two halves, in turn, are shifted letter by letter by a keyed hash of the other half. It can be
@@ -40,8 +41,10 @@ _MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-
 _IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
-#: Its value is the pattern's first group.
-_SECRET = r"(?i:(?<=\b(?:token|secret|password|api_key|apikey|key)\s{0,2}[=:]\s{0,2}[\"']?)([a-z0-9_-]{16,128}+))"
+#: Names of secrets: the words alone or at the end of a longer name; ``key`` needs a break or a change of case before it.
+_NAMING = r"(?:(?i:token|secret|password|api_?key)|(?<![A-Za-z])(?i:key)|(?<=[a-z])K(?:ey|EY))"
+#: Its value is the pattern's first group and runs on as far as keys and tokens do.
+_SECRET = rf"(?<={_NAMING}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)([A-Za-z0-9_.+/=-]{{16,}}+)"
 
 #: Kinds in the order they are tried, each with its form.
 KINDS = {
@@ -76,15 +79,18 @@ def feistel(text: Column, alphabet_from: int, radix: int, key: str, kind: Column
     def shifted(half: Column, other: Column, n_round: Column) -> Column:
         stream = _keyed(key, kind, n_round.cast("string"), F.length(half).cast("string"), other)
 
-        def letter(s: Column, i: Column) -> Column:
+        def letter(s: Column, c: Column, i: Column) -> Column:
             step = _number(F.substr(s, (i % 64) * 2 + 1, F.lit(2)))
-            at = (F.ascii(F.substr(half, i + 1, F.lit(1))) - alphabet_from + step) % radix
-            return F.char(at + alphabet_from)
+            return F.char((F.ascii(c) - alphabet_from + step) % radix + alphabet_from)
 
-        letters = let(
-            stream,
-            lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.length(half) - 1), lambda i: letter(s, i)), ""),
-        )
+        def block(s: Column, b: Column) -> Column:
+            """64 letters; later blocks have streams of their own, so that none shares its shifts with another."""
+            own = F.when(b == 0, s).otherwise(F.sha2(F.concat_ws("\x1f", s, b.cast("string")), 512))
+            cut = F.split(F.substr(half, b * 64 + 1, F.lit(64)), "(?<=.)(?=.)")
+            return let(own, lambda o: F.array_join(F.transform(cut, lambda c, i: letter(o, c, i)), ""))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.length(half) - 1) / 64).cast("int"))
+        letters = let(stream, lambda s: F.array_join(F.transform(blocks, lambda b: block(s, b)), ""))
         return F.when(F.length(half) > 0, letters).otherwise(F.lit(""))
 
     def a_round(a: Column, r: Column) -> Column:
@@ -108,31 +114,21 @@ def _only(text: Column, letters: str) -> Column:
 
 def _refill(form: Column, digits: Column, small: Column, capital: Column) -> Column:
     """``form`` with its digits, small and capital letters replaced in order."""
-
-    def step(a: Column, i: Column) -> Column:
-        c = F.substr(form, i, F.lit(1))
-
-        def take(name: str) -> Column:
-            rest = {n: a[n] for n in ("digits", "small", "capital")}
-            rest[name] = F.substr(a[name], F.lit(2), F.length(a[name]))
-            return F.struct(
-                F.concat(a["out"], F.substr(a[name], F.lit(1), F.lit(1))).alias("out"),
-                *[v.alias(n) for n, v in rest.items()],
-            )
-
-        kept = F.struct(F.concat(a["out"], c).alias("out"), *[a[n].alias(n) for n in ("digits", "small", "capital")])
-        return (
-            F.when(c.rlike("[0-9]"), take("digits"))
-            .when(c.rlike("[a-z]"), take("small"))
-            .when(c.rlike("[A-Z]"), take("capital"))
-            .otherwise(kept)
-        )
-
-    start = F.struct(
-        F.lit("").alias("out"), digits.alias("digits"), small.alias("small"), capital.alias("capital")
+    letters = F.split(form, "(?<=.)(?=.)")
+
+    def placed(pattern: str, new: Column | None) -> Column:
+        at = F.filter(F.transform(letters, lambda c, i: F.struct(i.alias("at"), c.alias("c"))), lambda x: x["c"].rlike(pattern))
+        if new is None:
+            return at
+        own = F.split(new, "(?<=.)(?=.)")
+        return let(own, lambda o: F.transform(
+            at, lambda x, k: F.struct(x["at"].alias("at"), F.coalesce(F.get(o, k), F.lit("")).alias("c"))))
+
+    whole = F.concat(
+        placed("[0-9]", digits), placed("[a-z]", small), placed("[A-Z]", capital), placed("[^0-9a-zA-Z]", None)
     )
-    whole = F.aggregate(F.sequence(F.lit(1), F.length(form)), start, step, lambda a: a["out"])
-    return F.when(F.length(form) > 0, whole).otherwise(form)
+    out = F.array_join(F.transform(F.sort_array(whole), lambda x: x["c"]), "")
+    return F.when(F.length(form) > 0, out).otherwise(form)
 
 
 def _classes(form: Column, key: str, kind: str, radix: int = 26) -> Column:

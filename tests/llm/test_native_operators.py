@@ -97,6 +97,32 @@ def test_pseudonyms(spark):
         pii.pseudonymize(docs, "")
 
 
+def test_secrets_are_replaced_whole(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    jwt = ".".join([make(36), make(74), make(43)])
+    base64 = make(13) + "+/" + make(25) + "=="
+    secrets = [make(129), make(500), make(20_000), jwt, base64, make(15) + "/" + make(24)]
+    names = ["token=", "client_secret = ", "password: ", '"access_token": "', "aws_secret_access_key=", "privateKey='"]
+    rows = [(f"{n}{s}\" end", s, n) for n in names for s in secrets] + [("monkey: sits_on_a_green_tree", "", "monkey: ")]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "text string, was string, name string"), "k").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if not r.was:
+            assert r.text == rows[-1][0] and not r.findings
+            continue
+        assert r.text.startswith(r.name) and r.text.endswith('" end')
+        new = r.text[len(r.name) : -len('" end')]
+        assert [f.kind for f in r.findings] == ["secret"] and r.findings[0].value == new
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", new))) == re.sub(
+            "[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", r.was)))
+        assert not any(r.was[i : i + 8] in new for i in range(len(r.was) - 7))
+    same = pii.pseudonymize(spark.createDataFrame([("token=" + "a" * 800,)], "text string"), "k").first().text[6:]
+    shifts = [same[i : i + 64] for i in range(0, 384, 64)]
+    assert len(set(shifts)) == 6
+
+
 def test_permutations_are_one_to_one(spark):
     numbers = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
     assert numbers.select(pii.feistel(F.col("v"), 48, 10, "k", "t").alias("p")).distinct().count() == 10_000
