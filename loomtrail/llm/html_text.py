@@ -4,11 +4,10 @@
    scripts, styles and reader comments are named by their elements, classes or ids and leave at once.
    Blocks of a declared article (``article``, ``main``) are text of the page and stay whole. All other
    blocks are open.
-2. Open blocks are judged per host: the token streams of its pages are put one after the other, and the
-   ranks of a suffix array at ``LONG`` tokens show the substrings of that length that return on
-   ``PAGES`` distinct pages or more. Tokens they cover are boilerplate; the uncovered runs of a block stay.
-   Equal streams of a host count as one page. A host with more than ``PART_TOKENS`` tokens is split by page
-   into parts of about that size, each judged like a host: what a host repeats, it repeats in each part.
+2. Open blocks are judged per host, over all its pages: every ``LONG`` tokens of a page's open stream are hashed
+   (128 bits), distinct pages are counted per host and hash, and the hashes found on ``PAGES`` pages or more go
+   back to the streams that hold them. Tokens they cover are boilerplate; the uncovered runs of a block stay.
+   No task holds a host: a stream is cut by itself, whatever its host's size.
 
 Results on edge cases: a null or empty page, or one without text, gives an empty text; a page without a
 host is judged among those without; equal rows all get the result; null ``page_id`` stays null; an
@@ -18,13 +17,14 @@ tags) is read as far as it goes.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,6 @@ from loomtrail.scale import stage
 
 LONG = 5
 PAGES = 3
-PART_TOKENS = 200_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -146,7 +145,8 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
 def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int = PAGES) -> np.ndarray:
     """Tokens covered by a substring of ``long`` tokens that returns on ``least`` distinct pages.
 
-    ``pages`` ascends. Ranks are doubled until they compare ``long`` tokens, as in building a suffix array.
+    ``pages`` ascends. Ranks are doubled until they compare ``long`` tokens, as in building a suffix array. It
+    says for tokens in memory what the hashes say for hosts of any size, and is what they are tested against.
     """
     n = len(tokens)
     covered = np.zeros(n, bool)
@@ -166,13 +166,14 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int
     new_page = first | np.r_[True, np.diff(pages[order]) != 0]
     group = np.cumsum(first) - 1
     often = np.bincount(group[new_page])[group] >= least if len(order) else np.zeros(0, bool)
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, order[often], 1)
-    np.add.at(change, order[often] + long, -1)
-    return np.cumsum(change[:n]) > 0
-
+    return _covered(n, order[often], order[often] + long)
 
 
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
+    return np.cumsum(change[:n]) > 0
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -205,23 +206,83 @@ def _gone(covered: np.ndarray, long: int = LONG) -> np.ndarray:
     return out
 
 
-def _unique_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """The open streams of one part of a host without their repeats."""
-    group = group.sort_values("stream_key", kind="stable").reset_index(drop=True)
-    cut = [[str(b).split(" ") for b in blocks] for blocks in group["stream"]]
-    tokens = np.array([w for page in cut for b in page for w in b], dtype=object)
-    page_of = np.repeat(np.arange(len(cut)), [sum(map(len, page)) for page in cut])
-    codes = pd.factorize(tokens)[0] if len(tokens) else np.zeros(0, np.int64)
-    covered = repeated(codes, page_of)
-    out, at = [], 0
-    for page in cut:
-        kept = []
-        for block in page:
-            gone = _gone(covered[at : at + len(block)])
-            kept.append(" ".join(w for w, g in zip(block, gone) if not g))
-            at += len(block)
-        out.append(kept)
-    return pd.DataFrame({"host": group["host"], "stream_key": group["stream_key"], "kept": out})
+_HASH = np.dtype([("h1", "<i8"), ("h2", "<i8")])
+#: Odd factors of the two rolling hashes.
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def passages(stream: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a stream's passages, and the places of the tokens they start at and end before."""
+    tokens = [w for block in stream for w in block.split(" ")]
+    n = max(len(tokens) - LONG + 1, 0)
+    digest = {w: _digest(w) for w in set(tokens)}
+    codes = np.frombuffer(b"".join(map(digest.__getitem__, tokens)), "<u8").reshape(-1, 2)
+    found = np.zeros(n, _HASH)
+    for lane, name in enumerate(_HASH.names):
+        h = np.zeros(n, np.uint64)
+        for k in range(LONG if n else 0):
+            h = h * np.uint64(_FACTORS[lane]) + codes[k : k + n, lane]
+        found[name] = h.view(np.int64)
+    starts = np.arange(n)
+    return found, starts, starts + LONG
+
+
+def _hashed(streams: DataFrame) -> DataFrame:
+    """Per stream its distinct passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = np.unique(passages(batch.column(2)[row].as_py())[0])
+                one = np.zeros(len(found), np.int64)
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    same = pa.array(one[at : at + 50_000])
+                    columns = [pc.take(batch.column(k).slice(row, 1), same) for k in (0, 1, 3)]
+                    hashes = [pa.array(np.ascontiguousarray(part[h])) for h in _HASH.names]
+                    yield pa.RecordBatch.from_arrays(columns + hashes, names=["host", "stream_key", "n_pages", "h1", "h2"])
+
+    columns = streams.select("host", "stream_key", "stream", "n_pages")
+    return columns.mapInArrow(run, "host string, stream_key string, n_pages long, h1 long, h2 long")
+
+
+def unique_runs(stream: list[str], often: np.ndarray) -> list[str]:
+    """The blocks of a stream without the passages that the host repeats."""
+    found, starts, ends = passages(stream)
+    hit = np.isin(found, often)
+    cut = [block.split(" ") for block in stream]
+    covered = _covered(sum(map(len, cut)), starts[hit], ends[hit])
+    kept, at = [], 0
+    for block in cut:
+        gone = _gone(covered[at : at + len(block)])
+        kept.append(" ".join(w for w, g in zip(block, gone) if not g))
+        at += len(block)
+    return kept
+
+
+def _without_repeats(streams: DataFrame) -> DataFrame:
+    """host, stream_key and ``kept`` of streams with their ``often`` repeated passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                often = part.column(3)[0].values
+                hashes = np.zeros(len(often), _HASH)
+                for h in _HASH.names:
+                    hashes[h] = often.field(h).to_numpy()
+                kept = unique_runs(part.column(2)[0].as_py(), hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([kept], pa.list_(pa.string()))],
+                    names=["host", "stream_key", "kept"],
+                )
+
+    columns = streams.select("host", "stream_key", "stream", "often")
+    return columns.mapInArrow(run, "host string, stream_key string, kept array<string>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -233,14 +294,16 @@ def main_text(pages: DataFrame) -> DataFrame:
         parsed.withColumn("stream_key", F.when(F.size("stream") > 0, F.sha2(F.array_join("stream", "\n"), 256))), "pages"
     )
     open_ = parsed.where(F.col("stream_key").isNotNull())
-    streams = open_.groupBy("host", "stream_key").agg(F.first("stream").alias("stream"))
+    streams = open_.groupBy("host", "stream_key").agg(F.first("stream").alias("stream"), F.lit(1).cast("long").alias("n_pages"))
     streams = stage(streams, "page-streams")
-    size = F.aggregate("stream", F.lit(0).cast("long"), lambda a, t: a + F.size(F.split(t, " ")))
-    hosts = streams.groupBy("host").agg(F.ceil(F.sum(size) / PART_TOKENS).alias("parts"))
-    parted = streams.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("stream_key"), F.col("parts")))
-    schema = "host string, stream_key string, kept array<string>"
-    kept = parted.groupBy("host", "part").applyInPandas(lambda key, g: _unique_runs(g), schema)
-    rows = parsed.join(kept, ["host", "stream_key"], "left")
+    hashed = _hashed(streams)
+    often = hashed.groupBy("host", "h1", "h2").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= PAGES).drop("n")
+    held = hashed.join(often, ["host", "h1", "h2"]).groupBy("host", "stream_key").agg(
+        F.collect_list(F.struct("h1", "h2")).alias("often")
+    )
+    kept = _without_repeats(streams.join(held, ["host", "stream_key"]))
+    # Streams in which nothing repeats keep their blocks.
+    rows = parsed.join(kept, ["host", "stream_key"], "left").withColumn("kept", F.coalesce("kept", "stream"))
     # The n-th open block of a page takes the n-th kept run.
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 

@@ -159,6 +159,25 @@ def test_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, rows):
+    ship(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+
+
+def prose(rng, n):
+    return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+
+def test_repeats_are_counted_over_a_large_host(spark):
+    """260,000 open tokens, and a notice on few of the pages."""
+    rng = random.Random(9)
+    notice = "Our office in town stays closed on all of the public holidays of this year and the next one too thanks"
+    bodies = [prose(rng, 1300) for _ in range(200)]
+    rows = [(k, f"http://big.org/{k}", f"<div>{b}</div>" + f"<div>{notice}</div>" * (k in (3, 90, 177))) for k, b in enumerate(bodies)]
+    assert texts_of(spark, rows) == dict(enumerate(bodies))
+
+
 def test_repeats_against_brute_force():
     rng = random.Random(5)
     for _ in range(50):
