@@ -7,7 +7,8 @@
 2. Open blocks are judged per host, over all its pages: every ``LONG`` tokens of a page's open stream are hashed
    (128 bits), distinct pages are counted per host and hash, and the hashes found on ``PAGES`` pages or more go
    back to the streams that hold them. Tokens they cover are boilerplate; the uncovered runs of a block stay.
-   No task holds a host: a stream is cut by itself, whatever its host's size.
+   No task holds a host: a stream is cut by itself, whatever its host's size. Pages are distinct if any of their
+   blocks differ; those with equal open streams are cut once, but each of them counts.
 
 Results on edge cases: a null or empty page, or one without text, gives an empty text; a page without a
 host is judged among those without; equal rows all get the result; null ``page_id`` stays null; an
@@ -290,11 +291,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     stream = F.transform(F.filter("blocks", lambda b: b["open"]), lambda b: b["text"])
     parsed = _parsed(pages).withColumn("host", host).withColumn("stream", stream)
+    page = F.array_join(F.transform("blocks", lambda b: F.concat(b["open"].cast("string"), b["text"])), "\n")
     parsed = stage(
-        parsed.withColumn("stream_key", F.when(F.size("stream") > 0, F.sha2(F.array_join("stream", "\n"), 256))), "pages"
-    )
+        parsed.withColumn("stream_key", F.when(F.size("stream") > 0, F.sha2(F.array_join("stream", "\n"), 256)))
+        .withColumn("page_key", F.sha2(page, 256)),
+        "pages",
+    )
     open_ = parsed.where(F.col("stream_key").isNotNull())
-    streams = open_.groupBy("host", "stream_key").agg(F.first("stream").alias("stream"), F.lit(1).cast("long").alias("n_pages"))
+    streams = open_.select("host", "stream_key", "page_key", "stream").dropDuplicates(["host", "stream_key", "page_key"])
+    streams = streams.groupBy("host", "stream_key").agg(
+        F.first("stream").alias("stream"), F.count("*").alias("n_pages")
+    )
     streams = stage(streams, "page-streams")
     hashed = _hashed(streams)
     often = hashed.groupBy("host", "h1", "h2").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= PAGES).drop("n")

@@ -178,6 +178,16 @@ def test_repeats_are_counted_over_a_large_host(spark):
     assert texts_of(spark, rows) == dict(enumerate(bodies))
 
 
+def test_equal_notices_beside_articles(spark):
+    """Pages that differ in their articles only count each; equal pages count once."""
+    notice = "<div>This site is run by the friends of the old town hall</div>"
+    rows = [(k, f"http://n.org/{k}", f"<article><p>Story {k}</p></article>{notice}") for k in range(30)]
+    rows += [(100 + k, f"http://same.org/{k}", f"<article><p>Story</p></article>{notice}") for k in range(30)]
+    got = texts_of(spark, rows)
+    assert all(got[k] == f"Story {k}" for k in range(30))
+    assert all(got[100 + k].endswith("town hall") for k in range(30))
+
+
 def test_repeats_against_brute_force():
     rng = random.Random(5)
     for _ in range(50):
