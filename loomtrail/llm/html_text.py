@@ -4,9 +4,11 @@
    scripts, styles and reader comments are named by their elements, classes or ids and leave at once.
    Blocks of a declared article (``article``, ``main``) are text of the page and stay whole. All other
    blocks are open.
-2. Open blocks are judged per host, over all its pages: every ``LONG`` tokens of a page's open stream are hashed
-   (128 bits), distinct pages are counted per host and hash, and the hashes found on ``PAGES`` pages or more go
-   back to the streams that hold them. Tokens they cover are boilerplate; the uncovered runs of a block stay.
+2. Open blocks are judged per host, over all its pages. Passages are every ``LONG`` tokens of a page's open
+   stream, and the shortest runs of whole blocks with ``LONG_BLOCKS`` tokens that start or end at a block. They are
+   hashed (128 bits), distinct pages are counted per host and hash, and hashes found on ``PAGES`` pages and on
+   one page in ``ONE_IN`` go back to the streams that hold them. Tokens they cover are boilerplate; the
+   uncovered runs of a block stay. So shorter phrases that pages share inside their sentences stay too.
    No task holds a host: a stream is cut by itself, whatever its host's size. Pages are distinct if any of their
    blocks differ; those with equal open streams are cut once, but each of them counts.
 
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 
 from loomtrail.scale import stage
 
-LONG = 5
+#: Tokens of a repeat that may be cut out of a block, and of a repeat that is whole blocks.
+LONG = 20
+LONG_BLOCKS = 5
+#: A repeat is on so many pages of its host at least, and on one in ``ONE_IN`` of those with open blocks.
 PAGES = 3
+ONE_IN = 1000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -229,7 +235,16 @@ def passages(stream: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = h * np.uint64(_FACTORS[lane]) + codes[k : k + n, lane]
         found[name] = h.view(np.int64)
     starts = np.arange(n)
-    return found, starts, starts + LONG
+    edge = np.r_[0, np.cumsum([block.count(" ") + 1 for block in stream])]
+    # The shortest runs that start at a block, and those that end with one.
+    first = np.arange(len(stream))
+    behind = np.searchsorted(edge, edge[:-1] + LONG_BLOCKS)
+    before = np.searchsorted(edge, edge[1:] - LONG_BLOCKS, "right") - 1
+    runs = {(int(a), int(b)) for a, b in zip(first, behind) if b <= len(stream)}
+    runs |= {(int(a), int(b) + 1) for a, b in zip(before, first) if a >= 0}
+    whole = np.frombuffer(b"".join(_digest("\n".join(["", *stream[a:b]])) for a, b in runs), _HASH)
+    ends = np.array([(edge[a], edge[b]) for a, b in runs], np.int64).reshape(-1, 2)
+    return np.r_[found, whole], np.r_[starts, ends[:, 0]], np.r_[starts + LONG, ends[:, 1]]
 
 
 def _hashed(streams: DataFrame) -> DataFrame:
@@ -304,7 +319,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
     streams = stage(streams, "page-streams")
     hashed = _hashed(streams)
-    often = hashed.groupBy("host", "h1", "h2").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= PAGES).drop("n")
+    least = F.greatest(F.lit(PAGES), F.ceil(F.sum("n_pages") / ONE_IN))
+    hosts = streams.groupBy("host").agg(least.alias("least"))
+    often = hashed.groupBy("host", "h1", "h2").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= PAGES)
+    often = often.join(hosts, "host").where("n >= least").select("host", "h1", "h2")
     held = hashed.join(often, ["host", "h1", "h2"]).groupBy("host", "stream_key").agg(
         F.collect_list(F.struct("h1", "h2")).alias("often")
     )

@@ -188,6 +188,23 @@ def test_equal_notices_beside_articles(spark):
     assert all(got[100 + k].endswith("town hall") for k in range(30))
 
 
+def test_phrases_within_sentences_stay(spark):
+    rng = random.Random(2)
+    menu = "".join(f"<li>{w}</li>" for w in ("Start", "News", "Local sports", "Shop", "Help"))
+    notice = prose(rng, 25)
+    bodies = [f"{prose(rng, 30)} at the end of the {prose(rng, 9)} on the other side of the river {prose(rng, 30)}" for _ in range(40)]
+    rows = [(k, f"http://p.org/{k}", f"<ul>{menu}</ul><p>{b} {notice}</p><p>{b[::-1]}</p>") for k, b in enumerate(bodies)]
+    assert texts_of(spark, rows) == {k: f"{b}\n\n{b[::-1]}" for k, b in enumerate(bodies)}
+
+
+def test_block_runs_cover_what_returns():
+    for lengths in ([3, 1, 3], [1] * 7, [2, 9, 1], [4, 1], [1, 1, 1, 1, 1]):
+        menu = [" ".join(f"m{i}x{k}" for k in range(n)) for i, n in enumerate(lengths)]
+        streams = [[f"a{k}", *menu, f"b{k}"] for k in range(2)]
+        often = np.intersect1d(*(html_text.passages(s)[0] for s in streams))
+        assert [html_text.unique_runs(s, often) for s in streams] == [[f"a{k}", *[""] * len(menu), f"b{k}"] for k in range(2)]
+
+
 def test_repeats_against_brute_force():
     rng = random.Random(5)
     for _ in range(50):
