@@ -2,14 +2,14 @@
 
 The vocabulary and its scores come from a SentencePiece BPE model file. Merging follows the agenda: of
 all neighbouring symbols that join to a piece, the best score goes first, the leftmost of equals. Under
-dropout a candidate that reaches the top is skipped if a keyed hash of (seed, variant, piece, place) says
-so; with dropout 0 the ids equal the library's. Skipping changes how a text is cut, never what it says:
+dropout a candidate that reaches the top is skipped if a keyed hash of (seed, document, place of the chunk in
+the text, piece, place in the chunk) says so, drawn anew for every occurrence of a chunk; with dropout 0 the ids equal the library's. Skipping changes how a text is cut, never what it says:
 decoding gives back the very text. Letters the vocabulary lacks, line breaks among them, are written as
 bytes; so is the letter that stands for the space, where a text itself holds it.
 
 Pieces do not reach from another letter over a following space or over a line break, so texts are merged
-chunk by chunk. Each occurrence of a chunk draws one of ``variants`` segmentations by a keyed hash of
-(seed, document, place), which workers remember.
+chunk by chunk. Workers remember what follows from a chunk and the candidates skipped in it, never a draw: the
+candidates of many occurrences are drawn at once, and those with a skip go on from what follows it.
 
 Results on edge cases: a null or empty text has no ids and decodes to an empty text; equal texts of
 different documents may be cut differently, equal rows are cut alike; a null ``doc_id`` stays null; an
@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
-#: Chunks a worker remembers over all variants: bounds its memory, not its results.
-REMEMBERED = 1_200_000
+#: Chunks, with and without skips, a worker remembers: bounds its memory, not its results.
+REMEMBERED = 600_000
 SPACE = "▁"
 
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _MASK = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SLICE = 128
+#: Chunks drawn at once.
+_SPAN = 100_000
 
 
 def default_model() -> str:
@@ -54,6 +55,12 @@ def _mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_B)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_C)
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     """A model's vocabulary."""
 
@@ -73,8 +80,11 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.content[i] = bytes([b])
 
-    def segment(self, chunk: str, key: int, below: int) -> list[int]:
-        """Ids of a chunk without the letter for the space; ``below`` is the dropout as a share of 2^32."""
+    def segment(self, chunk: str, skips: tuple[int, ...] = ()) -> tuple[list[int], list[int]]:
+        """Ids of a chunk without the letter for the space, if the candidates of these numbers are skipped.
+
+        And per candidate, in the order they reach the top, a number for its piece and place.
+        """
         own = chunk.replace(" ", SPACE)
         symbols: list[str | None] = list(own)
         n = len(symbols)
@@ -86,16 +96,15 @@ class Pieces:
                 agenda.append((r, i, i + 1, 2))
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
+        drawn: list[int] = []
         while agenda:
             r, i, j, size = pop(agenda)
             left, right = symbols[i], symbols[j]
             if left is None or right is None or len(left) + len(right) != size or after[i] != j:
                 continue
-            if below:
-                x = (key ^ (int(r) * _A) ^ (i * _C)) & _MASK
-                x = ((x ^ (x >> 31)) * _B) & _MASK
-                if (x >> 32) < below:
-                    continue
+            drawn.append(((int(r) * _A) ^ (i * _C)) & _MASK)
+            if len(drawn) - 1 in skips:
+                continue
             symbols[i], symbols[j] = left + right, None
             k = after[i] = after[j]
             if k < n:
@@ -114,55 +123,95 @@ class Pieces:
                 out.append(known)
             else:
                 out += [self.byte_ids[b] for b in s.encode()]
-        return out
+        return out, drawn
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.content.__getitem__, ids)).decode()[1:]
 
 
-class _Variant(dict):
-    """Chunks met so far under one variant."""
+class _Cut:
+    """A chunk's ids after some skips, if no further candidate is skipped; ``drawn`` are the further candidates."""
 
-    def __init__(self, pieces: Pieces, key: int, below: int):
-        super().__init__()
-        self.pieces, self.key, self.below = pieces, key, below
+    __slots__ = ("ids", "drawn", "n", "skips", "after")
 
-    def __missing__(self, chunk: str) -> bytes:
-        if SPACE in chunk:
-            ids: list[int] = []
-            for k, part in enumerate(chunk.split(SPACE)):
-                if k:
-                    ids += [self.pieces.byte_ids[b] for b in SPACE.encode()]
-                ids += self.pieces.segment(part, self.key, self.below) if part else []
-        else:
-            ids = self.pieces.segment(chunk, self.key, self.below)
-        out = self[chunk] = array.array("I", ids).tobytes()
-        return out
+    def __init__(self, pieces: Pieces, chunk: str, skips: tuple[int, ...]):
+        ids, drawn = pieces.segment(chunk, skips)
+        drawn = drawn[skips[-1] + 1 :] if skips else drawn
+        self.ids, self.drawn, self.n = array.array("I", ids).tobytes(), array.array("Q", drawn).tobytes(), len(drawn)
+        self.skips, self.after = skips, None
 
 
 class Encoder:
-    def __init__(self, path: str, seed: int, dropout: float, variants: int):
-        if not 0 <= dropout < 1 or variants < 1:
-            raise ValueError("dropout lies in [0, 1), and there is one variant or more")
-        self.pieces, self.seed = Pieces(path), seed
-        below = int(dropout * (1 << 32))
-        self.tables = [_Variant(self.pieces, _mixed((seed * _A + v * _C) & _MASK), below) for v in range(variants)]
+    def __init__(self, path: str, seed: int, dropout: float, remembered: int = REMEMBERED):
+        if not 0 <= dropout < 1 or remembered < 1:
+            raise ValueError("dropout lies in [0, 1), and one chunk or more is remembered")
+        self.pieces, self.seed, self.remembered = Pieces(path), seed, remembered
+        self.below = int(dropout * (1 << 32))
+        self.known: dict[str, _Cut] = {}
+        self.n_known = 0
+        self.space = _Cut(self.pieces, "", ())
+        self.space.ids = array.array("I", [self.pieces.byte_ids[b] for b in SPACE.encode()]).tobytes()
+
+    def _first(self, chunk: str) -> _Cut:
+        self.n_known += 1
+        found = self.known[chunk] = _Cut(self.pieces, chunk, ())
+        return found
+
+    def _next(self, cut: _Cut, chunk: str, k: int) -> _Cut:
+        """What follows if the k-th further candidate is skipped."""
+        if cut.after is None:
+            cut.after = {}
+        found = cut.after.get(k)
+        if found is None:
+            self.n_known += 1
+            at = k + (cut.skips[-1] + 1 if cut.skips else 0)
+            found = cut.after[k] = _Cut(self.pieces, chunk, (*cut.skips, at))
+        return found
+
+    def _span(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        known = self.known.get
+        cuts = [self.space if c == SPACE else known(c) or self._first(c) for c in chunks]
+        out = [c.ids for c in cuts]
+        places = np.arange(len(cuts))
+        while self.below and len(cuts):
+            n = np.fromiter((c.n for c in cuts), np.int64, len(cuts))
+            x = np.frombuffer(b"".join([c.drawn for c in cuts]), "<u8") ^ np.repeat(keys, n)
+            hit = np.flatnonzero((_mixed_all(x) >> np.uint64(32)) < np.uint64(self.below))
+            owner, first = np.unique(np.repeat(np.arange(len(cuts)), n)[hit], return_index=True)
+            k = hit[first] - (np.cumsum(n) - n)[owner]
+            places, keys = places[owner], keys[owner]
+            at = places.tolist()
+            cuts = [self._next(cuts[o], chunks[p], j) for o, p, j in zip(owner.tolist(), at, k.tolist())]
+            for p, c in zip(at, cuts):
+                out[p] = c.ids
+        return out
+
+    def encode_all(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
+        chunks: list[str] = []
+        keys, ends = [], [0]
+        for doc_id, text in rows:
+            if text:
+                found = _CHUNK.findall(" " + text)
+                if SPACE in text:
+                    found = [p for c in found for p in (re.split(f"({SPACE})", c) if SPACE in c else [c]) if p]
+                start = np.uint64(_mixed((self.seed * _B + (doc_id or 0) * _A + (doc_id is None)) & _MASK))
+                keys.append(_mixed_all(np.arange(len(found), dtype=np.uint64) * np.uint64(_A) + start))
+                chunks += found
+            ends.append(len(chunks))
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        out: list[bytes] = []
+        for at in range(0, len(chunks), _SPAN):
+            out += self._span(chunks[at : at + _SPAN], key[at : at + _SPAN])
+            self.forget()
+        return [b"".join(out[a:b]) for a, b in zip(ends, ends[1:])]
 
     def encode(self, doc_id: int | None, text: str) -> bytes:
-        if not text:
-            return b""
-        chunks = _CHUNK.findall(" " + text)
-        start = np.uint64(_mixed((self.seed * _B + (doc_id or 0) * _A + (doc_id is None)) & _MASK))
-        x = np.arange(len(chunks), dtype=np.uint64) * np.uint64(_A) + start
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(_B)
-        drawn = ((x >> np.uint64(40)) % np.uint64(len(self.tables))).tolist()
-        tables = self.tables
-        return b"".join([tables[v][c] for v, c in zip(drawn, chunks)])
+        return self.encode_all([(doc_id, text)])[0]
 
     def forget(self) -> None:
-        if sum(map(len, self.tables)) > REMEMBERED:
-            for t in self.tables:
-                t.clear()
+        if self.n_known > self.remembered:
+            self.known.clear()
+            self.n_known = 0
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -177,18 +226,18 @@ def _encoder(*key) -> Encoder:
 
 
 def encode_documents(
-    docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS, path: str | None = None
+    docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: str | None = None
 ) -> DataFrame:
     """doc_id, text_hash and ids (little-endian unsigned 32-bit)."""
-    key = (path or default_model(), seed, dropout, variants)
+    key = (path or default_model(), seed, dropout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*key)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                encoder.forget()
-                found = [encoder.encode(d, t or "") for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = encoder.encode_all(list(zip(part.column(0).to_pylist(), texts)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(found, pa.binary())], names=["doc_id", "text_hash", "ids"]
                 )

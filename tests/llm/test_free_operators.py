@@ -243,6 +243,39 @@ def test_subwords(spark):
         subwords.Encoder(path, 0, 1.0, 1)
 
 
+def brute_skips(pieces, chunk, key, below):
+    """Candidates of an occurrence drawn one after the other."""
+    skips = ()
+    while True:
+        ids, drawn = pieces.segment(chunk, skips)
+        start = skips[-1] + 1 if skips else 0
+        hit = next((k for k in range(start, len(drawn)) if subwords._mixed(key ^ drawn[k]) >> 32 < below), None)
+        if hit is None:
+            return ids
+        skips += (hit,)
+
+
+def test_every_occurrence_draws_its_own_skips():
+    path = subwords.default_model()
+    word, n = "unknowable", 20_000
+    encoder = subwords.Encoder(path, 3, 0.1)
+    found = encoder._span([" " + word] * n, subwords._mixed_all(np.arange(n, dtype=np.uint64)))
+    keys = [subwords._mixed(k) for k in range(n)]
+    pieces = encoder.pieces
+    assert all(found[k] == np.array(brute_skips(pieces, " " + word, keys[k], encoder.below), "<u4").tobytes() for k in range(500))
+    plain, drawn = pieces.segment(" " + word)
+    assert len(set(found)) > 20
+    # Other merges may lead to the same pieces, so the candidates are counted, not the ids.
+    kept = [sum(all(subwords._mixed(k ^ d) >> 32 >= encoder.below for d in drawn[:m]) for k in keys) / n for m in range(1, 9)]
+    assert all(abs(share - 0.9**m) < 0.02 for m, share in enumerate(kept, 1))
+    assert sum(f == np.array(plain, "<u4").tobytes() for f in found) / n > 0.9 ** len(drawn) - 0.02
+    text = " ".join([word] * n)
+    assert encoder.encode(1, text) != encoder.encode(2, text)
+    whole = encoder.encode(1, text)
+    assert subwords.Encoder(path, 3, 0.1, 1).encode(1, text) == whole
+    assert encoder.pieces.decode(np.frombuffer(whole, "<u4").tolist()) == text
+
+
 def test_pipeline_stages(spark):
     ship(spark)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("row", F.lit(1))
