@@ -167,7 +167,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         if not line.strip():
             continue
         text = line.decode("utf-8", "surrogateescape").strip("\r\n")
-        if text.startswith("filedesc://"):
+        if offset == 0 and text.startswith("filedesc://"):
             # Its own header line may be of either version; both end with the length.
             body = source.read(int(text.rsplit(" ", 1)[1]))
             named = body.decode("utf-8", "replace").split("\n")
