@@ -18,13 +18,14 @@ def _round(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Take the smallest label next to a node or to those it is the label of, then the label of that label.
 
     So what has no smaller label beside itself is hooked by its followers, and chains in any order settle fast.
+    ``labels`` is a written table, and so is each step that is used twice: plans stay small.
     """
     seen = edges.join(labels.toDF("v", "seen"), "v").groupBy("u").agg(F.min("seen").alias("seen"))
-    beside = labels.join(seen, F.col("node") == F.col("u")).select("node", "component", "seen")
+    beside = stage(labels.join(seen, F.col("node") == F.col("u")).select("node", "component", "seen"), "components")
     hooks = beside.groupBy(F.col("component").alias("root")).agg(F.min("seen").alias("hook"))
-    lower = beside.join(hooks, F.col("node") == F.col("root"), "left").select(
+    lower = stage(beside.join(hooks, F.col("node") == F.col("root"), "left").select(
         "node", F.least("component", "seen", "hook").alias("component"), F.col("component").alias("before")
-    )
+    ), "components")
     jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
     return lower.join(jump, "component").select("node", F.col("further").alias("component"), "before")
 
@@ -38,9 +39,9 @@ def _start(edges: DataFrame) -> DataFrame:
 def spread(links: DataFrame, rounds: int = 2) -> DataFrame:
     """Labels after a few rounds: nodes with one label are connected, but not the reverse."""
     edges = _both_ways(links)
-    labels = _start(edges)
+    labels = stage(_start(edges), "components")
     for _ in range(rounds):
-        labels = _round(edges, labels).select("node", "component")
+        labels = stage(_round(edges, labels).select("node", "component"), "components")
     return labels
 
 

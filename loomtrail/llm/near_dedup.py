@@ -5,7 +5,9 @@
    zeros and ``MANTISSA`` further bits: 16 bits a register.
 2. Equal sets form a class, found by a digest of the set; from here on a class is one node.
 3. Registers are cut into bands of four. Nodes that agree in a band lie in one bucket. Two sets of
-   similarity 0.8 miss all 32 bands once in 20 million cases.
+   similarity 0.8 miss all 32 bands once in 20 million cases. A small set leaves registers empty, and a band of one or
+   two registers would let unrelated sets meet by chance, ever more often the more there are; where a band has an empty register,
+   each empty one takes the smallest hash of the next filled register, and the four whole hashes are the band's key.
 4. Buckets propose pairs. First every member of a bucket is compared with one member, the pivot: the one
    that shares most buckets. What becomes connected needs no further comparison. In buckets that still
    hold nodes of different components, all pairs of different components follow: one by one in small
@@ -89,6 +91,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A key per band: its four registers, or a hash of four whole hashes where a register is empty."""
+    keys = own.view(np.int64).copy()
+    if len(hashes) and not own.all():
+        at, first = np.unique(hashes >> np.uint64(_REST), return_index=True)
+        following = np.searchsorted(at, np.arange(REGISTERS)) % len(at)
+        whole = hashes[first][following].reshape(-1, BAND)
+        mixed = np.full(len(whole), BAND, np.uint64)
+        for k in range(BAND):
+            mixed = (mixed ^ whole[:, k]) * _P
+            mixed ^= mixed >> np.uint64(29)
+        sparse = ~own.reshape(-1, BAND).all(1)
+        keys[sparse] = (mixed * _M1).view(np.int64)[sparse]
+    return keys
+
+
 def chance_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Registers of unrelated sets of these sizes that are expected to agree."""
     a, b = n / REGISTERS, m / REGISTERS
@@ -120,23 +138,25 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: set size, digest of the set (null if empty) and the registers, four to a long."""
+    """Per row: set size, digest of the set (null if empty), the registers, four to a long, and the keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingle_hashes(t or "", size) for t in batch.column(1).to_pylist()]
+            own = [registers(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    _long_lists([registers(s).view(np.int64) for s in sets]),
+                    _long_lists([r.view(np.int64) for r in own]),
+                    _long_lists([band_keys(s, r) for s, r in zip(sets, own)]),
                 ],
-                names=["doc_id", "n_shingles", "digest", "registers"],
+                names=["doc_id", "n_shingles", "digest", "registers", "bands"],
             )
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers array<long>")
+    return columns.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -209,9 +229,8 @@ def _pivots(members: DataFrame, round_: int) -> DataFrame:
 
 def find_links(docs: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """Links between nodes that connect all nodes whose sets are similar enough."""
-    # All bits of a register count, so equal registers of different bands may share a bucket by chance only.
-    bands = classes.where(F.col("node").isNotNull()).select("node", F.posexplode("registers").alias("band", "key"))
-    buckets = bands.where("key <> 0").select(F.xxhash64("band", "key").alias("bucket"), "node")
+    bands = classes.where(F.col("node").isNotNull()).select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = bands.select(F.xxhash64("band", "key").alias("bucket"), "node")
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(buckets.join(counts, "bucket").dropDuplicates(["bucket", "node"]), "near-members")
     shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
@@ -321,10 +340,10 @@ def near_duplicates(
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept (the smallest id of its component)."""
     own = stage(sketches(docs, size), "near-sketches")
     filled = own.where(F.col("digest").isNotNull())
-    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("node"), F.col("registers")))
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("node"), F.col("registers"), F.col("bands")))
     classes = stage(
         filled.groupBy("digest").agg(best.alias("best"), F.min("n_shingles").alias("n_shingles")).select(
-            "digest", "best.node", "best.registers", "n_shingles"), "near-classes")
+            "digest", "best.node", "best.registers", "best.bands", "n_shingles"), "near-classes")
     groups = connected(find_links(docs, classes, size, threshold))
     named = classes.select("digest", "node").join(groups, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("class_component"))
