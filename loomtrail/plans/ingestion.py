@@ -48,6 +48,20 @@ def _(spark, d):
     return readers.read_csv_gz(spark, _csv_copy(spark, d, "events", "gzip")).drop("value")
 
 
+@query("S01_csv_line_breaks", """SELECT doc_id AS row_id, md5(text) AS text_md5, length(text) AS n_chars, source,
+  row_number() OVER (ORDER BY doc_id) AS source_row_number FROM documents""")
+def _(spark, d):
+    # Texts with line breaks and quotes, in one sorted run, so that row numbers follow from the ids.
+    path = staged_path(spark, "documents-csv")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source").repartitionByRange("doc_id")
+    docs.sortWithinPartitions("doc_id").write.option("header", True).option("escape", '"').csv(path)
+    rows = readers.number_rows(readers.read_csv(spark, path))
+    return rows.select(
+        F.col("doc_id").cast("long").alias("row_id"), F.md5("text").alias("text_md5"),
+        F.length("text").cast("long").alias("n_chars"), "source", "source_row_number",
+    )
+
+
 @query("S03_parquet_scan", f"SELECT event_id, user_id, event_type, round(value, 6) AS value, {ts_text('ts')} AS ts FROM events")
 def _(spark, d):
     return readers.read_parquet(spark, f"{d}/events.parquet").drop("props")

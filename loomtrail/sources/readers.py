@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,6 +14,7 @@ from loomtrail.functions.text import decimal_number, plain_integer
 from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
 from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
+from loomtrail.sources import csv_blocks
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low ones
 
@@ -22,17 +22,23 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row i
 def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV with a header, every column as text. Quotes are doubled inside quoted values.
 
-    Values may hold line breaks. Sources known to have none can be read with ``multiline=False``, so
-    that large files are split between tasks. A file whose header differs from the others' fails.
+    Files are split between tasks, also where values hold line breaks (see ``csv_blocks``). One pass over the
+    lines tells whether any do; only then are records put together, and kept as a table in the order of files and
+    records. Sources known to have none can be read with ``multiline=False``, which spares that pass. A file whose header
+    differs from the others' fails.
     """
-    check_header(spark, path)
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    if multiline:
+        header, several = csv_blocks.shape(spark, path)
+        if several:
+            found = csv_blocks.records(spark, path)
+            names = _checked_names(spark, csv_blocks.first_names(found))
+            place = ["_file", "_block", "_id"]
+            rows = csv_blocks.parsed(found, names).repartitionByRange(*place).sortWithinPartitions(*place)
+            return stage(rows.drop(*place), "csv-records")
+        _checked_names(spark, csv_blocks.names_in(header))
+    else:
+        check_header(spark, path)
+    return spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
 
 
 def read_csv_gz(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -64,9 +70,13 @@ def read_json_events(spark: SparkSession, path: str, multiline: bool = True) ->
 
 
 def check_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names as written in the first line; repeated names are rejected, as Spark compares names."""
-    line = spark.read.text(path).first()
-    names = next(csv.reader([line[0]])) if line else []
+    """Column names of the first record, the same in all files; repeated names are rejected, as Spark compares names."""
+    header, several = csv_blocks.shape(spark, path)
+    names = csv_blocks.first_names(csv_blocks.records(spark, path)) if several else csv_blocks.names_in(header)
+    return _checked_names(spark, names)
+
+
+def _checked_names(spark: SparkSession, names: list[str]) -> list[str]:
     if not names:
         raise ValueError("the source has no columns")
     exact = spark.conf.get("spark.sql.caseSensitive") == "true"

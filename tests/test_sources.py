@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from conftest import GOLDEN
 from loomtrail.model import ColumnBinding, SemanticContract
 from loomtrail.operators import dfg
 from loomtrail.operators import normalize as norm
-from loomtrail.sources import drift, profile, readers
+from loomtrail.sources import csv_blocks, drift, profile, readers
 
 HEADER = "event_id,case_id,activity,event_ts,source_sequence\n"
 TEXT = HEADER + "".join(",".join(map(str, r)) + "\n" for r in GOLDEN)
@@ -175,3 +176,70 @@ def test_zones_named_by_letters_and_hours(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", F.hour(parse_utc(F.col("t"), "Asia/Seoul")).alias("h")).collect()
     assert {r.t: r.h for r in got} == texts
+
+
+CSV_PARTS = ['"', '""', ",", "\n", "a", 'b"', '"c', "\r\n", '"x\ny"', '5" pipe', ' "late"', "é", '"q""r"', '"junk"z,']
+
+
+def _sequential(text):
+    """Records of a CSV text, read letter by letter: where a quoted value begins, is left, or is no quoted value."""
+    out, record, state, begin = [], "", "field", True
+    for c in text.removesuffix("\n") + "\n":
+        if c == "\n" and state != "in":
+            out.append(record)
+            record, state = "", "field"
+            continue
+        if state == "field":
+            state = "in" if c == '"' else ("field" if c == "," else "bare")
+        elif state == "in":
+            state = "quote" if c == '"' else "in"
+        elif state == "quote":
+            state = "in" if c == '"' else ("field" if c == "," else "bare")
+        else:
+            state = "field" if c == "," else "bare"
+        record += c
+    if state == "in":
+        out.append(record.removesuffix("\n"))
+    return [r.removesuffix("\r") for r in out if r.removesuffix("\r")]
+
+
+@pytest.mark.parametrize("block", [3, 11, 64])
+def test_csv_records_cut_at_any_byte(spark, tmp_path, block):
+    rng = random.Random(block)
+    texts = ["h,i\n" + "".join(rng.choice(CSV_PARTS) for _ in range(60)) for _ in range(4)]
+    texts.append('h,i\n"' + "open to the end\n" * 5)
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = csv_blocks.records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for k, text in enumerate(texts):
+        own = sorted((r for r in found if r["_file"].endswith(f"/{k}.csv")), key=lambda r: (r["_block"], r["_id"]))
+        assert [r.value for r in own] == _sequential(text)
+
+
+def test_one_csv_file_is_many_tasks(spark, tmp_path):
+    path = _write(tmp_path / "f", "x.csv", "id,note\n" + "".join(f'{k},"line {k}\nand ""more"""\n' for k in range(3000)) + '3000,"x\n"')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert csv_blocks.lines(spark, path).rdd.getNumPartitions() > 10
+        rows = readers.number_rows(readers.read_csv(spark, path)).orderBy("source_row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r) for r in rows[:-1]] == [(str(k), f'line {k}\nand "more"', k + 1) for k in range(3000)]
+    assert tuple(rows[-1]) == ("3000", "x\n", 3001)
+
+
+def test_header_with_a_line_break(spark, tmp_path):
+    path = _write(tmp_path / "g", "x.csv", '"a\nb",c\r\n1,2\r\n')
+    assert readers.check_header(spark, path) == ["a\nb", "c"]
+    assert [tuple(r) for r in readers.read_csv(spark, path).collect()] == [("1", "2")]
+    _write(tmp_path / "g", "y.csv", 'c,"a\nb"\n1,2\n')
+    with pytest.raises(ValueError):
+        readers.check_header(spark, path)
