@@ -27,6 +27,11 @@ _PLACE = ["_file", "_block"]
 _OUTSIDE, _INSIDE, _BEHIND = 0, 1, 2
 
 
+#: A line of whole fields, told without a fold; patterns loop over fields and so stay with short lines.
+_WHOLE = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,|\r?$))*+$'
+_SHORT = 2000
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines with their file, block and an id that ascends within a block."""
     return spark.read.option("lineSep", "\n").text(path).select(
@@ -53,7 +58,10 @@ def _left_in(line: Column, entered: int) -> Column:
     start = F.struct(F.lit(entered).alias("in"), F.lit(0).alias("at"))
     quotes = F.slice(parts, F.lit(1), F.size(parts) - 1)
     end = F.aggregate(quotes, start, quote, lambda s: (s["in"] == _INSIDE).cast("int"))
-    return F.when(F.contains(line, F.lit('"')), end).otherwise(entered)
+    told = F.when(~F.contains(line, F.lit('"')), entered)
+    if entered == _OUTSIDE:
+        told = told.when((F.length(line) <= _SHORT) & line.rlike(_WHOLE), _OUTSIDE)
+    return told.otherwise(end)
 
 
 def turning_lines(all_lines: DataFrame) -> DataFrame:
@@ -140,17 +148,15 @@ def records(spark: SparkSession, path: str, policy: ScalePolicy = DEFAULT_POLICY
     return whole.withColumn("value", F.regexp_replace("value", "\r$", "")).where("value <> ''")
 
 
-def shape(spark: SparkSession, path: str) -> tuple[str | None, bool]:
-    """The first line of the files, which has to be one, and whether a record anywhere has several lines: some
-    line, read from outside, ends inside a quoted value. One pass, with one row per file behind it."""
-    opens = F.when(F.contains("value", F.lit('"')), _left_in(F.col("value"), _OUTSIDE)).otherwise(0)
-    files = lines(spark, path).groupBy("_file").agg(
-        F.min_by("value", F.struct("_block", "_id")).alias("header"), F.max(opens).alias("opens")
-    )
-    least, most, opened = files.agg(F.min("header"), F.max("header"), F.max("opens")).first()
-    if least != most and not opened:
-        raise ValueError(f"files with different headers: {[least, most]}")
-    return least and least.removesuffix("\r"), bool(opened)
+def first_line(spark: SparkSession, path: str) -> str | None:
+    row = spark.read.option("lineSep", "\n").text(path).first()
+    return row and row["value"].removesuffix("\r")
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a record has several lines: some line, read from outside, ends inside a quoted value. One pass."""
+    every = spark.read.option("lineSep", "\n").text(path)
+    return every.agg(F.max(_left_in(F.col("value"), _OUTSIDE))).first()[0] == 1
 
 
 def names_in(header: str | None) -> list[str]:

@@ -27,17 +27,13 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     records. Sources known to have none can be read with ``multiline=False``, which spares that pass. A file whose header
     differs from the others' fails.
     """
-    if multiline:
-        header, several = csv_blocks.shape(spark, path)
-        if several:
-            found = csv_blocks.records(spark, path)
-            names = _checked_names(spark, csv_blocks.first_names(found))
-            place = ["_file", "_block", "_id"]
-            rows = csv_blocks.parsed(found, names).repartitionByRange(*place).sortWithinPartitions(*place)
-            return stage(rows.drop(*place), "csv-records")
-        _checked_names(spark, csv_blocks.names_in(header))
-    else:
-        check_header(spark, path)
+    if multiline and csv_blocks.has_line_breaks(spark, path):
+        found = csv_blocks.records(spark, path)
+        names = _checked_names(spark, csv_blocks.first_names(found))
+        place = ["_file", "_block", "_id"]
+        rows = csv_blocks.parsed(found, names).repartitionByRange(*place).sortWithinPartitions(*place)
+        return stage(rows.drop(*place), "csv-records")
+    check_header(spark, path)
     return spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
 
 
@@ -70,9 +66,13 @@ def read_json_events(spark: SparkSession, path: str, multiline: bool = True) ->
 
 
 def check_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first record, the same in all files; repeated names are rejected, as Spark compares names."""
-    header, several = csv_blocks.shape(spark, path)
-    names = csv_blocks.first_names(csv_blocks.records(spark, path)) if several else csv_blocks.names_in(header)
+    """Column names of the first record; repeated names are rejected, as Spark compares names.
+
+    Reading compares the headers of further files with it.
+    """
+    line = csv_blocks.first_line(spark, path) or ""
+    whole = line.count('"') % 2 == 0
+    names = csv_blocks.names_in(line) if whole else csv_blocks.first_names(csv_blocks.records(spark, path))
     return _checked_names(spark, names)
 
 
@@ -103,21 +103,19 @@ def _type_tests(text: Column) -> list[tuple[str, Column]]:
 def infer_types(rows: DataFrame) -> DataFrame:
     """Narrowest type per text column that fits every value; ``string`` if none.
 
-    Values are turned into rows, so that the generated code stays small for wide sources.
+    Cells are turned into rows, so that the generated code stays small for wide sources. A cell becomes a mask of the
+    types it fits, and a column keeps the bits that all its cells share.
     """
     names = rows.columns
-    cells = rows.select(
-        F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "text")
-    )
+    cells = rows.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("at", "text"))
     tests = _type_tests(F.col("text"))
-    counts = cells.groupBy("at").agg(
-        F.count("text").alias("n"), *[F.count(fits).alias(kind) for kind, fits in tests]
-    )
-    fitting = [F.when((F.col("n") > 0) & (F.col(kind) == F.col("n")), kind) for kind, _ in tests]
+    bits = [F.when(fits.isNotNull(), 1 << k).otherwise(0) for k, (_, fits) in enumerate(tests)]
+    masks = cells.where("text is not null").groupBy("at").agg(F.bit_and(sum(bits[1:], bits[0])).alias("mask"))
+    fitting = [F.when(F.col("mask").bitwiseAND(1 << k) != 0, kind) for k, (kind, _) in enumerate(tests)]
     # One row per column of the source; an empty source still names its columns.
     listed = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("column_name")) for i, c in enumerate(names)])
     columns = rows.sparkSession.range(1).select(F.inline(listed))
-    return columns.join(counts, "at", "left").select(
+    return columns.join(masks, "at", "left").select(
         (F.col("at") + 1).alias("ordinal_position"),
         "column_name",
         F.coalesce(*fitting, F.lit("string")).alias("inferred_type"),
