@@ -38,6 +38,30 @@ def actor_token(text: Column, key: bytes) -> Column:
     return hmac_token(F.trim(text), namespaced_key(key, "actor"))
 
 
+# Fixed shapes: a dotted address, and eight groups of up to four hexadecimal digits.
+IPV4_SHAPE = r"^\d{1,3}(\.\d{1,3}){3}$"
+IPV6_SHAPE = r"^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$"
+
+
 def ip_prefix(ip: Column) -> Column:
-    """Generalise an IPv4 address to its /24 network."""
-    return F.regexp_replace(ip, r"\.\d+$", ".0")
+    """Generalise an address to its network: /24 of IPv4, /48 of IPv6; NULL for anything else.
+
+    IPv6 is written out before it is cut: ``::`` stands for the groups that are missing. A zone (``%eth0``) is dropped, and
+    an IPv4 address mapped into IPv6 is generalised as what it is.
+    """
+    text = F.lower(F.regexp_replace(F.trim(ip), "%.*$", ""))
+    plain = F.when(text.rlike(r"^(::ffff:|0:0:0:0:0:ffff:)\d+\."), F.element_at(F.split(text, ":"), -1)).otherwise(text)
+    four = F.when(plain.rlike(IPV4_SHAPE), F.regexp_replace(plain, r"\.\d+$", ".0"))
+    sides = F.split(plain, "::", -1)
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    missing = 8 - F.size(left) - F.size(right)
+    # At least one group is missing where there is a ``::``.
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    whole = F.when((F.size(sides) == 2) & (missing >= 1), F.array_join(filled, ":")).when(F.size(sides) == 1, plain)
+    first = F.transform(F.slice(F.split(whole, ":"), 1, 3), lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0")))
+    six = F.when(whole.rlike(IPV6_SHAPE), F.concat(F.array_join(first, ":"), F.lit("::/48")))
+    return F.coalesce(four, six)

@@ -63,12 +63,12 @@ def grouped_log(log: DataFrame, entries: DataFrame, unmapped: UnmappedPolicy = U
 
 
 def coverage_rows(log: DataFrame, entries: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """One row per source activity; counted first, so the join sees activities, not events."""
+    """One row per source activity; counted first, so the join sees activities, not events. Repeated entries are rejected."""
     counts = log.groupBy("activity").agg(
         F.count("*").alias("event_count"), F.count_distinct("case_id").alias("case_count")
     )
     return (
-        counts.join(broadcast_checked(enabled_entries(entries), policy), "activity", "left")
+        counts.join(broadcast_checked(enabled_entries(check_entries(entries)), policy), "activity", "left")
         .select(
             F.col("activity").alias("source_activity"),
             F.col("_label").alias("business_activity"),
@@ -127,16 +127,21 @@ def repeated_source_activities(entries: DataFrame) -> DataFrame:
 
 
 def compare_mapping_sets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Which labels two versions of a mapping set give differently."""
-    before = old.filter("enabled").select("source_activity", F.col("business_activity").alias("old_label"))
-    after = new.filter("enabled").select("source_activity", F.col("business_activity").alias("new_label"))
+    """Which labels two versions of a mapping set give differently. Texts are trimmed; repeated entries are rejected."""
+    before, after = (
+        enabled_entries(check_entries(entries)).select(
+            F.col("activity").alias("source_activity"), F.col("_label").alias(f"{side}_label"), F.lit(True).alias(f"_{side}")
+        )
+        for entries, side in ((old, "old"), (new, "new"))
+    )
     change = (
-        F.when(F.col("old_label").isNull(), "ADDED")
-        .when(F.col("new_label").isNull(), "REMOVED")
-        .when(F.col("old_label") == F.col("new_label"), "UNCHANGED")
+        F.when(F.col("_old").isNull(), "ADDED")
+        .when(F.col("_new").isNull(), "REMOVED")
+        .when(F.col("old_label").eqNullSafe(F.col("new_label")), "UNCHANGED")
         .otherwise("CHANGED")
     )
-    return before.join(after, "source_activity", "full_outer").withColumn("change", change)
+    joined = before.join(after, "source_activity", "full_outer").withColumn("change", change)
+    return joined.select("source_activity", "old_label", "new_label", "change")
 
 
 # --- rules -------------------------------------------------------------------------------------

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from loomtrail.functions import privacy
 from loomtrail.functions.timing import moment
 from loomtrail.model import EventFilter, UnmappedPolicy
-from loomtrail.operators import caserules, compare, mapping, versions
+from loomtrail.operators import caserules, compare, layers, mapping, versions
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.operators.filters import filter_signature, in_range
 from loomtrail.plans.dirty import BINDING, CHECKED, DATASET, KEY
 from loomtrail.plans.exploration import JAN_20, is_failed
 from loomtrail.plans.ingestion import _hmac_sql, _normalized
 from loomtrail.plans.logs import CASES, DAY_LOG, EDGE_COLUMNS, EDGES, STEPS, TRACES, USER_LOG, day_log, user_log
-from loomtrail.plans.registry import query, table, ts_text
+from loomtrail.plans.registry import ORACLES, query, table, ts_text
+from loomtrail.scale import stage, staged_path
 
 # --- mapping sets ------------------------------------------------------------------------------
 
@@ -143,7 +144,8 @@ FROM entries""",
 def _(spark, d):
     old = entries(spark, d)
     label = F.when(F.col("source_activity") == "error", "Failure").otherwise(F.col("business_activity"))
-    new = old.withColumns({"business_activity": label, "enabled": F.col("source_activity") != "view"})
+    padded = {"source_activity": F.concat(F.lit(" "), "source_activity"), "business_activity": F.concat(label, F.lit(" "))}
+    new = old.withColumns(padded | {"enabled": F.col("source_activity") != "view"})
     return mapping.compare_mapping_sets(old, new)
 
 
@@ -293,6 +295,19 @@ def _(spark, d):
     )
 
 
+@query(
+    "N24_ipv6_network",
+    """SELECT event_id, '2001:db8:' || format('{:x}', user_id % 4096) || '::/48' AS network,
+  '10.' || CAST(user_id % 200 AS VARCHAR) || '.7.0' AS mapped_network FROM events""",
+)
+def _(spark, d):
+    e = table(spark, d, "events")
+    site = F.lpad(F.lower(F.hex(F.col("user_id") % 4096)), 4, "0")
+    ip = F.concat(F.lit("2001:0DB8:"), site, F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536)), F.lit("%eth0"))
+    mapped = F.concat(F.lit("::FFFF:10."), F.col("user_id") % 200, F.lit(".7."), F.col("event_id") % 250)
+    return e.select("event_id", privacy.ip_prefix(ip).alias("network"), privacy.ip_prefix(mapped).alias("mapped_network"))
+
+
 # --- registries --------------------------------------------------------------------------------
 
 
@@ -642,6 +657,27 @@ def _(spark, d):
     return compare.daily_aggregate(in_range(day_log(spark, d), None, JAN_20), SIGNATURE)
 
 
+_MERGED = {
+    "M20_activity_aggregate": (user_log, layers.activity_report),
+    "M20_edge_aggregate": (user_log, layers.edge_report),
+    "M20_daily_aggregate": (day_log, layers.daily_report),
+}
+
+for _key, (_log, _report) in _MERGED.items():
+
+    def _merged(spark, d, log=_log, report=_report):
+        # Batches by event, so that cases meet late events; the last batch comes first, and one comes twice.
+        events = stage(in_range(log(spark, d), None, JAN_20), "layer-log")
+        part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+        root = staged_path(spark, "layer")
+        for k in (2, 0, 1, 0):
+            layers.add_batch(spark, root, f"batch-{k}", events.where(part == k), buckets=8)
+        return report(layers.state(spark, root), SIGNATURE)
+
+    # Batches merged in any order give what the whole log gives: the same SQL.
+    query(f"{_key}_merged", ORACLES[_key])(_merged)
+
+
 @query("M21_filter_signature", f"WITH {_SIGNED_LOG} SELECT 'dataset=events;to=2024-01-20T00:00:00' AS filter_signature, count(*) AS event_count FROM log")
 def _(spark, d):
     log = in_range(user_log(spark, d), None, JAN_20)

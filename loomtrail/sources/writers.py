@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrail.operators.normalize import NormalizedLog
+from loomtrail.sources import commits
 
 PUBLICATIONS = (
     "dataset_id string, version int, events_path string, quarantine_path string, published_at timestamp_ntz"
@@ -36,27 +40,28 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: in
 
 
 def publish(spark: SparkSession, log: NormalizedLog, root: str, dataset_id: str, version: int) -> DataFrame:
-    """Write quarantine and events of a version, then append the registry row that makes it visible.
+    """Write quarantine and events of a version, then put the commit in place that makes it visible.
 
-    Readers go through ``current_events``. A run that fails before the last step leaves the
-    previous version in place, and unreferenced files are never read.
+    Every attempt writes folders of its own, so a run that failed anywhere before its commit is repeated under the same
+    version. Of two publishers of one version the second to commit gets ``CommitConflict``, before it writes if it can
+    be seen by then. Readers go through ``current_events``; ``orphans`` lists what no commit names.
     """
     base = f"{root.rstrip('/')}/{dataset_id}"
-    rejected = write_parquet(log.quarantine, f"{base}/quarantine/v={version}")
-    events = write_parquet(log.events, f"{base}/events/v={version}")
-    row = spark.range(1).select(
-        F.lit(dataset_id).alias("dataset_id"),
-        F.lit(version).cast("int").alias("version"),
-        F.lit(events).alias("events_path"),
-        F.lit(rejected).alias("quarantine_path"),
-        F.current_timestamp().cast("timestamp_ntz").alias("published_at"),
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{base}/published")
+    if not publications(spark, root, dataset_id).where(F.col("version") == version).isEmpty():
+        raise commits.CommitConflict(f"version {version} of {dataset_id} is published")
+    attempt = f"v={version}/attempt={uuid.uuid4().hex}"
+    rejected = write_parquet(log.quarantine, f"{base}/quarantine/{attempt}")
+    events = write_parquet(log.events, f"{base}/events/{attempt}")
+    values = {
+        "dataset_id": dataset_id, "version": version, "events_path": events, "quarantine_path": rejected,
+        "published_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f"),
+    }
+    commits.commit(spark, f"{base}/published", version, values)
     return publications(spark, root, dataset_id)
 
 
 def publications(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    return spark.read.schema(PUBLICATIONS).parquet(f"{root.rstrip('/')}/{dataset_id}/published")
+    return commits.committed(spark, f"{root.rstrip('/')}/{dataset_id}/published", PUBLICATIONS)
 
 
 def current_events(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
@@ -65,3 +70,18 @@ def current_events(spark: SparkSession, root: str, dataset_id: str) -> DataFrame
     if newest is None:
         raise ValueError(f"nothing published for {dataset_id}")
     return spark.read.parquet(newest["events_path"])
+
+
+def orphans(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """Folders of attempts that no commit names, with their last change: failed runs, and those still on their way."""
+    base = f"{root.rstrip('/')}/{dataset_id}"
+    found = [
+        (f"{base}/{kind}/{version}/{name}", datetime.fromtimestamp(at / 1000, timezone.utc).replace(tzinfo=None))
+        for kind in ("events", "quarantine")
+        for version, _ in commits.folders(spark, f"{base}/{kind}")
+        for name, at in commits.folders(spark, f"{base}/{kind}/{version}")
+    ]
+    listed = spark.createDataFrame(found, "path string, modified_at timestamp_ntz")
+    known = publications(spark, root, dataset_id)
+    named = known.select(F.explode(F.array("events_path", "quarantine_path")).alias("path"))
+    return listed.join(named, "path", "left_anti")

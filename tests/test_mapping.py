@@ -161,3 +161,29 @@ def test_entries_are_trimmed_and_unique(spark):
     twice = spark.createDataFrame([("A", "one", None, True), ("A ", "two", None, True)], columns)
     with pytest.raises(ValueError):
         mapping.business_log(log, twice)
+
+
+def test_mapping_sets_are_trimmed_and_checked(spark, golden):
+    columns = "source_activity string, business_activity string, enabled boolean"
+    old = spark.createDataFrame([(" A", "Start", True), ("B", " ", True), ("C", "End", True), ("X", "x", False)], columns)
+    new = spark.createDataFrame([("A ", "Start ", True), ("B", None, True), ("C", "Close", True), ("D", "d", True)], columns)
+    got = {r.source_activity: (r.old_label, r.new_label, r.change) for r in mapping.compare_mapping_sets(old, new).collect()}
+    assert got == {
+        "A": ("Start", "Start", "UNCHANGED"), "B": (None, None, "UNCHANGED"), "C": ("End", "Close", "CHANGED"), "D": (None, "d", "ADDED"),
+    }
+    twice = old.unionByName(old.where("source_activity = 'B'"))
+    for broken in (lambda: mapping.compare_mapping_sets(twice, new), lambda: mapping.coverage_rows(golden, twice)):
+        with pytest.raises(ValueError):
+            broken()
+
+
+def test_ip_networks(spark):
+    from loomtrail.functions.privacy import ip_prefix
+
+    texts = {
+        "10.1.2.3": "10.1.2.0", " 192.168.0.255 ": "192.168.0.0", "2001:db8::17": "2001:db8:0::/48", "2001:DB8:a:1:2:3:4:5": "2001:db8:a::/48",
+        "::1": "0:0:0::/48", "fe80::1%eth0": "fe80:0:0::/48", "::ffff:10.1.2.3": "10.1.2.0", "2001:0db8:0000::": "2001:db8:0::/48",
+        "host.example": None, "1.2.3": None, "1:2:3": None, "": None, None: None, "a::b::c": None, "::": "0:0:0::/48",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", ip_prefix(F.col("t")).alias("n")).collect()} == texts

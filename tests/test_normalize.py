@@ -216,3 +216,36 @@ def test_whole_numbers(spark):
     texts = {"7": 7, " 7 ": 7, "+5": 5, "1.6": 2, "2.5": 3, "-2.5": -3, "1e3": 1000, "x1": None, "": None, "n/a": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.n for r in df.select("t", whole_number(F.col("t")).alias("n")).collect()} == texts
+
+
+def test_publication_is_repeated_and_has_one_winner(spark, tmp_path, monkeypatch):
+    from loomtrail.sources import commits
+
+    root = str(tmp_path)
+    log = norm.normalize(raw(spark, [(e, c, a, t, str(s)) for e, c, a, t, s in GOLDEN]), BINDING, SemanticContract(), "ds")
+    broken = norm.NormalizedLog(
+        events=log.events.withColumn("x", F.raise_error(F.lit("disk full"))),
+        quarantine=log.quarantine, quality=log.quality, validated=log.validated,
+    )
+    with pytest.raises(Exception):
+        writers.publish(spark, broken, root, "ds", 1)
+    # A crash behind the data, before the commit.
+    with monkeypatch.context() as m:
+        m.setattr(commits, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            writers.publish(spark, log, root, "ds", 1)
+    assert writers.publications(spark, root, "ds").count() == 0
+    assert writers.orphans(spark, root, "ds").count() >= 3
+    writers.publish(spark, log, root, "ds", 1)
+    assert writers.current_events(spark, root, "ds").count() == 10
+    assert writers.orphans(spark, root, "ds").count() >= 3
+    with pytest.raises(commits.CommitConflict):
+        writers.publish(spark, log, root, "ds", 1)
+    # Another publisher commits while this one writes.
+    before = writers.publications
+    with monkeypatch.context() as m:
+        m.setattr(writers, "publications", lambda *a: before(*a).limit(0))
+        with pytest.raises(commits.CommitConflict):
+            writers.publish(spark, log, root, "ds", 1)
+    assert [r.version for r in writers.publications(spark, root, "ds").collect()] == [1]
+    assert not list(tmp_path.rglob("*.tmp"))
