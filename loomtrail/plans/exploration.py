@@ -6,8 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from loomtrail.model import EventFilter
-from loomtrail.operators import cases, filters, paths, variants
+from loomtrail.model import ORDER_KEYS, EventFilter
+from loomtrail.operators import caseindex, cases, filters, paths, variants
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.plans.graph import SPLIT
 from loomtrail.plans.logs import (
@@ -15,7 +15,7 @@ from loomtrail.plans.logs import (
     day_log, line_log, order_log, talk_log, user_log,
 )
 from loomtrail.plans.registry import query, ts_text
-from loomtrail.scale import ScalePolicy
+from loomtrail.scale import ScalePolicy, staged_path
 
 JAN_5, JAN_20 = datetime(2024, 1, 5), datetime(2024, 1, 20)
 SMALL_PIECES = ScalePolicy(max_group_rows=7)
@@ -312,6 +312,30 @@ def _(spark, d):
     return cases.search_cases(log, variant_cases=variants.filter_variants(log, top).select("case_id").distinct())
 
 
+_INDEXED = f"""WITH {DAY_LOG}, sets AS (SELECT case_id, bool_or(activity = 'purchase') AS bought, bool_or(activity = 'click') AS clicked,
+    bool_or(result_code = 'FAILED') AS failed, min(event_ts) AS first_ts FROM log GROUP BY 1),
+found AS (SELECT case_id FROM sets WHERE (bought OR clicked) AND NOT failed AND CAST(first_ts AS DATE) <> DATE '2024-01-02')"""
+
+
+def _found_cases(spark, d):
+    log = day_log(spark, d).select("event_id", "case_id", "activity", *ORDER_KEYS, "result_code")
+    root = caseindex.build(log, staged_path(spark, "case-index"), slots=16)
+    wanted = caseindex.any_of("activity", ["purchase", "click"]) & ~caseindex.has("result_code", FAILED)
+    return root, wanted & ~caseindex.has("started", "2024-01-02")
+
+
+@query("M12_index_search", f"{_INDEXED} SELECT case_id FROM found")
+def _(spark, d):
+    root, wanted = _found_cases(spark, d)
+    return caseindex.search(spark, root, wanted).select("case_id")
+
+
+@query("F08_index_events", f"{_INDEXED} SELECT event_id, case_id, activity FROM log JOIN found USING (case_id)")
+def _(spark, d):
+    root, wanted = _found_cases(spark, d)
+    return caseindex.events(spark, root, caseindex.search(spark, root, wanted)).select("event_id", "case_id", "activity")
+
+
 @query(
     "M18_rework_with_exemptions",
     f"""WITH {DAY_LOG}, normal AS (SELECT activity FROM log GROUP BY 1 HAVING activity IN ('click', 'view')),
