@@ -41,7 +41,9 @@ PAGES = 3
 ONE_IN = 1000
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    # A tag with a quote that never ends stops at its first bracket.
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template")}
@@ -66,25 +68,45 @@ _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"t
            "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
+#: Marks that hold for an article of their own too.
+_COMMENTS = frozenset("comment comments reply replies disqus".split())
+_BY_MARK, _BY_NAME = 1, 2
+
+
+def _outside(tag: str, attributes: str, in_article: bool, marks: frozenset = _MARKS) -> int:
+    """Whether an element is outside the main text, and by what: its marks (or being a form), or its name."""
+    if tag == "form":
+        return _BY_MARK
     if tag in _OUTSIDE or tag == "header" and not in_article:
-        return True
+        return _BY_NAME
     if not attributes or "=" not in attributes:
-        return False
+        return 0
     for found in _NAMES.findall(attributes):
         words = re.split(r"[^a-z]+", html.unescape("".join(found)).lower())
-        if not _MARKS.isdisjoint(words):
-            return tag not in ("body", "html")
-    return False
+        if not marks.isdisjoint(words):
+            return _BY_MARK if tag not in ("body", "html") else 0
+    return 0
 
 
 def page_blocks(page: str) -> list[tuple[str, bool]]:
-    """Blocks in page order: text with single spaces, and whether it is open."""
+    """Blocks in page order: text with single spaces, and whether it is open.
+
+    Marks say little about a wrapper of the whole article. Where every article of a page lies in marked parts or forms, or is
+    marked itself, the page is read again with its articles freed from them.
+    """
+    blocks, declared, hidden = _page_blocks(page, False)
+    return _page_blocks(page, True)[0] if hidden and not declared else blocks
+
+
+def _page_blocks(page: str, freed: bool) -> tuple[list[tuple[str, bool]], bool, bool]:
+    """The blocks, whether an article was met, and whether one was met in a marked part."""
     blocks: list[tuple[str, bool]] = []
     text: list[str] = []
-    # Open elements as (tag, outside, article); phrases are not kept.
-    stack: list[tuple[str, bool, bool]] = []
-    at, outside, article = 0, 0, 0
+    # Open elements as (tag, outside, named, article); phrases are kept only inside a marked one of their name.
+    stack: list[tuple[str, int, bool, bool]] = []
+    n_open: dict[str, int] = {}
+    at, outside, named, article = 0, 0, 0, 0
+    declared = hidden = False
 
     def flush() -> None:
         if text:
@@ -93,42 +115,62 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
             if block:
                 blocks.append((block, article == 0))
 
+    def enter(tag: str, marked: int, is_article: bool) -> None:
+        nonlocal outside, named, article
+        out = -outside if is_article and freed else int(marked > 0)
+        stack.append((tag, out, marked == _BY_NAME, is_article))
+        n_open[tag] = n_open.get(tag, 0) + 1
+        outside += out
+        named += marked == _BY_NAME
+        article += is_article
+
     def leave(k: int) -> None:
-        nonlocal outside, article
-        for _, o, a in stack[k:]:
-            outside -= o
-            article -= a
+        nonlocal outside, named, article
+        for tag, out, by_name, is_article in stack[k:]:
+            n_open[tag] -= 1
+            outside -= out
+            named -= by_name
+            article -= is_article
         del stack[k:]
 
     for m in iter(lambda: _TAG.search(page, at), None):
         if not outside and m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
-        tag = (m.group(2) or "").lower()
+        tag = (m.group(2) or m.group(5) or "").lower()
         if not tag:
             continue
-        if m.group(1):
-            if tag in _INLINE:
+        if m.group(1) or m.group(4):
+            # Closing tags that open nothing are passed over without a look at what is open.
+            if not n_open.get(tag):
+                if not outside and tag not in _INLINE:
+                    flush()
                 continue
             if not outside:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                leave(k)
+            leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        marked = _outside(tag, m.group(3), article > 0)
+        attributes = m.group(3) or m.group(6)
+        is_main = tag in ("article", "main")
+        marked = _outside(tag, attributes, article > 0, _COMMENTS if is_main and freed else _MARKS)
+        if is_main and not named and (outside or marked):
+            hidden = hidden or not _outside(tag, attributes, article > 0, _COMMENTS)
         if tag in _INLINE or tag in _VOID:
             if not outside:
                 text.append(" ") if tag in ("br", "img") else None
                 if tag not in _INLINE:
                     flush()
-            if not marked or tag in _VOID:
+            if tag in _VOID:
+                continue
+            if not marked:
+                if n_open.get(tag):
+                    enter(tag, 0, False)
                 continue
-        if not outside:
+        elif not outside:
             flush()
         if tag in _CLOSES:
             k = len(stack) - 1
@@ -136,17 +178,15 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
                 k -= 1
             leave(k + 1)
         if tag != "p":
-            is_article = tag in ("article", "main") and not marked and not outside
-            stack.append((tag, marked, is_article))
-            outside += marked
-            article += is_article
+            is_article = is_main and not marked and not (named if freed else outside)
+            declared = declared or is_article
+            enter(tag, marked, is_article)
         elif marked:
-            stack.append((tag, True, False))
-            outside += 1
+            enter(tag, marked, False)
     if not outside and at < len(page):
         text.append(page[at:])
     flush()
-    return blocks
+    return blocks, declared, hidden
 
 
 def repeated(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, least: int = PAGES) -> np.ndarray:

@@ -301,3 +301,48 @@ def test_small_sets_that_are_alike_share_a_band():
             keys = [near_dedup.band_keys(s, near_dedup.registers(s)) for s in (a, b)]
             missed += not (keys[0] == keys[1]).any()
         assert missed == 0
+
+
+# --- pages and the pipeline --------------------------------------------------------------------
+
+PAGES = {
+    '<article><p>One <span class="share">x</span> two.</p><p>Three.</p></article>': ["One two.", "Three."],
+    '<article><p>One <a class="comment-link">c <a>d</a> e</a> two</p></article>': ["One two"],
+    '<div class="layout has-sidebar"><nav>menu</nav><article><p>Body</p></article></div>': ["Body"],
+    '<article class="search-result"><p>Body</p></article>': ["Body"],
+    '<form id="aspnet"><article>Body</article><button>b</button></form>': ["Body"],
+    '<p title="un closed>Body': ["Body"],
+    '<article>Real</article><div class="related"><article>Teaser</article></div>': ["Real"],
+    '<article>Real<div class=comments><article class="comment">no</article></div></article>': ["Real"],
+    "<aside><article>no</article></aside>text": ["text"],
+    '<article>a <em class="notice">n</em> b <sup class="ad">1</sup></article><footer>f</footer>': ["a b"],
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_marks_end_where_they_should(page):
+    from loomtrail.llm import html_text
+
+    assert [t for t, _ in html_text.page_blocks(page)] == PAGES[page]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    from loomtrail.llm import html_text
+
+    started = time.perf_counter()
+    assert html_text.page_blocks("<div>" * 100_000 + "</foo>" * 100_000 + "x") == [("x", True)]
+    assert time.perf_counter() - started < 20
+
+
+def test_pipeline_keeps_a_column_named_findings(spark):
+    import corpus_pipeline
+
+    ship(spark)
+    docs = spark.createDataFrame([(1, "mail me@example.com", "keep me", 3), (None, "same", "a", 1), (None, "same", "a", 1)],
+                                 "doc_id long, text string, findings string, n_chars int")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    rows = corpus_pipeline.pii_stage(spark, kept, "").collect()
+    assert sorted(r.findings for r in rows) == ["a", "keep me"] and kept.columns == docs.columns
+    assert all(r.n_chars == len(r.text) for r in rows)
