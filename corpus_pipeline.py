@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from loomtrail.llm import near_dedup, packing, pii, quality
 from loomtrail.llm.code import ship
@@ -33,17 +32,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         "doc_id", F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
     rest = rows.join(judged.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
-    # Rows that repeat an id are one document; those without an id are told apart by their texts.
-    first = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h"))).orderBy("h")
-    numbered = rest.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return numbered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    # Rows that repeat an id are one document; those without an id are told apart by their texts. Smallest
+    # rows are found before the shuffle, so that one text may have most of the rows.
+    apart = F.when(F.col("doc_id").isNull(), F.col("h"))
+    first = rest.groupBy("doc_id", apart.alias("apart")).agg(F.min_by("row", "h").alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced."""
-    found = pii.pseudonymize(docs, key="production-key")
-    new = {"n_chars": F.length("text").cast("long")}
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    # A column of the name that the findings get is set aside.
+    found = pii.pseudonymize(docs.withColumnRenamed("findings", "_own_findings"), key="production-key")
+    new = {"n_chars": F.length("text").cast("long"), "findings": F.col("_own_findings")}
+    return found.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
