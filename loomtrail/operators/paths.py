@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrail.operators.sequence import SEQUENCE_COLUMNS, follow, order_value, split_cases
+from loomtrail.operators.sequence import SEQUENCE_COLUMNS, event_order, follow, order_value, piece_bounds, split_cases
 from loomtrail.operators.variants import GATHERED_CASE_ROWS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked
 
 
 def exact_path_occurrences(log: DataFrame, path: Sequence[str], policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
@@ -90,17 +91,38 @@ def cases_with_ordered_path(log: DataFrame, path: Sequence[str], policy: ScalePo
 
 
 def path_occurrences(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Every run of ``length`` consecutive activities: ``case_id, start_position, path`` (array)."""
-    placed = follow(log.select(*SEQUENCE_COLUMNS), policy, position=True)
-    offsets = F.array(*[F.lit(i) for i in range(length)])
-    shared = placed.select("case_id", "activity", "event_position", F.explode(offsets).alias("step"))
-    # A group holds at most ``length`` rows.
-    rows = F.array_sort(F.collect_list(F.struct("step", "activity")))
-    return (
-        shared.groupBy("case_id", (F.col("event_position") - F.col("step")).alias("start_position"))
-        .agg(F.transform(rows, lambda r: r["activity"]).alias("path"))
-        .filter((F.size("path") == length) & (F.col("start_position") >= 1))
-    )
+    """Every run of ``length`` consecutive activities: ``case_id, start_position, path`` (array).
+
+    The window that orders a case also looks ahead. Of a case cut into pieces only the first and last ``length - 1``
+    events of a piece meet those of its neighbours.
+    """
+    split = split_cases(log.select(*SEQUENCE_COLUMNS), policy)
+
+    def ahead(over: W) -> Column:
+        return F.array(*[F.lead(F.struct("activity"), i).over(over) if i else F.struct("activity") for i in range(length)])
+
+    in_case = W.partitionBy("case_id").orderBy(*event_order())
+    whole = split.whole.select("case_id", F.row_number().over(in_case).cast("bigint").alias("start_position"), ahead(in_case).alias("run"))
+    if split.pieces is not None:
+        in_piece = W.partitionBy("case_id", "piece").orderBy(*event_order())
+        bounds = broadcast_checked(piece_bounds(split.pieces).select("case_id", "piece", "rows_before"), policy)
+        placed = split.pieces.select(
+            "case_id", "piece", "activity", F.row_number().over(in_piece).alias("at"), ahead(in_piece).alias("run")
+        ).join(bounds, ["case_id", "piece"]).withColumn("start_position", (F.col("rows_before") + F.col("at")).cast("bigint"))
+        edge = placed.where((F.col("at") < length) | F.get("run", F.lit(length - 1)).isNull())
+        shared = edge.select(
+            "case_id", "piece", "activity", "start_position", F.explode(F.array(*[F.lit(i) for i in range(length)])).alias("step")
+        )
+        # A group holds at most ``length`` rows; runs within a piece are known already.
+        crossing = (
+            shared.groupBy("case_id", (F.col("start_position") - F.col("step")).alias("start_position"))
+            .agg(F.array_sort(F.collect_list(F.struct("step", "activity"))).alias("rows"), F.min("piece").alias("a"), F.max("piece").alias("b"))
+            .where((F.size("rows") == length) & (F.col("a") < F.col("b")))
+            .select("case_id", "start_position", F.transform("rows", lambda r: F.struct(r["activity"].alias("activity"))).alias("run"))
+        )
+        whole = whole.unionByName(placed.select("case_id", "start_position", "run")).unionByName(crossing)
+    complete = whole.where(F.get("run", F.lit(length - 1)).isNotNull())
+    return complete.select("case_id", "start_position", F.transform("run", lambda r: r["activity"]).alias("path"))
 
 
 def _repeated(log: DataFrame, length: int, policy: ScalePolicy) -> DataFrame:

@@ -753,6 +753,20 @@ def _(spark, d):
     return drift.source_drift(now, old)
 
 
+@query("V05_changed_ranges", "SELECT 'CHANGED' AS drift, count(*) AS n_ranges FROM events WHERE event_id = 100")
+def _(spark, d):
+    # The same rows twice, with one date changed in the second copy.
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "event_type")
+    moved = F.when(F.col("event_id") == 100, F.concat(F.lit("1999"), F.substr("ts", F.lit(5)))).otherwise(F.col("ts"))
+    found = []
+    for rows in (e, e.withColumn("ts", moved)):
+        path = staged_path(spark, "checked")
+        rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.csv(path)
+        ranges = drift.range_checksums(spark, path, 4096)
+        found.append(ranges.withColumn("path", F.regexp_extract("path", r"part-(\d+)", 1)))
+    return drift.changed_ranges(found[1], found[0]).groupBy("drift").agg(F.count("*").alias("n_ranges"))
+
+
 @query("V05_source_drift")
 def _(spark, d):
     """All table files against a manifest in which events has another size and orders is missing."""

@@ -265,3 +265,13 @@ def test_shared_folder_is_asked_for(spark):
         shared_folder(Session())
     Session.sparkContext.folder = "hdfs://x/y/"
     assert shared_folder(Session()) == "hdfs://x/y"
+
+
+@pytest.mark.parametrize("bound", [2, 5, 1000])
+def test_runs_across_short_pieces(spark, bound):
+    names = [("x" if k % 5 else None) if k % 7 else f"a{k % 3}" for k in range(40)]
+    rows = [(f"e{k}", "big", a, "2026-01-01 10:00:00", k) for k, a in enumerate(names)]
+    rows += [("s1", "small", "x", "2026-01-01 10:00:00", 1), ("s2", "small", "y", "2026-01-01 10:00:00", 2)]
+    got = paths.path_occurrences(as_log(spark, rows), 6, ScalePolicy(max_group_rows=bound)).collect()
+    assert sorted((r.start_position, r.path) for r in got) == [(k + 1, names[k : k + 6]) for k in range(35)]
+    assert {r.case_id for r in got} == {"big"}

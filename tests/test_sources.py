@@ -243,3 +243,28 @@ def test_header_with_a_line_break(spark, tmp_path):
     _write(tmp_path / "g", "y.csv", 'c,"a\nb"\n1,2\n')
     with pytest.raises(ValueError):
         readers.check_header(spark, path)
+
+
+def test_range_checksums_do_not_depend_on_the_split(spark, tmp_path):
+    rng = random.Random(4)
+    body = bytes(rng.randrange(256) for _ in range(5000)) + b"\n\n" + b"z" * 700 + b"\n"
+    (tmp_path / "a.bin").write_bytes(body)
+    (tmp_path / "b.bin").write_bytes(body[:3000] + b"!" + body[3001:])
+    (tmp_path / "c.bin").write_bytes(body[:-1])
+    path, found, sums = str(tmp_path), [], []
+    for block in (37, 1000, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            ranges = drift.range_checksums(spark, path, 512)
+            found.append({(r.path.split("/")[-1], r.range_number): r.digest for r in ranges.collect()})
+            sums.append({r.path.split("/")[-1]: r.checksum for r in drift.file_checksums(ranges, drift.file_listing(spark, path)).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] == found[2] and sums[0] == sums[1] == sums[2]
+    assert len(set(sums[0].values())) == 3 and max(n for _, n in found[0]) == 5002 // 512
+    ranges = ranges.withColumn("file", F.element_at(F.split("path", "/"), -1)).withColumn("path", F.lit("p"))
+    a, b = (ranges.where(F.col("file") == f"{n}.bin") for n in "ab")
+    changed = drift.changed_ranges(b, a).collect()
+    assert [(r.drift, r.start_byte <= 3000 < r.start_byte + 1024) for r in changed] == [("CHANGED", True)]
