@@ -125,13 +125,16 @@ def quantiles(
     wanted: dict[str, float],
     policy: ScalePolicy = DEFAULT_POLICY,
     staged: bool = False,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, buffered or by bins as the counted rows of the largest group ask for.
 
-    Pass ``staged`` when ``df`` is a table already, so that it is not written again.
+    Pass ``staged`` when ``df`` is a table already, so that it is not written again, and ``largest`` when the rows of the
+    largest group are known.
     """
     rows = df if staged else stage(df.select(*keys, value), "quantile-values")
-    largest = rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        largest = rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= min(policy.max_group_rows, BUFFERED_ROWS):
         return rows.groupBy(*keys).agg(*percentile_columns(value, wanted))
     return split_quantiles(rows, keys, value, wanted, policy)

@@ -79,7 +79,10 @@ def edge_metrics(
         .groupBy("source", "target")
         .agg(F.sum("_n").alias("transition_count"), F.count("*").alias("case_count"))
     )
-    spread = quantiles(pairs, ["source", "target"], "transition_ms", EDGE_QUANTILES, policy, staged=True)
+    # One row per edge, counted once: it also tells the largest group.
+    counted = stage(counted, "edge-counts")
+    largest = counted.agg(F.max("transition_count")).first()[0] or 0
+    spread = quantiles(pairs, ["source", "target"], "transition_ms", EDGE_QUANTILES, policy, staged=True, largest=largest)
     return counted.join(spread, ["source", "target"])
 
 
