@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from loomtrail.llm import quality
 from loomtrail.llm.registry import query, table
 
-_LINE = r"""regexp_matches(l, '[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'')\]\x{201D}\x{2019}\x{00BB}]*([\x20\x09-\x0D]|$)')
-  AND NOT regexp_matches(l, '\|[^|]*\|[^|]*\|')
-  AND NOT (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 10 > length(l)
-  AND NOT (length(l) - length(regexp_replace(l, '[A-Za-z]', '', 'g')) >= 20
-           AND (length(l) - length(regexp_replace(l, '[A-Z]', '', 'g'))) * 2
-               > length(l) - length(regexp_replace(l, '[A-Za-z]', '', 'g')))
-  AND NOT (len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 10
-           AND len(list_distinct(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) * 4
-               <= len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')))
-  AND NOT regexp_matches(l, '(?i)\b(enable javascript|uses cookies|cookie policy|privacy policy|terms of use|terms of service|lorem ipsum|click here to|subscribe to our)\b')"""
+_CLOSED = r"""[.!?\x{2026}\x{061F}\x{06D4}\x{0964}\x{0965}\x{104B}\x{1362}\x{1367}\x{17D4}\x{3002}\x{FF01}\x{FF1F}]["'')\]\x{201D}\x{2019}\x{00BB}]*"""
+_NAMES = r"(?i)\b(enable javascript|uses cookies|cookie policy|privacy policy|terms of use|terms of service|lorem ipsum|click here to|subscribe to our)\b"
+
+
+def _words(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+_LINE = rf"""regexp_matches(l, '{_CLOSED}([\x20\x09-\x0D]|$)|[\x{{0E01}}-\x{{0E5B}}][\x20\x09-\x0D]*$')
+  AND coalesce(list_sum(list_transform(range(CAST(ceil(len({_words("l")}) / 64.0) AS BIGINT)), lambda k:
+        CASE WHEN len({_words("l")}[k * 64 + 1 : k * 64 + 64]) >= 10
+                  AND len(list_distinct({_words("l")}[k * 64 + 1 : k * 64 + 64])) * 4 <= len({_words("l")}[k * 64 + 1 : k * 64 + 64])
+             THEN len({_words("l")}[k * 64 + 1 : k * 64 + 64]) ELSE 0 END)), 0) * 2 <= len({_words("l")})"""
+
+_SENTENCE = rf"""NOT (length(s) - length(replace(s, '|', '')) >= 3
+           AND (length(s) - length(replace(s, '|', ''))) * 10 >= len({_words("s")}))
+  AND NOT (length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g'))) * 10 > length(s)
+  AND NOT (length(s) - length(regexp_replace(s, '[A-Za-z]', '', 'g')) >= 20
+           AND (length(s) - length(regexp_replace(s, '[A-Z]', '', 'g'))) * 2
+               > length(s) - length(regexp_replace(s, '[A-Za-z]', '', 'g')))
+  AND NOT (regexp_matches(s, '{_NAMES}')
+           AND len(regexp_extract_all(s, '{_NAMES}')) * 40 >= len({_words("s")}))"""
 
 SQL = rf"""
 WITH docs AS (
@@ -37,7 +49,13 @@ rep AS (
     SELECT r, bool_or(t2) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM twice)
   GROUP BY r),
 line AS (SELECT r, unnest(lines) AS l, unnest(range(len(lines))) AS i FROM cut),
-good AS (SELECT r, l, min(i) AS i FROM line WHERE {_LINE} GROUP BY r, l),
+first AS (SELECT r, l, min(i) AS i FROM line WHERE {_LINE} GROUP BY r, l),
+whole AS (
+  SELECT r, i, array_to_string(list_filter(
+           string_split(regexp_replace(l, '({_CLOSED}[\x20\x09-\x0D]+)', '\1' || chr(10), 'g'), chr(10)),
+           lambda s: {_SENTENCE}), '') AS l
+  FROM first),
+good AS (SELECT r, i, l FROM whole WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 clean AS (SELECT r, string_agg(l, chr(10) ORDER BY i) AS t, count(*) AS n FROM good GROUP BY r),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

@@ -4,12 +4,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from loomtrail.llm import fingerprints as fp
-from loomtrail.llm import fingerprints_queries, pii, quality, url_filters
+from loomtrail.llm import fingerprints_queries, pii, quality, quality_queries, url_filters
 from loomtrail.llm.text_native import once
 
 SENTENCE = "The quick brown fox jumps over the lazy dog and runs away from here today."
@@ -55,6 +56,43 @@ def test_quality(texts):
     assert quality.measure(texts.limit(0)).count() == 0
 
 
+def test_quality_does_not_depend_on_line_lengths(spark, tmp_path):
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ar", "ille", "os", "und", "ete", "im", "ova", "ent", "ick", "ud")]
+    plain = [" ".join(rng.choice(vocabulary) for _ in range(9)) + rng.choice([".", "!", "?\"", "."]) for _ in range(400)]
+    junk = ["Home | News | About | Contact.", "Please read our privacy policy.", "$$$ ### %%% *** save.", "BUY ALL OF THESE THINGS RIGHT AWAY TODAY."]
+    mixed = plain[:200] + junk + plain[200:]
+    arabic = ["\u0647\u0644 \u0647\u0630\u0627 \u0646\u0635 \u0639\u0631\u0628\u064a " + f"{k} \u061f" for k in range(9)]
+    thai = ["\u0e20\u0e32\u0e29\u0e32 \u0e44\u0e17\u0e22 " + f"a{k} b{k} \u0e14\u0e35" for k in range(9)]
+    cases = {
+        "clean": plain, "mixed": mixed, "one policy": plain[:200] + junk[1:2], "junk": junk * 30, "arabic": arabic, "thai": thai,
+        "late policy": [" ".join(rng.choice(vocabulary) for _ in range(300)) + " privacy policy " + plain[0]],
+        "stutter": ["spam eggs " * 400 + "end."], "long": [" ".join(rng.choice(vocabulary) for _ in range(20_000)) + "."],
+    }
+    texts = [(f"{n}/{k}", c.join(v)) for n, v in cases.items() for k, c in (("one", " "), ("many", "\n"))]
+    rows = [(k, n, t) for k, (n, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, name string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    judged = quality.measure(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    out = {r.name: r for r in judged.collect()}
+    for n in cases:
+        one, many = out[f"{n}/one"], out[f"{n}/many"]
+        assert one.kept == many.kept == (n not in ("junk", "stutter")), n
+        if n != "junk":
+            assert one.words_left == many.words_left, n
+    assert out["clean/one"].clean_text == " ".join(plain) and out["clean/many"].clean_text == "\n".join(plain)
+    assert out["mixed/one"].words_left == out["clean/one"].n_words
+    assert out["late policy/one"].words_left == out["late policy/one"].n_words
+    digits = spark.createDataFrame([("A" + "1" * 100_000 + " b.",)], "text string")
+    assert digits.select(quality.cleaned(F.col("text")).alias("t")).first().t.endswith(" b.")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(quality_queries.SQL)
+    names = sorted(c[0] for c in cursor.description)
+    want = sorted(tuple(dict(zip([c[0] for c in cursor.description], r))[n] for n in names) for r in cursor.fetchall())
+    got = quality_queries.op7(spark, str(tmp_path))
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == want
+
+
 PII = {
     "card": "4111 1111 1111 1111", "email": "jo.doe+x7@mail.example.org", "phone": "+44 (020) 555-0199", "ip": "10.0.200.7",
     "date": "31/12/1999", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00",
