@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from loomtrail.model import ORDER_KEYS, EventFilter
-from loomtrail.operators import caseindex, cases, filters, paths, variants
+from loomtrail.operators import caseindex, cases, filters, paths, variants, vartree
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.plans.graph import SPLIT
 from loomtrail.plans.logs import (
@@ -483,6 +483,51 @@ def _(spark, d):
     return variants.ranked_variants(day_log(spark, d), failure=is_failed())
 
 
+# Beginnings spelled out: the letters of all steps so far name a node.
+_TREE = f"""WITH {{log}}, {STEPS}, begun AS (
+  SELECT case_id, pos, activity, target IS NULL AS is_end,
+         string_agg(activity, chr(31)) OVER (PARTITION BY case_id ORDER BY pos) AS path
+  FROM steps), nodes AS (
+  SELECT pos AS depth, path, min(activity) AS activity, count(*) AS case_count, count_if(is_end) AS ending_cases,
+         min(case_id) AS first_case_id
+  FROM begun GROUP BY pos, path), tree AS (
+  SELECT n.*, left(n.path, length(n.path) - length(n.activity) - 1) AS parent FROM nodes n), tree2 AS (
+  SELECT t.*, coalesce(c.n, 0) AS n_children,
+         t.case_count / (SELECT sum(case_count) FROM nodes WHERE depth = 1) AS case_share,
+         t.case_count / coalesce(p.case_count, (SELECT sum(case_count) FROM nodes WHERE depth = 1)) AS parent_share
+  FROM tree t
+  LEFT JOIN (SELECT depth - 1 AS depth, parent AS path, count(*) AS n FROM tree GROUP BY ALL) c USING (depth, path)
+  LEFT JOIN nodes p ON p.depth = t.depth - 1 AND p.path = t.parent)"""
+_TREE_OUT = """SELECT depth, activity, case_count, CAST(ending_cases AS BIGINT) AS ending_cases, n_children,
+  round(case_share, 6) AS case_share, round(parent_share, 6) AS parent_share, first_case_id FROM tree2"""
+_TREE_COLUMNS = ("depth", "activity", "case_count", "ending_cases", "n_children", "case_share", "parent_share", "first_case_id")
+
+
+@query("M03_variant_tree", f"{_TREE.format(log=DAY_LOG)} {_TREE_OUT}")
+def _(spark, d):
+    return vartree.variant_tree(day_log(spark, d)).select(*_TREE_COLUMNS)
+
+
+@query("M03_variant_tree_split", f"{_TREE.format(log=USER_LOG)} {_TREE_OUT}")
+def _(spark, d):
+    return vartree.variant_tree(user_log(spark, d), SPLIT).select(*_TREE_COLUMNS)
+
+
+@query(
+    "A11_split_point_steps",
+    f"""{_TREE.format(log=ORDER_LOG)}, parted AS (
+  SELECT * FROM tree2 WHERE case_count >= 2 AND n_children + CASE WHEN ending_cases > 0 THEN 1 ELSE 0 END > 1)
+SELECT p.depth, p.first_case_id, p.case_count, CAST(s.pos AS BIGINT) AS step, s.activity AS step_activity
+FROM parted p JOIN steps s ON s.case_id = p.first_case_id AND s.pos <= p.depth""",
+)
+def _(spark, d):
+    log = order_log(spark, d)
+    parted = vartree.split_points(vartree.variant_tree(log))
+    named = parted.select(*vartree.NODE, "first_case_id", "case_count")
+    steps = vartree.node_steps(log, parted).join(named, list(vartree.NODE))
+    return steps.select("depth", "first_case_id", "case_count", "step", "step_activity")
+
+
 _COVERAGE = f"""WITH {DAY_LOG}, {TRACES}, counted AS (SELECT variant_hash, count(*) AS case_count FROM traces GROUP BY 1),
 ranked AS (SELECT variant_hash, case_count, row_number() OVER r AS rank,
   case_count / sum(case_count) OVER () AS case_share,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import as_log
 from loomtrail.functions.quantiles import split_quantiles, value_bin
 from loomtrail.functions.timing import millis_between, use_utc
-from loomtrail.operators import cases, dfg, paths, running, variants
+from loomtrail.operators import cases, dfg, paths, running, variants, vartree
 from loomtrail.operators import normalize as norm
 from loomtrail.operators.sequence import follow, split_cases, transitions
 from loomtrail.plans import dirty
@@ -275,3 +275,36 @@ def test_runs_across_short_pieces(spark, bound):
     got = paths.path_occurrences(as_log(spark, rows), 6, ScalePolicy(max_group_rows=bound)).collect()
     assert sorted((r.start_position, r.path) for r in got) == [(k + 1, names[k : k + 6]) for k in range(35)]
     assert {r.case_id for r in got} == {"big"}
+
+
+def test_variant_tree(spark):
+    rows = [*ROWS, *[(f"n{k}", case, None if k == 1 else "A", f"2026-01-02 00:0{k}:00", None) for case in ("x", "y") for k in range(3)],
+            ("m", "z", "", "2026-01-02 00:00:00", None)]
+    log = as_log(spark, rows)
+    ordered = defaultdict(list)
+    for r in follow(log, position=True).collect():
+        ordered[r.case_id].append((r.event_position, r.activity))
+    traces = {c: tuple(a for _, a in sorted(v)) for c, v in ordered.items()}
+    passing, ending = defaultdict(list), Counter(traces.values())
+    for c, t in traces.items():
+        for d in range(1, len(t) + 1):
+            passing[t[:d]].append(c)
+    children = Counter(t[:-1] for t in passing)
+    want = sorted(
+        (len(t), str(t[-1]), len(c), ending[t], children[t], len(c) / len(traces),
+         len(c) / len(passing.get(t[:-1], traces)), min(c))
+        for t, c in passing.items()
+    )
+    columns = "depth activity case_count ending_cases n_children case_share parent_share first_case_id".split()
+    for policy in (ScalePolicy(), SPLIT, ScalePolicy(max_group_rows=3)):
+        tree = stage(vartree.variant_tree(log, policy), "tree")
+        got = sorted(tuple(str(r[c]) if c == "activity" else r[c] for c in columns) for r in tree.collect())
+        assert got == [tuple(w) for w in want]
+        spelled = defaultdict(dict)
+        for r in vartree.node_steps(log, vartree.split_points(tree), policy).collect():
+            spelled[r.depth, r.word_1, r.word_2][r.step] = r.step_activity
+        ways = {t for t in passing if len(passing[t]) > 1 and children[t] + (ending[t] > 0) > 1}
+        assert {tuple(v[k] for k in sorted(v)) for v in spelled.values()} == ways
+    plan = vartree.case_beginnings(log)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    assert vartree.variant_tree(log.limit(0)).count() == 0
