@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomtrail.functions.text import blank_to_null
 from loomtrail.functions.timing import ratio
 from loomtrail.model import UNMAPPED_LABEL, UnmappedPolicy
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
 
 
 def enabled_entries(entries: DataFrame, label: str = "business_activity") -> DataFrame:
@@ -150,62 +150,123 @@ SIGNATURE = ("source_system", "source_class", "source_method", "module")
 MAPPED, AMBIGUOUS, UNMAPPED = "MAPPED", "AMBIGUOUS", "UNMAPPED"
 
 
-def apply_activity_rules(events: DataFrame, rules: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Priority rules on technical names with a validity window.
+#: Lengths of the literal beginnings that rules are looked up by.
+KEY_LENGTHS = (24, 12, 6, 3)
+_KEYED = {"class_pattern": "source_class", "method_pattern": "source_method"}
 
-    ``rules``: ``mapping_id, priority, source_system, class_pattern, method_pattern, module_pattern,
-    activity_name, activity_group, valid_from, valid_to, enabled`` (patterns are regular expressions,
-    NULL matches anything). The highest priority wins; two rules at the top priority make the event
-    ambiguous. Patterns are tried once per distinct technical name instead of once per event, and the
-    rule list travels as one array value, so no pairs of events and rules are formed.
+
+def _rule_key(pattern: str) -> Column:
+    """The longest beginning of ``KEY_LENGTHS`` that whatever fits the pattern starts with; NULL if there is none.
+
+    Only patterns tied to the beginning and without alternatives have one; a letter that a quantifier makes
+    optional does not count.
     """
-    listed = rules.filter("enabled").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("priority"), F.col("mapping_id"), F.col("source_system"), F.col("class_pattern"),
-                    F.col("method_pattern"), F.col("module_pattern"), F.col("activity_name"),
-                    F.col("activity_group"), F.col("valid_from"), F.col("valid_to"),
-                )
-            )
-        ).alias("r")
+    run = F.when(
+        ~F.col(pattern).contains("|"), F.regexp_extract(pattern, r"^\^([A-Za-z0-9_]+)(?![*?{])", 1)
+    )
+    return F.coalesce(
+        *[
+            F.when(F.length(run) >= n, F.struct(F.lit(pattern).alias("of"), F.substring(run, 1, n).alias("text")))
+            for n in KEY_LENGTHS
+        ]
     )
 
-    def fits(r: Column) -> Column:
-        def pattern(value: str, rule: str) -> Column:
-            return r[rule].isNull() | F.coalesce(F.rlike(F.col(value), r[rule]), F.lit(False))
 
-        system = r["source_system"].isNull() | F.col("source_system").eqNullSafe(r["source_system"])
-        return (
-            system
-            & pattern("source_class", "class_pattern")
-            & pattern("source_method", "method_pattern")
-            & pattern("module", "module_pattern")
-        )
+def _fits(r: Column) -> Column:
+    def pattern(value: str, rule: str) -> Column:
+        return r[rule].isNull() | F.coalesce(F.rlike(F.col(value), r[rule]), F.lit(False))
 
-    names = events.select(*SIGNATURE).distinct().withColumn("_rules", listed.scalar())
-    matched = names.select(
-        *[F.col(c).alias(f"_{c}") for c in SIGNATURE], F.filter("_rules", fits).alias("_rules")
+    system = r["source_system"].isNull() | F.col("source_system").eqNullSafe(r["source_system"])
+    return (
+        system
+        & pattern("source_class", "class_pattern")
+        & pattern("source_method", "method_pattern")
+        & pattern("module", "module_pattern")
     )
+
+
+def _winner(rules: Column) -> Column:
+    """Of rules in falling order of priority: how many share the first place, and the rule if it is one."""
+    top = F.filter(rules, lambda r: r["priority"] == F.get(rules, F.lit(0))["priority"])
+    one = F.when(F.size(top) == 1, F.get(rules, F.lit(0)))
+    return F.struct(
+        F.size(top).alias("hits"), one["activity_name"].alias("activity_name"),
+        one["activity_group"].alias("activity_group"), one["mapping_id"].alias("mapping_id"),
+    )
+
+
+def rule_index(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per technical name the winning rule of every elementary interval of validity, and ``undated``, that of no time.
+
+    ``names``: rows of ``SIGNATURE``, each once. Rules whose patterns begin with literals are joined by these; the others
+    are tried on each name. ``intervals`` are sorted by ``start``, the first of which is NULL: from ever.
+    Names that no rule fits are left out. A name gathers the rules that fit it, at most all rules.
+    """
+    fields = ["mapping_id", "priority", "source_system", "class_pattern", "method_pattern", "module_pattern",
+              "activity_name", "activity_group", "valid_from", "valid_to"]
+    keys = F.array_compact(F.array(*[_rule_key(p) for p in _KEYED]))
+    longest = F.get(F.array_sort(keys, lambda a, b: F.length(b["text"]) - F.length(a["text"])), F.lit(0))
+    enabled = rules.filter(F.col("enabled") & F.col("priority").isNotNull()).select(F.struct(*fields).alias("_rule"), longest.alias("_key"))
+    loose = enabled.where(F.col("_key").isNull()).agg(F.collect_list("_rule").alias("r"))
+    tried = names.withColumn("_rules", loose.scalar()).select(*SIGNATURE, F.explode(F.filter("_rules", _fits)).alias("_rule"))
+    beginnings = F.array(
+        *[
+            F.when(F.length(c) >= n, F.struct(F.lit(p).alias("of"), F.substring(c, 1, n).alias("text")))
+            for p, c in _KEYED.items()
+            for n in KEY_LENGTHS
+        ]
+    )
+    begun = names.select(*SIGNATURE, F.explode(F.array_compact(beginnings)).alias("_key"))
+    found = begun.join(enabled, "_key").where(_fits(F.col("_rule"))).select(*SIGNATURE, "_rule")
+    falling = F.array_sort(
+        F.collect_list("_rule"), lambda a, b: F.when(a["priority"] > b["priority"], -1).when(a["priority"] < b["priority"], 1).otherwise(0)
+    )
+    fitting = tried.unionByName(found).groupBy(*SIGNATURE).agg(falling.alias("_rules"))
+    bounds = F.sort_array(F.array_distinct(F.array_compact(F.flatten(F.transform("_rules", lambda r: F.array(r["valid_from"], r["valid_to"]))))))
+    never = F.array(F.lit(None).cast(rules.schema["valid_from"].dataType))
+
+    def live(start: Column) -> Column:
+        def at(r: Column) -> Column:
+            begun = r["valid_from"].isNull() | F.coalesce(r["valid_from"] <= start, F.lit(False))
+            return begun & (r["valid_to"].isNull() | start.isNull() | (start < r["valid_to"]))
+
+        return F.filter("_rules", at)
+
+    undated = F.filter("_rules", lambda r: r["valid_from"].isNull() & r["valid_to"].isNull())
+    return fitting.select(
+        *SIGNATURE,
+        F.transform(F.concat(never, bounds), lambda b: F.struct(b.alias("start"), _winner(live(b)).alias("won"))).alias("intervals"),
+        _winner(undated).alias("undated"),
+    )
+
+
+def apply_activity_rules(events: DataFrame, rules: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+    """Priority rules on technical names with a validity window.
+
+    ``rules``: ``mapping_id, priority, source_system, class_pattern, method_pattern, module_pattern,
+    activity_name, activity_group, valid_from, valid_to, enabled`` (patterns are regular expressions,
+    NULL matches anything). The highest priority wins; two rules at the top priority make the event
+    ambiguous. An event without a time meets rules without bounds only. Patterns are tried and winners found
+    once per distinct technical name (:func:`rule_index`); an event looks up the interval of its time.
+    """
+    names = stage(events.select(*SIGNATURE).distinct(), "rule-names")
+    index = stage(rule_index(names, rules), "rule-index")
+    index = index.select(*[F.col(c).alias(f"_{c}") for c in SIGNATURE], "intervals", "undated")
+    index = index.withColumnsRenamed({"intervals": "_intervals", "undated": "_undated"})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SIGNATURE]
-    joined = events.join(broadcast_checked(matched, policy), same)
     ts = F.col("event_ts")
-    live = F.filter(
-        "_rules",
-        lambda r: (r["valid_from"].isNull() | (ts >= r["valid_from"]))
-        & (r["valid_to"].isNull() | (ts < r["valid_to"])),
-    )
-    top = F.filter("_live", lambda r: r["priority"] == F.array_max(F.transform("_live", lambda x: x["priority"])))
-    hits = F.size("_top")
-    one = F.when(hits == 1, F.get("_top", F.lit(0)))
+    # Of sorted intervals the last that has begun.
+    begun = F.filter("_intervals", lambda i: i["start"].isNull() | (i["start"] <= ts))
+    won = F.when(ts.isNull(), F.col("_undated")).otherwise(F.try_element_at(begun, F.lit(-1))["won"])
+    hits = F.coalesce(F.col("_won.hits"), F.lit(0))
     return (
-        joined.withColumn("_live", live)
-        .withColumn("_top", top)
+        events.join(broadcast_checked(index, policy), same, "left")
+        .withColumn("_won", won)
         .select(
             *[c for c in events.columns if c != "activity"],
-            one["activity_name"].alias("activity"),
-            one["activity_group"].alias("activity_group"),
-            one["mapping_id"].alias("mapping_id"),
+            F.col("_won.activity_name").alias("activity"),
+            F.col("_won.activity_group").alias("activity_group"),
+            F.col("_won.mapping_id").alias("mapping_id"),
             F.when(hits == 0, UNMAPPED).when(hits == 1, MAPPED).otherwise(AMBIGUOUS).alias("mapping_status"),
         )
     )

@@ -1,5 +1,7 @@
 """Mapping sets, coverage, rules, registries and gates."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -187,3 +189,52 @@ def test_ip_networks(spark):
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.n for r in df.select("t", ip_prefix(F.col("t")).alias("n")).collect()} == texts
+
+
+def test_rule_index_equals_brute_force(spark):
+    rng = random.Random(21)
+    classes = [f"{a}{b}Service" for a in ("Order", "Payment", "Claim", "Po", "Abcdefghijklmnopqrstuvwxyz") for b in ("", "Line", "Xy")]
+    methods = [f"{a}{b}" for a in ("save", "load", "do") for b in ("", "All", "One", "_x")]
+    days = [datetime(2026, 1, d) for d in range(1, 20)]
+    tails = ["", "$", ".*", "?", "*x", "+", "|load", "{0}All", "[A-Z]", "(x)?"]
+
+    def pattern(values):
+        if rng.random() < 0.3:
+            return None
+        value = rng.choice(values)
+        return rng.choice(["^", "^", "^", ""]) + value[: rng.randrange(1, len(value) + 1)] + rng.choice(tails)
+
+    rules = [
+        (f"r{k}", rng.choice([None, *range(30)]), rng.choice([None, None, "web"]), pattern(classes), pattern(methods),
+         rng.choice([None, None, "^co", "re$"]), f"a{k % 50}", None, rng.choice([None, *days]), rng.choice([None, *days]), rng.random() < 0.9)
+        for k in range(300)
+    ]
+    events = [
+        (str(k), rng.choice([None, *days, datetime(2025, 1, 1), datetime(2027, 1, 1)]), rng.choice([None, "web", "app"]),
+         rng.choice([None, "", *classes]), rng.choice([None, *methods]), rng.choice([None, "core"]))
+        for k in range(1500)
+    ]
+    log = spark.createDataFrame(
+        events, "event_id string, event_ts timestamp_ntz, source_system string, source_class string, source_method string, module string"
+    )
+
+    def wins(e):
+        _, ts, system, *values = e
+        hits = []
+        for r in rules:
+            fits = r[10] and r[1] is not None and (r[2] is None or r[2] == system)
+            fits = fits and all(p is None or (v is not None and re.search(p, v)) for p, v in zip(r[3:6], values))
+            begun = r[8] is None or (ts is not None and ts >= r[8])
+            if fits and begun and (r[9] is None or (ts is not None and ts < r[9])):
+                hits.append(r)
+        top = [r for r in hits if r[1] == max(h[1] for h in hits)]
+        status = "UNMAPPED" if not top else "MAPPED" if len(top) == 1 else "AMBIGUOUS"
+        return (top[0][0] if len(top) == 1 else None, status)
+
+    table = spark.createDataFrame(rules, RULE)
+    got = {r.event_id: (r.mapping_id, r.mapping_status) for r in mapping.apply_activity_rules(log, table).collect()}
+    assert got == {e[0]: wins(e) for e in events}
+    assert {s for _, s in got.values()} == {"MAPPED", "AMBIGUOUS", "UNMAPPED"}
+    none = mapping.apply_activity_rules(log, table.limit(0))
+    assert [r.mapping_status for r in none.select("mapping_status").distinct().collect()] == ["UNMAPPED"]
+    assert mapping.apply_activity_rules(log.limit(0), table).count() == 0
