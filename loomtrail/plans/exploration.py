@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from loomtrail.model import ORDER_KEYS, EventFilter
-from loomtrail.operators import caseindex, cases, filters, paths, variants, vartree
+from loomtrail.operators import caseindex, cases, filters, paths, repeats, variants, vartree
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.plans.graph import SPLIT
 from loomtrail.plans.logs import (
@@ -15,7 +15,7 @@ from loomtrail.plans.logs import (
     day_log, line_log, order_log, talk_log, user_log,
 )
 from loomtrail.plans.registry import query, ts_text
-from loomtrail.scale import ScalePolicy, staged_path
+from loomtrail.scale import ScalePolicy, stage, staged_path
 
 JAN_5, JAN_20 = datetime(2024, 1, 5), datetime(2024, 1, 20)
 SMALL_PIECES = ScalePolicy(max_group_rows=7)
@@ -620,3 +620,35 @@ FROM repeated GROUP BY 1""",
 )
 def _(spark, d):
     return paths.repeated_path_ranking(day_log(spark, d), 3)
+
+
+_MAXIMAL = """WITH {log},
+placed AS (SELECT case_id, activity, row_number() OVER (PARTITION BY case_id ORDER BY {order}) AS pos FROM log),
+whole AS (SELECT case_id, list(activity ORDER BY pos) AS steps, count(*) AS n FROM placed GROUP BY 1),
+begun AS (SELECT *, unnest(range(1, n + 1)) AS pos FROM whole),
+parts AS (SELECT *, unnest(range(2, n - pos + 2)) AS length FROM begun),
+named AS (
+  SELECT case_id, length, array_to_string(steps[pos : pos + length - 1], ' > ') AS path,
+    coalesce(steps[pos - 1], '^') AS before, coalesce(steps[pos + length], '$') AS after FROM parts)
+SELECT case_id, path, CAST(length AS BIGINT) AS length, count(*) AS occurrences FROM named GROUP BY ALL
+HAVING count(DISTINCT before) > 1 AND count(DISTINCT after) > 1"""
+
+
+def _with_text(log, found):
+    """Repeats with their steps as text."""
+    steps = repeats.repeat_steps(log, found).withColumn("s", F.struct("step", "step_activity"))
+    named = steps.groupBy("case_id", "position", "length", "occurrences").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    path = F.array_join(F.transform("s", lambda s: s["step_activity"]), " > ")
+    return named.select("case_id", path.alias("path"), "length", "occurrences")
+
+
+@query("M17_maximal_repeats", _MAXIMAL.format(log=USER_LOG, order=ORDERED))
+def _(spark, d):
+    log = user_log(spark, d)
+    return _with_text(log, stage(repeats.maximal_repeats(log), "repeats"))
+
+
+@query("M17_maximal_repeats_split", _MAXIMAL.format(log=ORDER_LOG, order=ORDERED))
+def _(spark, d):
+    log = order_log(spark, d)
+    return _with_text(log, stage(repeats.maximal_repeats(log, policy=SPLIT), "repeats"))
