@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomtrail.functions import privacy
 from loomtrail.functions.timing import moment
 from loomtrail.model import EventFilter, UnmappedPolicy
-from loomtrail.operators import caserules, compare, layers, mapping, versions
+from loomtrail.operators import caserules, compare, layers, ledger, mapping, versions
 from loomtrail.operators.dfg import dfg_edges
 from loomtrail.operators.filters import filter_signature, in_range
 from loomtrail.plans.dirty import BINDING, CHECKED, DATASET, KEY
@@ -417,6 +417,54 @@ def _(spark, d):
     return versions.batch_ledger(log.events, log.quarantine, DATASET, "events", f"mapping-v{v}", f"case-column-v{v}")
 
 
+_LEDGER = f"""WITH {USER_LOG},
+keyed AS (
+  SELECT *, CASE WHEN event_ts < TIMESTAMP '2024-01-11' THEN 'early' WHEN event_ts < TIMESTAMP '2024-01-21' THEN 'middle' ELSE 'late' END
+    AS batch, concat_ws('|', case_id, activity, CAST(hour(event_ts) AS VARCHAR)) AS k FROM log),
+counted AS (SELECT batch, k, count(*) AS n FROM keyed GROUP BY ALL),
+sides AS (
+  SELECT c.*, coalesce(e.n, 0) AS in_early, CASE WHEN c.batch = 'late' THEN coalesce(m.n, 0) ELSE 0 END AS in_middle
+  FROM counted c LEFT JOIN counted e ON e.k = c.k AND e.batch = 'early' AND c.batch <> 'early'
+  LEFT JOIN counted m ON m.k = c.k AND m.batch = 'middle' AND c.batch <> 'middle')"""
+
+
+def _ledger(spark, d):
+    """The user log in three batches, and a ledger of all but the last."""
+    log, root = user_log(spark, d), staged_path(spark, "ledger")
+    keys = [F.col("case_id"), F.col("activity"), F.hour("event_ts")]
+    cuts = [None, datetime(2024, 1, 11), datetime(2024, 1, 21), None]
+    parts = {name: in_range(log, *cuts[k : k + 2]) for k, name in enumerate(("early", "middle", "late"))}
+    for name in ("early", "middle"):
+        ledger.add_batch(spark, root, name, parts[name], keys, parts=16, filter_bits=1 << 16)
+    return root, keys, parts
+
+
+@query(
+    "N09_duplicates_across_batches",
+    f"""{_LEDGER} SELECT event_id, n AS rows_in_batch, CAST(in_early + in_middle AS BIGINT) AS earlier_rows,
+  CASE WHEN in_early > 0 THEN 'early' WHEN in_middle > 0 THEN 'middle' END AS first_batch_id,
+  n > 1 OR in_early + in_middle > 0 AS duplicate
+FROM keyed JOIN sides USING (batch, k) WHERE batch = 'late'""",
+)
+def _(spark, d):
+    root, keys, parts = _ledger(spark, d)
+    return ledger.flag_batch(spark, root, parts["late"], keys).select(
+        "event_id", "rows_in_batch", "earlier_rows", "first_batch_id", "duplicate"
+    )
+
+
+@query(
+    "V08_ledger_batches",
+    f"""{_LEDGER} SELECT batch AS batch_id, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS key_count,
+  count_if(in_early + in_middle > 0) AS known_keys,
+  CAST(coalesce(sum(n) FILTER (in_early + in_middle > 0), 0) AS BIGINT) AS known_rows FROM sides GROUP BY 1""",
+)
+def _(spark, d):
+    root, keys, parts = _ledger(spark, d)
+    ledger.add_batch(spark, root, "late", parts["late"], keys)
+    return ledger.batches(spark, root).select("batch_id", "row_count", "key_count", "known_keys", "known_rows")
+
+
 # --- comparison --------------------------------------------------------------------------------
 
 MID = datetime(2024, 1, 16)
