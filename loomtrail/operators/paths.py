@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.operators.sequence import SEQUENCE_COLUMNS, event_order, follow, order_value, piece_bounds, split_cases
 from loomtrail.operators.variants import GATHERED_CASE_ROWS
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy
 
 
 def exact_path_occurrences(log: DataFrame, path: Sequence[str], policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
@@ -105,7 +105,7 @@ def path_occurrences(log: DataFrame, length: int, policy: ScalePolicy = DEFAULT_
     whole = split.whole.select("case_id", F.row_number().over(in_case).cast("bigint").alias("start_position"), ahead(in_case).alias("run"))
     if split.pieces is not None:
         in_piece = W.partitionBy("case_id", "piece").orderBy(*event_order())
-        bounds = broadcast_checked(piece_bounds(split.pieces).select("case_id", "piece", "rows_before"), policy)
+        bounds = piece_bounds(split.pieces).select("case_id", "piece", "rows_before")
         placed = split.pieces.select(
             "case_id", "piece", "activity", F.row_number().over(in_piece).alias("at"), ahead(in_piece).alias("run")
         ).join(bounds, ["case_id", "piece"]).withColumn("start_position", (F.col("rows_before") + F.col("at")).cast("bigint"))

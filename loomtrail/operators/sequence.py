@@ -1,9 +1,10 @@
 """Deterministic order of the events of a case, and what follows what.
 
 A case can be so large that one task must not sort it. ``CaseSplit`` separates the log into
-cases that fit a task and pieces of cases that do not. The pieces are cut by a range shuffle over
-(case, order keys), so they follow each other in event order even when all timestamps are equal,
-and they are written to the shared folder so that every reader sees the same cut.
+cases that fit a task and pieces of cases that do not. The rows of the latter go through a range shuffle over
+(case, order keys) and are sorted on disk where they arrive; pieces are cut from the sorted rows by counting, so they follow
+each other in event order even when all timestamps are equal. They are written to the shared folder so that every
+reader sees the same cut. Many pieces share a task, so the number of tasks follows the rows and not the bound of a group.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ def order_value() -> Column:
     return F.struct(*[part for k in ORDER_KEYS for part in (F.col(k).isNull(), F.col(k))])
 
 
+#: Rows that a task of the range shuffle gets at least; the sort spills, so nothing depends on them but the number of tasks.
+SORTED_ROWS = 250_000
+#: ``monotonically_increasing_id`` keeps the place in a partition in its low bits.
+_PLACE_BITS = 33
+
+
 @dataclass(frozen=True)
 class CaseSplit:
     """``whole``: rows of cases that fit a task. ``pieces``: the other rows, with ``piece``."""
@@ -42,13 +49,18 @@ def split_cases(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> CaseSpl
         return CaseSplit(log, None)
     # At most rows / max_group_rows cases can be this large.
     large = stage(sizes.filter(F.col("case_rows") > policy.max_group_rows), "large-cases")
-    n_rows = large.agg(F.sum("case_rows")).first()[0]
-    keys = broadcast_checked(large.select("case_id"), policy)
-    pieces = -(-n_rows // policy.max_group_rows) + 1
+    n_rows, n_cases = large.agg(F.sum("case_rows"), F.count("*")).first()
+    keys = broadcast_checked(large.select("case_id"), policy, rows=n_cases)
+    order = [F.col("case_id").asc(), *event_order()]
+    tasks = -(-n_rows // max(policy.max_group_rows, SORTED_ROWS)) + 1
     cut = (
         log.join(keys, "case_id", "left_semi")
-        .repartitionByRange(pieces, F.col("case_id").asc(), *event_order())
-        .withColumn("piece", F.spark_partition_id())
+        .repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftleft(F.shiftright("_at", _PLACE_BITS), _PLACE_BITS))
+        .withColumn("piece", F.col("_part") + F.expr(f"(_at - _part) div {policy.max_group_rows}"))
+        .drop("_at", "_part")
     )
     return CaseSplit(log.join(keys, "case_id", "left_anti"), stage(cut, "case-pieces"))
 
@@ -91,7 +103,8 @@ def follow_split(split: CaseSplit, policy: ScalePolicy = DEFAULT_POLICY, positio
     if split.pieces is None:
         return whole
     in_piece = W.partitionBy("case_id", "piece").orderBy(*event_order())
-    bounds = broadcast_checked(piece_bounds(split.pieces), policy)
+    # The window has dealt and sorted the pieces by the keys of this join; the bounds follow them.
+    bounds = piece_bounds(split.pieces)
     stitched = (
         split.pieces.withColumn("in_next", F.lead(F.struct("activity", "event_ts")).over(in_piece))
         .withColumn("in_position", F.row_number().over(in_piece))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.functions.timing import ratio
 from loomtrail.operators.sequence import SEQUENCE_COLUMNS, event_order, piece_bounds, split_cases
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, stage
 
 LANES = (0x5EED, 0xC0FFEE)
 #: What names a node.
@@ -52,7 +52,8 @@ def case_beginnings(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> Dat
     if split.pieces is None:
         return whole
     in_piece = W.partitionBy("case_id", "piece").orderBy(*event_order())
-    bounds = broadcast_checked(piece_bounds(split.pieces), policy)
+    # Both joins follow a window over their keys, which has dealt and sorted the pieces already.
+    bounds = piece_bounds(split.pieces)
     at = (
         split.pieces.withColumn("at", F.row_number().over(in_piece))
         .withColumn("inside", F.lead(F.lit(True)).over(in_piece))
@@ -70,7 +71,7 @@ def case_beginnings(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> Dat
     running = in_piece.rowsBetween(W.unboundedPreceding, W.currentRow)
     pieces = (
         at.select("*", *[F.bit_xor(f"step_{k}").over(running).alias(f"own_{k}") for k in (1, 2)])
-        .join(broadcast_checked(offsets, policy), ["case_id", "piece"])
+        .join(offsets, ["case_id", "piece"])
         .select("*", *[F.col(f"own_{k}").bitwiseXOR(F.col(f"before_{k}")).alias(f"word_{k}") for k in (1, 2)])
     )
     return whole.unionByName(named(pieces))

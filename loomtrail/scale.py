@@ -33,6 +33,9 @@ class ScalePolicy:
 
 DEFAULT_POLICY = ScalePolicy()
 
+#: What a row of a broadcast takes beside its values.
+HELD_ROW_BYTES = 64
+
 #: Operators that may give out more bytes than they read; no estimate bounds what is above them.
 _MULTIPLYING = ("Generate", "Join", "Expand", "MapInPandas", "MapInArrow", "FlatMap")
 
@@ -42,12 +45,16 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_checked(df: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """Hint a broadcast only of a table within the bound, or of a part or an aggregate of one.
+def broadcast_checked(df: DataFrame, policy: ScalePolicy = DEFAULT_POLICY, rows: int | None = None) -> DataFrame:
+    """Hint a broadcast only of a table within the bound, or of a part or an aggregate of one; with ``rows``, where they
+    have been counted, of so many rows as they are in memory.
 
     Otherwise the join stays a shuffle join; adaptive execution may still turn it into a broadcast
     once it has seen the real size.
     """
+    if rows is not None:
+        width = int(df._jdf.schema().defaultSize()) + HELD_ROW_BYTES
+        return F.broadcast(df) if rows * width <= policy.broadcast_bytes else df
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     if any(name in plan for name in _MULTIPLYING) or plan_bytes(df) > policy.broadcast_bytes:
         return df

@@ -57,6 +57,21 @@ def test_split_cuts_the_hot_case(skewed):
     assert split.whole.filter("case_id = 'HOT'").count() == 0
 
 
+def test_tasks_follow_the_rows_and_not_the_bound(spark):
+    """Many small pieces share a task; a piece never holds more rows than the bound and follows the one before it."""
+    log = user_log(spark, SF)
+    log = log.unionByName(log.withColumn("case_id", F.concat("case_id", F.lit("-b"))))
+    pieces = split_cases(log, ScalePolicy(max_group_rows=7)).pieces
+    assert len(pieces.inputFiles()) <= 2
+    held = pieces.groupBy("piece").agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("case_id", "event_ts", "ingest_sequence")).alias("first"),
+        F.max(F.struct("case_id", "event_ts", "ingest_sequence")).alias("last"),
+    ).orderBy("piece").collect()
+    assert len(held) > 200 and max(r["n"] for r in held) == 7
+    assert all(a["last"] < b["first"] for a, b in zip(held, held[1:]))
+
+
 @pytest.mark.parametrize("policy", [ScalePolicy(), SPLIT], ids=lambda p: str(p.max_group_rows))
 def test_successors_and_positions(skewed, policy):
     got = {r.event_id: (r.event_position, r.next_activity) for r in follow(skewed, policy, position=True).collect()}
