@@ -8,13 +8,16 @@ positions that still share theirs go on. In the final order neighbours have the
 found by the stored ranks, from long steps to short. A repeat is a run of neighbours whose common beginnings are no
 shorter than its own; its bounds are the nearest shorter ones, looked up in a tree of minima over blocks of ``FAN``.
 Ranks are running totals over range partitions and all lookups are joins by key, so a case may have any share of the rows
-and a repeat any length. Rounds: the logarithm of the longest repeat.
+and a repeat any length. Numbers are packed so well in the staged files that these say little of what a table takes in memory;
+tables that grow with the log are therefore merged, unless their counted rows are few. Rounds: the logarithm of the longest repeat.
 
 Events without a case are left out; a missing activity is a step of its own.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ FAN = 1 << FAN_BITS
 REPEAT_COLUMNS = "case_id string, position long, length long, occurrences long"
 
 
+#: A side with more counted bytes than this is merged.
+KEYED_BYTES = 8 << 20
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
+def _counted(df: DataFrame, policy: ScalePolicy) -> DataFrame:
+    """A staged table of plain columns as a side of a join: broadcast if its rows are few, so that a frequent key stays spread out."""
+    few = replace(policy, broadcast_bytes=min(policy.broadcast_bytes, KEYED_BYTES))
+    hinted = broadcast_checked(df, few, rows=df.count())
+    return hinted if hinted is not df else _merged(df)
+
+
 def _step_key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("activity")), F.lit("")).alias("step_key")
 
@@ -42,7 +60,7 @@ def _first_ranks(log: DataFrame, policy: ScalePolicy) -> DataFrame:
     groups = placed.groupBy("case_id", "step_key").agg(F.count("*").alias("n"))
     ranked = ranked_running_total(groups, [F.col("case_id").asc(), F.col("step_key").asc()], "n", policy)
     ranked = stage(ranked.select("case_id", "step_key", "n", (F.col("running_total") - F.col("n")).alias("rank")), "repeat-ranks")
-    joined = placed.join(broadcast_checked(ranked, policy), ["case_id", "step_key"])
+    joined = placed.join(_counted(ranked, policy), ["case_id", "step_key"])
     return stage(joined.select("case_id", "pos", "rank", F.array("rank").alias("ranks"), "n"), "repeat-level")
 
 
@@ -58,7 +76,7 @@ def suffix_ranks(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> tuple[
             every = every.unionByName(part)
         ahead = every.select("case_id", (F.col("pos") - F.lit(1 << (rounds - 1))).alias("pos"), F.col("rank").alias("second"))
         keyed = stage(
-            active.join(ahead, ["case_id", "pos"], "left").withColumn("second", F.coalesce("second", F.lit(-1))), "repeat-keyed"
+            active.join(_merged(ahead), ["case_id", "pos"], "left").withColumn("second", F.coalesce("second", F.lit(-1))), "repeat-keyed"
         )
         groups = keyed.groupBy(F.col("rank").alias("name"), "second").agg(F.count("*").alias("n"))
         ranked = ranked_running_total(groups, [F.col("name").asc(), F.col("second").asc()], "n", policy)
@@ -66,9 +84,14 @@ def suffix_ranks(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> tuple[
         ranked = stage(ranked.select(F.col("name").alias("rank"), "second", "n", before), "repeat-ranks")
         # A rank keeps its place: what is told apart now moves up by the rows of its group that come before.
         base = ranked.groupBy("rank").agg(F.min("before").alias("base"))
-        moved = ranked.join(base, "rank").select("rank", "second", "n", (F.col("rank") + F.col("before") - F.col("base")).alias("moved"))
+        moved = stage(
+            ranked.join(_merged(base), "rank").select(
+                "rank", "second", "n", (F.col("rank") + F.col("before") - F.col("base")).alias("moved")
+            ),
+            "repeat-moved",
+        )
         level = stage(
-            keyed.join(moved, ["rank", "second"]).select(
+            keyed.join(_counted(moved, policy), ["rank", "second"]).select(
                 "case_id", "pos", F.col("moved").alias("rank"), F.concat("ranks", F.array("moved")).alias("ranks"), "n"
             ),
             "repeat-level",
@@ -86,7 +109,7 @@ def neighbour_prefixes(ranked: DataFrame, rounds: int) -> DataFrame:
     ``differs`` (1 if the two are preceded by different activities)."""
     before = ranked.select("case_id", (F.col("pos") + 1).alias("pos"), F.col("ranks")[0].alias("left"))
     known = stage(
-        ranked.join(before, ["case_id", "pos"], "left").withColumn("left", F.coalesce("left", F.lit(-1))), "repeat-left"
+        ranked.join(_merged(before), ["case_id", "pos"], "left").withColumn("left", F.coalesce("left", F.lit(-1))), "repeat-left"
     )
     previous = known.select(
         (F.col("rank") + 1).alias("rank"), F.col("case_id").alias("p_case"), F.col("pos").alias("p_pos"),
@@ -96,7 +119,7 @@ def neighbour_prefixes(ranked: DataFrame, rounds: int) -> DataFrame:
     shared = F.size(F.filter(F.sequence(F.lit(0), last), lambda k: F.get("ranks", k) == F.get("p_ranks", k)))
     same_case = F.col("case_id") == F.col("p_case")
     pairs = (
-        known.join(previous, "rank", "left")
+        known.join(_merged(previous), "rank", "left")
         .withColumn("shared", F.when(same_case, shared).otherwise(0))
         .select(
             "rank", "case_id", "pos", "p_pos", "shared",
@@ -115,8 +138,8 @@ def neighbour_prefixes(ranked: DataFrame, rounds: int) -> DataFrame:
             pairs.where(open_)
             .withColumn("own_at", F.col("pos") + F.col("lcp"))
             .withColumn("other_at", F.col("p_pos") + F.col("lcp"))
-            .join(own, ["case_id", "own_at"], "left")
-            .join(other, ["case_id", "other_at"], "left")
+            .join(_merged(own), ["case_id", "own_at"], "left")
+            .join(_merged(other), ["case_id", "other_at"], "left")
             .withColumn("lcp", F.col("lcp") + F.when(F.col("own") == F.col("other"), F.lit(1 << k)).otherwise(0))
         )
         pairs = stage(pairs.where(~open_).unionByName(taken.select(*pairs.columns)), "repeat-pairs")
@@ -124,16 +147,21 @@ def neighbour_prefixes(ranked: DataFrame, rounds: int) -> DataFrame:
 
 
 def _minima(values: DataFrame) -> list[DataFrame]:
-    """Trees of minima of ``at, value``: per level ``block, values`` (the values of a block in order)."""
+    """Trees of minima of ``at, value``: per level ``block, values`` (the values of a block in order), as a side of a join.
+
+    The few blocks of upper levels are asked for by all that is left, so they are broadcast.
+    """
     levels = []
     while True:
         blocks = values.groupBy(F.shiftright("at", FAN_BITS).alias("block")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]).alias("values")
         )
-        levels.append(stage(blocks, "repeat-minima"))
-        if levels[-1].agg(F.max("block")).first()[0] == 0:
+        level = stage(blocks, "repeat-minima")
+        last = level.agg(F.max("block")).first()[0]
+        levels.append(F.broadcast(level) if last < FAN * FAN else _merged(level))
+        if last == 0:
             return levels
-        values = levels[-1].select(F.col("block").alias("at"), F.array_min("values").alias("value"))
+        values = level.select(F.col("block").alias("at"), F.array_min("values").alias("value"))
 
 
 def nearest_smaller(values: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,12 +218,12 @@ def maximal_repeats(log: DataFrame, least_length: int = 2, policy: ScalePolicy =
         F.max(F.when(~F.col("right"), F.col("found"))).alias("low"), F.max(F.when(F.col("right"), F.col("found"))).alias("high")
     )
     # Neighbours with one bound on either side and equal length are one repeat.
-    found = starts.join(sides, "at").groupBy("low", "high").agg(
+    found = starts.join(_merged(sides), "at").groupBy("low", "high").agg(
         F.min_by(F.struct("case_id", "pos", "lcp"), "at").alias("one"), (F.col("high") - F.col("low")).alias("occurrences")
     )
     at_low = order.select(F.col("at").alias("low"), F.col("changes").alias("changes_low"))
     at_high = order.select((F.col("at") + 1).alias("high"), F.col("changes").alias("changes_high"))
-    diverse = found.join(at_low, "low").join(at_high, "high").where(F.col("changes_high") > F.col("changes_low"))
+    diverse = found.join(_merged(at_low), "low").join(_merged(at_high), "high").where(F.col("changes_high") > F.col("changes_low"))
     return diverse.select(
         F.col("one.case_id").alias("case_id"), F.col("one.pos").alias("position"), F.col("one.lcp").alias("length"), "occurrences"
     )
@@ -206,9 +234,9 @@ def repeat_steps(log: DataFrame, repeats: DataFrame, policy: ScalePolicy = DEFAU
 
     Rows grow with the lengths asked for; only cases with a repeat are ordered.
     """
-    cases = log.join(repeats.select("case_id").distinct(), "case_id", "left_semi")
+    cases = log.join(_counted(stage(repeats.select("case_id").distinct(), "repeat-cases"), policy), "case_id", "left_semi")
     placed = follow(cases.select(*SEQUENCE_COLUMNS), policy, position=True).select(
         "case_id", F.col("event_position").alias("at"), F.col("activity").alias("step_activity")
     )
     steps = repeats.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("step"))
-    return steps.withColumn("at", F.col("position") + F.col("step")).join(placed, ["case_id", "at"]).drop("at")
+    return steps.withColumn("at", F.col("position") + F.col("step")).join(_merged(placed), ["case_id", "at"]).drop("at")

@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators.repeats import maximal_repeats, nearest_smaller, repeat_steps
-from loomtrail.scale import ScalePolicy, stage
+from loomtrail.operators import repeats as module
+from loomtrail.operators.repeats import _counted, maximal_repeats, nearest_smaller, repeat_steps
+from loomtrail.scale import ScalePolicy, plan_bytes, stage
 
 from conftest import as_log
 
@@ -61,6 +62,19 @@ def test_against_all_pairs(spark, bound):
     assert found(log, least, ScalePolicy(max_group_rows=bound)) == brute(cases, least)
 
 
+def test_tables_that_grow_are_merged(spark, monkeypatch):
+    """Small files may hold many rows: their counted rows decide, and the merged form finds the same."""
+    ranks = stage(spark.range(500_000).select("id", F.lit("case").alias("case_id")), "repeat-ranks")
+    assert plan_bytes(ranks) < 10 << 20
+    told = _counted(ranks, ScalePolicy())._jdf.queryExecution().analyzed().toString()
+    assert "strategy=merge" in told and "strategy=broadcast" not in told
+    few = _counted(stage(ranks.limit(10), "repeat-ranks"), ScalePolicy())
+    assert "strategy=broadcast" in few._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(module, "KEYED_BYTES", 0)
+    cases = {"a": list("ABABCABAB"), "b": list("CCCC"), "c": ["A"] * 9}
+    assert found(log_of(spark, cases), 2, ScalePolicy()) == brute(cases, 2)
+
+
 def test_nothing_repeats(spark):
     assert maximal_repeats(log_of(spark, {"a": list("ABC"), "b": list("ABC")}), 1).count() == 0
     assert maximal_repeats(log_of(spark, {"a": ["A"]}).where("false")).count() == 0
