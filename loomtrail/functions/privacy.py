@@ -49,19 +49,38 @@ def ip_prefix(ip: Column) -> Column:
     IPv6 is written out before it is cut: ``::`` stands for the groups that are missing. A zone (``%eth0``) is dropped, and
     an IPv4 address mapped into IPv6 is generalised as what it is.
     """
-    text = F.lower(F.regexp_replace(F.trim(ip), "%.*$", ""))
-    plain = F.when(text.rlike(r"^(::ffff:|0:0:0:0:0:ffff:)\d+\."), F.element_at(F.split(text, ":"), -1)).otherwise(text)
-    four = F.when(plain.rlike(IPV4_SHAPE), F.regexp_replace(plain, r"\.\d+$", ".0"))
-    sides = F.split(plain, "::", -1)
+
+    def text(t: Column) -> Column:
+        return F.lower(F.regexp_replace(F.trim(t), "%.*$", ""))
+
+    def plain(t: Column) -> Column:
+        mapped = t.rlike(r"^(::ffff:|0:0:0:0:0:ffff:)\d+\.")
+        return F.when(mapped, F.substring_index(t, ":", -1)).otherwise(t)
+
+    def sides(t: Column) -> Column:
+        left, right = F.substring_index(t, "::", 1), F.substring_index(t, "::", -1)
+        return F.struct(t.alias("plain"), left.alias("left"), right.alias("right"))
 
     def groups(side: Column) -> Column:
-        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
-    missing = 8 - F.size(left) - F.size(right)
-    # At least one group is missing where there is a ``::``.
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    whole = F.when((F.size(sides) == 2) & (missing >= 1), F.array_join(filled, ":")).when(F.size(sides) == 1, plain)
-    first = F.transform(F.slice(F.split(whole, ":"), 1, 3), lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0")))
-    six = F.when(whole.rlike(IPV6_SHAPE), F.concat(F.array_join(first, ":"), F.lit("::/48")))
-    return F.coalesce(four, six)
+        return F.when(side == "", 0).otherwise(F.length(side) - F.length(F.replace(side, F.lit(":"), F.lit(""))) + 1)
+
+    def whole(t: Column) -> Column:
+        missing = 8 - groups(t["left"]) - groups(t["right"])
+        # At least one group is missing where there is a ``::``, which may stand once.
+        once = F.length(t["plain"]) == F.length(t["left"]) + F.length(t["right"]) + 2
+        zeros = F.rtrim(F.repeat(F.lit("0:"), missing), F.lit(":"))
+        filled = F.concat_ws(":", F.nullif(t["left"], F.lit("")), zeros, F.nullif(t["right"], F.lit("")))
+        without = ~F.contains(t["plain"], F.lit("::"))
+        return F.when(without, t["plain"]).when(once & (missing >= 1), filled)
+
+    def network(t: Column) -> Column:
+        first = F.regexp_replace(F.substring_index(t, ":", 3), "(^|:)0+(?=[0-9a-f])", "$1")
+        return F.when(t.rlike(IPV4_SHAPE), F.regexp_replace(t, r"\.\d+$", ".0")).when(
+            t.rlike(IPV6_SHAPE), F.concat(first, F.lit("::/48"))
+        )
+
+    # Each step reads the one before it several times; as elements of an array the values are computed once.
+    value = F.array(ip)
+    for step in (text, plain, sides, whole, network):
+        value = F.transform(value, step)
+    return value[0]

@@ -238,3 +238,11 @@ def test_rule_index_equals_brute_force(spark):
     none = mapping.apply_activity_rules(log, table.limit(0))
     assert [r.mapping_status for r in none.select("mapping_status").distinct().collect()] == ["UNMAPPED"]
     assert mapping.apply_activity_rules(log.limit(0), table).count() == 0
+
+
+def test_ip_steps_are_computed_once(spark):
+    """However often a step of the expression reads the one before it, the plan holds that one once."""
+    from loomtrail.functions.privacy import ip_prefix
+
+    shown = spark.range(1).select(ip_prefix(F.col("id").cast("string")).alias("n"))
+    assert shown._jdf.queryExecution().analyzed().toString().count("%.*$") == 1
