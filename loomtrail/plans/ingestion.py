@@ -55,8 +55,7 @@ def _(spark, d):
     path = staged_path(spark, "documents-csv")
     docs = table(spark, d, "documents").select("doc_id", "text", "source").repartitionByRange("doc_id")
     docs.sortWithinPartitions("doc_id").write.option("header", True).option("escape", '"').csv(path)
-    rows = readers.number_rows(readers.read_csv(spark, path))
-    return rows.select(
+    return readers.read_numbered_csv(spark, path).select(
         F.col("doc_id").cast("long").alias("row_id"), F.md5("text").alias("text_md5"),
         F.length("text").cast("long").alias("n_chars"), "source", "source_row_number",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from loomtrail.functions.text import decimal_number, plain_integer
 from loomtrail.functions.timestamps import DATE_SHAPE
 from loomtrail.operators.normalize import ROW_NUMBER
-from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage
+from loomtrail.scale import DEFAULT_POLICY, ScalePolicy, broadcast_checked, stage, staged_path
 from loomtrail.sources import csv_blocks
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low ones
@@ -27,16 +27,32 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     records. Sources known to have none can be read with ``multiline=False``, which spares that pass. A file whose header
     differs from the others' fails.
     """
-    if multiline and csv_blocks.has_line_breaks(spark, path):
-        found = csv_blocks.records(spark, path)
-        names = _checked_names(spark, csv_blocks.first_names(found))
-        place = ["_file", "_block", "_id"]
-        rows = csv_blocks.parsed(found, names).repartitionByRange(*place).sortWithinPartitions(*place)
-        return stage(rows.drop(*place), "csv-records")
+    folder = _put_together(spark, path) if multiline and csv_blocks.has_line_breaks(spark, path) else None
+    return _plain_csv(spark, path) if folder is None else spark.read.parquet(folder)
+
+
+def read_numbered_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``read_csv`` with a contiguous ``source_row_number``; records that were put together are written once only."""
+    if csv_blocks.has_line_breaks(spark, path):
+        return number_parquet_rows(spark, _put_together(spark, path))
+    return number_rows(_plain_csv(spark, path))
+
+
+def _plain_csv(spark: SparkSession, path: str) -> DataFrame:
     check_header(spark, path)
     return spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
 
 
+def _put_together(spark: SparkSession, path: str) -> str:
+    """The folder of a table of all records, in the order of its files and their rows."""
+    every, states = csv_blocks.located(spark, path)
+    names = _checked_names(spark, csv_blocks.first_names(every, states))
+    rows = csv_blocks.parsed(csv_blocks.put_together(every, states), states, names)
+    folder = staged_path(spark, "csv-records")
+    rows.drop("_file", "_block", "_id").write.option("compression", "zstd").parquet(folder)
+    return folder
+
+
 def read_csv_gz(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Gzip CSV. One file is one task while reading, so rows are spread right after the scan.
 
@@ -72,7 +88,7 @@ def check_header(spark: SparkSession, path: str) -> list[str]:
     """
     line = csv_blocks.first_line(spark, path) or ""
     whole = line.count('"') % 2 == 0
-    names = csv_blocks.names_in(line) if whole else csv_blocks.first_names(csv_blocks.records(spark, path))
+    names = csv_blocks.names_in(line) if whole else csv_blocks.first_names(*csv_blocks.located(spark, path))
     return _checked_names(spark, names)
 
 

@@ -279,3 +279,29 @@ def test_first_rows_of_many_parts(spark, tmp_path):
     assert [r["id"] for r in profile.preview(whole, 50).collect()] == want
     samples = profile.profile(whole.select("v")).first()["sample_values"]
     assert samples == ["v0", "v1", "v2"]
+
+
+@pytest.mark.parametrize("held", [csv_blocks.HELD_BYTES, 0])
+def test_records_are_put_together_in_order_and_written_once(spark, tmp_path, monkeypatch, held):
+    long = "\n".join(f'line ""{k}"", more' for k in range(300))
+    body = "".join(f'{k},"text {k}\n{long if k % 40 == 7 else "b"}"\n' for k in range(120))
+    path = _write(tmp_path / "o", "x.csv", "id,note\n" + body)
+    labels = []
+    for module in (csv_blocks, readers):
+        if hasattr(module, "stage"):
+            monkeypatch.setattr(module, "stage", lambda df, label, own=module.stage: labels.append(label) or own(df, label))
+    monkeypatch.setattr(csv_blocks, "HELD_BYTES", held)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        found = csv_blocks.records(spark, path).collect()
+        labels.clear()
+        rows = readers.read_numbered_csv(spark, path).orderBy("source_row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    places = [(r["_block"], r["_id"]) for r in found]
+    assert len({b for b, _ in places}) > 5 and places == sorted(places)
+    texts = [f"text {k}\n" + (long.replace('""', '"') if k % 40 == 7 else "b") for k in range(120)]
+    assert [tuple(r) for r in rows] == [(str(k), t, k + 1) for k, t in enumerate(texts)]
+    assert not {"csv-lines", "numbered-rows"} & set(labels)
