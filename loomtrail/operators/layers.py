@@ -3,7 +3,8 @@
 A layer holds the events it has seen (by buckets of cases) and signed counts of what its reports need: transitions by edge and
 duration, cases by edge, events by activity and duration, cases by day and throughput. All of these add up, so quantiles stay exact.
 A batch reads the stored events of the cases it touches, and only from the buckets these lie in; it takes back what those cases
-gave before and adds what they give now. A late event so replaces the one transition it falls into and nothing else.
+gave before and adds what they give now, both in one pass. A late event so replaces the one transition it falls into and nothing else.
+Durations belong to single events, so a batch gives its own and no stored event is asked for them.
 
 ``add_batch`` writes a batch's events and differences under a folder of its own and then commits it under the next number
 (see ``sources.commits``). A batch that has been committed is not added again; one that failed is repeated.
@@ -30,44 +31,55 @@ BUCKETS = 256
 COMMITS = "number long, batch_id string, folder string, buckets int"
 MEASURES = ("n", "cases", "rework")
 _KEYS = ("kind", "k1", "k2", "value")
+_NOW, _BEFORE = "+", "-"
+#: What the reports ask of ``state``.
+EDGE_KINDS, ACTIVITY_KINDS, DAILY_KINDS = ("edge", "edge_cases"), ("activity", "duration"), ("day",)
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")
 
 
-def contributions(log: DataFrame, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
-    """What a set of whole cases gives to the reports: ``kind, k1, k2, value`` and the measures."""
-    zero, none = F.lit(0).cast("long"), F.lit(None)
+def _rows(df: DataFrame, kind: str, k1, k2=None, value=None, n=0, cases=0, rework=0) -> DataFrame:
+    return df.select(
+        F.lit(kind).alias("kind"), F.lit(k1).cast("string").alias("k1"), F.lit(k2).cast("string").alias("k2"),
+        F.lit(value).cast("long").alias("value"), *[F.lit(m).cast("long").alias(c) for m, c in zip((n, cases, rework), MEASURES)],
+    )
+
+
+def durations(log: DataFrame) -> DataFrame:
+    """What events give to the reports by themselves, whatever case they belong to."""
+    spent = log.where("duration_ms is not null").groupBy("activity", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    return _rows(spent, "duration", F.col("activity"), value=F.col("duration_ms"), n=F.col("n"))
 
-    def rows(df: DataFrame, kind: str, k1, k2=none, value=none, n=zero, cases=zero, rework=zero) -> DataFrame:
-        return df.select(
-            F.lit(kind).alias("kind"), F.lit(k1).cast("string").alias("k1"), F.lit(k2).cast("string").alias("k2"),
-            F.lit(value).cast("long").alias("value"), n.cast("long").alias("n"), cases.cast("long").alias("cases"),
-            rework.cast("long").alias("rework"),
-        )
 
-    n, one = F.count(F.lit(1)), F.lit(1)
+def contributions(after: DataFrame, before: DataFrame | None = None, policy: ScalePolicy = DEFAULT_POLICY) -> DataFrame:
+    """What a set of whole cases gives to the reports: ``kind, k1, k2, value`` and the measures; less what those ``before`` gave.
+
+    Both versions of a case go through one pass as cases of their own, told apart by the first letter of their names.
+    """
+    versions = [df.withColumn("case_id", F.concat(F.lit(v), "case_id")) for v, df in ((_NOW, after), (_BEFORE, before)) if df is not None]
+    log = versions[0] if before is None else versions[0].unionByName(versions[1])
+    sign = F.when(F.col("case_id").startswith(_BEFORE), -1).otherwise(1)
+    n = F.count(F.lit(1))
     steps = transitions(log, policy).where("target is not null").select("case_id", "source", "target", "transition_ms")
     edges = stage(steps.groupBy("case_id", "source", "target", "transition_ms").agg(n.alias("n")), "layer-edges")
-    per_edge = edges.groupBy("source", "target", "transition_ms").agg(F.sum("n").alias("n"))
-    cases_of = edges.select("case_id", "source", "target").distinct().groupBy("source", "target").agg(n.alias("n"))
+    per_edge = edges.groupBy("source", "target", "transition_ms").agg(F.sum(F.col("n") * sign).alias("n"))
+    cases_of = edges.select("case_id", "source", "target").distinct().groupBy("source", "target").agg(F.sum(sign).alias("n"))
     per_case = log.groupBy("case_id", "activity").agg(n.alias("n"))
     acts = per_case.groupBy("activity").agg(
-        F.sum("n").alias("n"), n.alias("cases"), F.count_if(F.col("n") >= 2).alias("rework")
+        F.sum(F.col("n") * sign).alias("n"), F.sum(sign).alias("cases"), F.sum(F.when(F.col("n") >= 2, sign).otherwise(0)).alias("rework")
     )
-    spent = log.where("duration_ms is not null").groupBy("activity", "duration_ms").agg(n.alias("n"))
     bounds = log.groupBy("case_id").agg(F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), n.alias("n"))
     begun = bounds.groupBy(
         F.date_format("first", "yyyy-MM-dd").alias("day"), millis_between(F.col("first"), F.col("last")).alias("took")
-    ).agg(F.sum("n").alias("n"), n.alias("cases"))
+    ).agg(F.sum(F.col("n") * sign).alias("n"), F.sum(sign).alias("cases"))
     parts = [
-        rows(per_edge, "edge", F.col("source"), F.col("target"), F.col("transition_ms"), F.col("n")),
-        rows(cases_of, "edge_cases", F.col("source"), F.col("target"), cases=F.col("n")),
-        rows(acts, "activity", F.col("activity"), n=F.col("n"), cases=F.col("cases"), rework=F.col("rework")),
-        rows(spent, "duration", F.col("activity"), value=F.col("duration_ms"), n=F.col("n")),
-        rows(begun, "day", F.col("day"), value=F.col("took"), n=F.col("n"), cases=F.col("cases")),
-        rows(bounds.agg(F.count(one).alias("n")).where("n > 0"), "total", F.lit("cases"), cases=F.col("n")),
+        _rows(per_edge, "edge", F.col("source"), F.col("target"), F.col("transition_ms"), F.col("n")),
+        _rows(cases_of, "edge_cases", F.col("source"), F.col("target"), cases=F.col("n")),
+        _rows(acts, "activity", F.col("activity"), n=F.col("n"), cases=F.col("cases"), rework=F.col("rework")),
+        _rows(begun, "day", F.col("day"), value=F.col("took"), n=F.col("n"), cases=F.col("cases")),
+        _rows(bounds.agg(F.coalesce(F.sum(sign), F.lit(0)).alias("n")), "total", F.lit("cases"), cases=F.col("n")),
     ]
     whole = parts[0]
     for part in parts[1:]:
@@ -124,11 +136,12 @@ def add_batch(
     # At most one number per bucket of the layout.
     read = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
     stored = stored_events(spark, root, read)
-    added = contributions(batch, policy)
-    if stored is not None:
+    if stored is None:
+        added = contributions(batch, policy=policy)
+    else:
         before = stage(stored.join(touched, ["case_id", "bucket"], "left_semi").select(*fields), "layer-before")
-        taken = contributions(before, policy).select(*_KEYS, *[(-F.col(m)).alias(m) for m in MEASURES])
-        added = contributions(before.unionByName(batch), policy).unionByName(taken)
+        added = contributions(before.unionByName(batch), before, policy)
+    added = added.unionByName(durations(batch))
     folder = f"{number + 1:06d}-{uuid.uuid4().hex}"
     by_bucket = batch.hint("rebalance", F.col("bucket"))
     by_bucket.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/events/batch={folder}")
@@ -137,12 +150,13 @@ def add_batch(
     return True
 
 
-def state(spark: SparkSession, root: str) -> DataFrame:
-    """The sums of all committed differences."""
+def state(spark: SparkSession, root: str, kinds: Sequence[str] | None = None) -> DataFrame:
+    """The sums of all committed differences, or of those a report asks for."""
     folders = _folders(spark, root, "differences")
     columns = "kind string, k1 string, k2 string, value long, n long, cases long, rework long"
     rows = spark.read.schema(columns).parquet(*folders) if folders else spark.createDataFrame([], columns)
-    return stage(_added(rows), "layer-state")
+    asked = rows if kinds is None else rows.where(F.col("kind").isin(list(kinds)))
+    return stage(_added(asked), "layer-state")
 
 
 def counted_quantiles(rows: DataFrame, keys: list[str], value: str, n: str, wanted: dict[str, float]) -> DataFrame:

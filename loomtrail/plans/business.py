@@ -706,21 +706,21 @@ def _(spark, d):
 
 
 _MERGED = {
-    "M20_activity_aggregate": (user_log, layers.activity_report),
-    "M20_edge_aggregate": (user_log, layers.edge_report),
-    "M20_daily_aggregate": (day_log, layers.daily_report),
+    "M20_activity_aggregate": (user_log, layers.activity_report, layers.ACTIVITY_KINDS),
+    "M20_edge_aggregate": (user_log, layers.edge_report, layers.EDGE_KINDS),
+    "M20_daily_aggregate": (day_log, layers.daily_report, layers.DAILY_KINDS),
 }
 
-for _key, (_log, _report) in _MERGED.items():
+for _key, (_log, _report, _kinds) in _MERGED.items():
 
-    def _merged(spark, d, log=_log, report=_report):
+    def _merged(spark, d, log=_log, report=_report, kinds=_kinds):
         # Batches by event, so that cases meet late events; the last batch comes first, and one comes twice.
         events = stage(in_range(log(spark, d), None, JAN_20), "layer-log")
         part = F.pmod(F.xxhash64("event_id"), F.lit(3))
         root = staged_path(spark, "layer")
         for k in (2, 0, 1, 0):
             layers.add_batch(spark, root, f"batch-{k}", events.where(part == k), buckets=8)
-        return report(layers.state(spark, root), SIGNATURE)
+        return report(layers.state(spark, root, kinds), SIGNATURE)
 
     # Batches merged in any order give what the whole log gives: the same SQL.
     query(f"{_key}_merged", ORACLES[_key])(_merged)

@@ -87,3 +87,14 @@ def test_of_two_writers_one_wins(spark, log, tmp_path, monkeypatch):
 def test_empty_layer(spark, tmp_path):
     sums = layers.state(spark, str(tmp_path / "none"))
     assert layers.edge_report(sums, "s").count() == layers.daily_report(sums, "s").count() == 0
+
+
+def test_a_batch_orders_both_versions_of_its_cases_at_once(spark, log, tmp_path, monkeypatch):
+    root, labels = str(tmp_path / "layer"), []
+    monkeypatch.setattr(layers, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    for k in range(2):
+        layers.add_batch(spark, root, f"b{k}", log.where(F.col("ingest_sequence") % 2 == k), buckets=4)
+    assert labels.count("layer-edges") == 2
+    sums = layers.state(spark, root, layers.ACTIVITY_KINDS)
+    assert {r.kind for r in sums.select("kind").distinct().collect()} == {"activity", "duration"}
+    assert rows_of(layers.activity_report(sums, "s")) == rows_of(compare.activity_aggregate(log, "s"))
