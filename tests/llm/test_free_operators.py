@@ -293,3 +293,16 @@ def test_pipeline_stages(spark):
     for _, run in corpus_pipeline.STAGES:
         nothing = stage(run(spark, nothing, "/root/testdata/sf0.001"), "pipeline-test")
     assert nothing.count() == 0
+
+
+def test_archives_are_packed_fast(spark, tmp_path):
+    from loomtrail.llm import archives
+
+    text = F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(k % 7))) for k in range(12)])
+    records = spark.range(2000).coalesce(1).select(text.cast("binary").alias("record"))
+    fast, usual = str(tmp_path / "fast"), str(tmp_path / "usual")
+    archives._write(records, fast, "\n")
+    records.select(F.col("record").cast("string")).write.option("compression", "gzip").text(usual)
+    sizes = [sum(p.stat().st_size for p in (tmp_path / n).glob("part-*.gz")) for n in ("fast", "usual")]
+    assert sizes[0] > sizes[1] > 0
+    assert sorted(spark.read.text(fast).collect()) == sorted(spark.read.text(usual).collect())
