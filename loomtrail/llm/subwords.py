@@ -38,6 +38,10 @@ SPACE = "▁"
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _MASK = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Chunks of one length up to the first number are merged together, where they are as many as the second.
+_WIDE, _MANY = 64, 8
+#: Rows of a matrix at most.
+_ROWS = 4096
 _SLICE = 128
 #: Chunks drawn at once.
 _SPAN = 100_000
@@ -75,6 +79,24 @@ class Pieces:
             raise ValueError("a piece reaches over a space or line break")
         self.ids = {names[i]: i for i in usual}
         self.rank = {names[i]: -model.get_score(i) for i in usual if len(names[i]) > 1}
+        # Symbols are numbered from 1: letters of pieces, and pieces. Every way to put a piece together is a pair of symbols.
+        self.symbol = {s: k for k, s in enumerate(sorted({c for p in self.ids for c in p} | set(self.ids)), 1)}
+        self.n_symbols = len(self.symbol) + 1
+        self.own_id = np.full(self.n_symbols, -1, np.int64)
+        for piece, i in self.ids.items():
+            self.own_id[self.symbol[piece]] = i
+        self.letters = np.zeros(0x110000, np.int64)
+        for s, k in self.symbol.items():
+            if len(s) == 1:
+                self.letters[ord(s)] = k
+        self.letters[ord(" ")] = self.letters[ord(SPACE)]
+        cuts = [(p[:k], p[k:], p) for p in self.rank for k in range(1, len(p))]
+        pairs = sorted(
+            (self.symbol[a] * self.n_symbols + self.symbol[b], self.rank[p], self.symbol[p])
+            for a, b, p in cuts if a in self.symbol and b in self.symbol
+        )
+        pairs.append((np.iinfo(np.int64).max, np.inf, 0))
+        self.pairs, self.pair_rank, self.pair_symbol = (np.array(c, t) for c, t in zip(zip(*pairs), (np.int64, float, np.int64)))
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.content = [names[i].replace(SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids):
@@ -125,6 +147,91 @@ class Pieces:
                 out += [self.byte_ids[b] for b in s.encode()]
         return out, drawn
 
+    def segment_all(self, chunks: list[str], skips: list[tuple[int, ...]]) -> list[tuple[bytes, bytes]]:
+        """``segment`` of many chunks at once, as bytes; of the candidates only those behind the last skip.
+
+        Chunks of one length are the rows of a matrix, which holds the score of every symbol with the next; every step
+        takes the best candidate of each row.
+        """
+        found: list[tuple[bytes, bytes] | None] = [None] * len(chunks)
+        groups: dict[int, list[int]] = {}
+        for at, chunk in enumerate(chunks):
+            groups.setdefault(len(chunk), []).append(at)
+        for n, places in groups.items():
+            if 0 < n <= _WIDE and len(places) >= _MANY:
+                letters = np.frombuffer("".join([chunks[p] for p in places]).encode("utf-32-le"), "<u4").reshape(-1, n)
+                symbols = self.letters[letters]
+                named = (self.own_id[symbols] >= 0).all(axis=1)
+                rows = [p for p, known in zip(places, named.tolist()) if known]
+                symbols = symbols[named]
+                for a in range(0, len(rows), _ROWS):
+                    part = rows[a : a + _ROWS]
+                    for p, cut in zip(part, self._merged(symbols[a : a + _ROWS], [skips[p] for p in part])):
+                        found[p] = cut
+        for at, cut in enumerate(found):
+            if cut is None:
+                ids, drawn = self.segment(chunks[at], skips[at])
+                drawn = drawn[skips[at][-1] + 1 :] if skips[at] else drawn
+                found[at] = array.array("I", ids).tobytes(), array.array("Q", drawn).tobytes()
+        return found
+
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of two symbols as one, infinite if they are no piece, and that piece."""
+        key = left * self.n_symbols + right
+        at = np.searchsorted(self.pairs, key)
+        fits = self.pairs[at] == key
+        return np.where(fits, self.pair_rank[at], np.inf), self.pair_symbol[at]
+
+    def _merged(self, symbols: np.ndarray, skips: list[tuple[int, ...]]) -> list[tuple[bytes, bytes]]:
+        count, n = symbols.shape
+        # A last column stands for the end: it joins nothing.
+        symbols = np.concatenate([symbols, np.zeros((count, 1), np.int64)], axis=1)
+        score, joined = self._joins(symbols[:, :-1], symbols[:, 1:])
+        after = np.tile(np.arange(1, n + 1), (count, 1))
+        before = np.tile(np.arange(-1, n), (count, 1))
+        live = np.ones((count, n), bool)
+        width = max(map(len, skips)) + 1
+        wanted = np.full((count, width), -1, np.int64)
+        for row, own in enumerate(skips):
+            if own:
+                wanted[row, : len(own)] = own
+        met, passed = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        n_skips = np.fromiter(map(len, skips), np.int64, count)
+        owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        rows = np.arange(count)
+        while True:
+            best = score[rows].argmin(axis=1)
+            top = score[rows, best]
+            going = top < np.inf
+            rows, best, top = rows[going], best[going], top[going]
+            if not len(rows):
+                break
+            free = passed[rows] == n_skips[rows]
+            owners.append(rows[free])
+            values.append((top[free].astype(np.int64).astype(np.uint64) * np.uint64(_A)) ^ (best[free].astype(np.uint64) * np.uint64(_C)))
+            skip = ~free & (wanted[rows, passed[rows]] == met[rows])
+            met[rows] += 1
+            passed[rows[skip]] += 1
+            score[rows[skip], best[skip]] = np.inf
+            own, i = rows[~skip], best[~skip]
+            j = after[own, i]
+            symbols[own, i] = joined[own, i]
+            live[own, j] = False
+            score[own, j] = np.inf
+            k = after[own, j]
+            after[own, i] = k
+            before[own, k] = i
+            score[own, i], joined[own, i] = self._joins(symbols[own, i], symbols[own, k])
+            h = before[own, i]
+            own, i, h = own[h >= 0], i[h >= 0], h[h >= 0]
+            score[own, h], joined[own, h] = self._joins(symbols[own, h], symbols[own, i])
+        ids = self.own_id[symbols[:, :n][live]].astype("<u4").tobytes()
+        ends = [0, *(4 * np.cumsum(live.sum(axis=1))).tolist()]
+        owner = np.concatenate(owners)
+        drawn = np.concatenate(values)[np.argsort(owner, kind="stable")].astype("<u8").tobytes()
+        stops = [0, *(8 * np.cumsum(np.bincount(owner, minlength=count))).tolist()]
+        return [(ids[a:b], drawn[c:d]) for a, b, c, d in zip(ends, ends[1:], stops, stops[1:])]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.content.__getitem__, ids)).decode()[1:]
 
@@ -134,10 +241,8 @@ class _Cut:
 
     __slots__ = ("ids", "drawn", "n", "skips", "after")
 
-    def __init__(self, pieces: Pieces, chunk: str, skips: tuple[int, ...]):
-        ids, drawn = pieces.segment(chunk, skips)
-        drawn = drawn[skips[-1] + 1 :] if skips else drawn
-        self.ids, self.drawn, self.n = array.array("I", ids).tobytes(), array.array("Q", drawn).tobytes(), len(drawn)
+    def __init__(self, ids: bytes, drawn: bytes, skips: tuple[int, ...]):
+        self.ids, self.drawn, self.n = ids, drawn, len(drawn) // 8
         self.skips, self.after = skips, None
 
 
@@ -149,28 +254,33 @@ class Encoder:
         self.below = int(dropout * (1 << 32))
         self.known: dict[str, _Cut] = {}
         self.n_known = 0
-        self.space = _Cut(self.pieces, "", ())
-        self.space.ids = array.array("I", [self.pieces.byte_ids[b] for b in SPACE.encode()]).tobytes()
-
-    def _first(self, chunk: str) -> _Cut:
-        self.n_known += 1
-        found = self.known[chunk] = _Cut(self.pieces, chunk, ())
-        return found
-
-    def _next(self, cut: _Cut, chunk: str, k: int) -> _Cut:
-        """What follows if the k-th further candidate is skipped."""
-        if cut.after is None:
-            cut.after = {}
-        found = cut.after.get(k)
-        if found is None:
-            self.n_known += 1
-            at = k + (cut.skips[-1] + 1 if cut.skips else 0)
-            found = cut.after[k] = _Cut(self.pieces, chunk, (*cut.skips, at))
-        return found
+        self.space = _Cut(array.array("I", [self.pieces.byte_ids[b] for b in SPACE.encode()]).tobytes(), b"", ())
+
+    def _firsts(self, chunks: list[str]) -> list[_Cut]:
+        known = self.known
+        new = list({c for c in chunks if c not in known and c != SPACE})
+        for chunk, (ids, drawn) in zip(new, self.pieces.segment_all(new, [()] * len(new))):
+            known[chunk] = _Cut(ids, drawn, ())
+        self.n_known += len(new)
+        return [self.space if c == SPACE else known[c] for c in chunks]
+
+    def _nexts(self, cuts: list[_Cut], chunks: list[str], at: list[int]) -> list[_Cut]:
+        """What follows each cut if the further candidate of this number is skipped."""
+        new: dict[tuple[int, int], int] = {}
+        for number, (cut, k) in enumerate(zip(cuts, at)):
+            if cut.after is None:
+                cut.after = {}
+            if k not in cut.after:
+                new.setdefault((id(cut), k), number)
+        places = list(new.values())
+        skips = [(*cuts[p].skips, at[p] + (cuts[p].skips[-1] + 1 if cuts[p].skips else 0)) for p in places]
+        for p, own, (ids, drawn) in zip(places, skips, self.pieces.segment_all([chunks[p] for p in places], skips)):
+            cuts[p].after[at[p]] = _Cut(ids, drawn, own)
+        self.n_known += len(places)
+        return [cut.after[k] for cut, k in zip(cuts, at)]
 
     def _span(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        known = self.known.get
-        cuts = [self.space if c == SPACE else known(c) or self._first(c) for c in chunks]
+        cuts = self._firsts(chunks)
         out = [c.ids for c in cuts]
         places = np.arange(len(cuts))
         while self.below and len(cuts):
@@ -181,7 +291,7 @@ class Encoder:
             k = hit[first] - (np.cumsum(n) - n)[owner]
             places, keys = places[owner], keys[owner]
             at = places.tolist()
-            cuts = [self._next(cuts[o], chunks[p], j) for o, p, j in zip(owner.tolist(), at, k.tolist())]
+            cuts = self._nexts([cuts[o] for o in owner.tolist()], [chunks[p] for p in at], k.tolist())
             for p, c in zip(at, cuts):
                 out[p] = c.ids
         return out

@@ -306,3 +306,16 @@ def test_archives_are_packed_fast(spark, tmp_path):
     sizes = [sum(p.stat().st_size for p in (tmp_path / n).glob("part-*.gz")) for n in ("fast", "usual")]
     assert sizes[0] > sizes[1] > 0
     assert sorted(spark.read.text(fast).collect()) == sorted(spark.read.text(usual).collect())
+
+
+def test_chunks_merged_together_are_cut_as_each_alone():
+    rng = random.Random(12)
+    pieces = subwords.Pieces(subwords.default_model())
+    chunks = [(" " if rng.random() < 0.7 else "") + "".join(rng.choice("etaoinsré—7☃") for _ in range(rng.randrange(1, 70))) for _ in range(900)]
+    chunks += [" word", "word", "\n", ""] * 12
+    skips = [tuple(sorted(rng.sample(range(6), rng.randrange(4)))) for _ in chunks]
+    found = pieces.segment_all(chunks, skips)
+    for chunk, own, (ids, drawn) in zip(chunks, skips, found):
+        one, every = pieces.segment(chunk, own)
+        assert np.frombuffer(ids, "<u4").tolist() == one
+        assert np.frombuffer(drawn, "<u8").tolist() == every[own[-1] + 1 if own else 0 :]
