@@ -8,8 +8,8 @@ decoding gives back the very text. Letters the vocabulary lacks, line breaks amo
 bytes; so is the letter that stands for the space, where a text itself holds it.
 
 Pieces do not reach from another letter over a following space or over a line break, so texts are merged
-chunk by chunk. Workers remember what follows from a chunk and the candidates skipped in it, never a draw: the
-candidates of many occurrences are drawn at once, and those with a skip go on from what follows it.
+chunk by chunk. Workers remember the ids and candidates of a chunk without skips, never a draw: the candidates of many
+occurrences are drawn at once, and occurrences with a skip are merged once more, each with its own draws.
 
 Results on edge cases: a null or empty text has no ids and decodes to an empty text; equal texts of
 different documents may be cut differently, equal rows are cut alike; a null ``doc_id`` stays null; an
@@ -18,7 +18,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import array
 import gc
 import heapq
 import re
@@ -31,15 +30,15 @@ from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Chunks, with and without skips, a worker remembers: bounds its memory, not its results.
+#: Chunks a worker remembers: bounds its memory, not its results.
 REMEMBERED = 600_000
 SPACE = "▁"
 
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _MASK = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-#: Chunks of one length up to the first number are merged together, where they are as many as the second.
-_WIDE, _MANY = 64, 8
+#: Chunks of up to so many letters are merged together.
+_WIDE = 64
 #: Rows of a matrix at most.
 _ROWS = 4096
 _SLICE = 128
@@ -65,6 +64,10 @@ def _mixed_all(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _below(x: np.ndarray, bound: int) -> np.ndarray:
+    return (_mixed_all(x) >> np.uint64(32)) < np.uint64(bound)
+
+
 class Pieces:
     """A model's vocabulary."""
 
@@ -102,10 +105,11 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.content[i] = bytes([b])
 
-    def segment(self, chunk: str, skips: tuple[int, ...] = ()) -> tuple[list[int], list[int]]:
+    def segment(self, chunk: str, skips: tuple[int, ...] = (), key: int = 0, below: int = 0) -> tuple[list[int], list[int]]:
         """Ids of a chunk without the letter for the space, if the candidates of these numbers are skipped.
 
-        And per candidate, in the order they reach the top, a number for its piece and place.
+        And per candidate, in the order they reach the top, a number for its piece and place. Those that ``key`` draws
+        ``below`` are skipped, too.
         """
         own = chunk.replace(" ", SPACE)
         symbols: list[str | None] = list(own)
@@ -125,7 +129,7 @@ class Pieces:
             if left is None or right is None or len(left) + len(right) != size or after[i] != j:
                 continue
             drawn.append(((int(r) * _A) ^ (i * _C)) & _MASK)
-            if len(drawn) - 1 in skips:
+            if len(drawn) - 1 in skips or (below and _mixed(key ^ drawn[-1]) >> 32 < below):
                 continue
             symbols[i], symbols[j] = left + right, None
             k = after[i] = after[j]
@@ -148,32 +152,48 @@ class Pieces:
         return out, drawn
 
     def segment_all(self, chunks: list[str], skips: list[tuple[int, ...]]) -> list[tuple[bytes, bytes]]:
-        """``segment`` of many chunks at once, as bytes; of the candidates only those behind the last skip.
+        """``segment`` of many chunks at once, as bytes; of the candidates only those behind the last skip."""
+        found: list[tuple[bytes, bytes]] = [(b"", b"")] * len(chunks)
+        for places, ids, n_ids, drawn, n_drawn in self.cut_all(chunks, skips):
+            ends, stops = np.cumsum(n_ids), np.cumsum(n_drawn)
+            for p, a, b, c, d in zip(places.tolist(), ends - n_ids, ends, stops - n_drawn, stops):
+                found[p] = ids[a:b].tobytes(), drawn[c + (skips[p][-1] + 1 if skips[p] else 0) : d].tobytes()
+        return found
+
+    def cut_all(
+        self, chunks: list[str], skips: list[tuple[int, ...]] | None = None, keys: np.ndarray | None = None, below: int = 0
+    ) -> Iterator[tuple[np.ndarray, ...]]:
+        """``segment`` of many chunks, in parts: places of chunks, their ids and how many each, and so their candidates.
 
-        Chunks of one length are the rows of a matrix, which holds the score of every symbol with the next; every step
-        takes the best candidate of each row.
+        Chunks of about one length are the rows of a matrix, which holds the score of every symbol with the next; every
+        step takes the best candidate of each row. With ``keys`` candidates are drawn, and none are given back.
         """
-        found: list[tuple[bytes, bytes] | None] = [None] * len(chunks)
-        groups: dict[int, list[int]] = {}
-        for at, chunk in enumerate(chunks):
-            groups.setdefault(len(chunk), []).append(at)
-        for n, places in groups.items():
-            if 0 < n <= _WIDE and len(places) >= _MANY:
-                letters = np.frombuffer("".join([chunks[p] for p in places]).encode("utf-32-le"), "<u4").reshape(-1, n)
-                symbols = self.letters[letters]
-                named = (self.own_id[symbols] >= 0).all(axis=1)
-                rows = [p for p, known in zip(places, named.tolist()) if known]
-                symbols = symbols[named]
-                for a in range(0, len(rows), _ROWS):
-                    part = rows[a : a + _ROWS]
-                    for p, cut in zip(part, self._merged(symbols[a : a + _ROWS], [skips[p] for p in part])):
-                        found[p] = cut
-        for at, cut in enumerate(found):
-            if cut is None:
-                ids, drawn = self.segment(chunks[at], skips[at])
-                drawn = drawn[skips[at][-1] + 1 :] if skips[at] else drawn
-                found[at] = array.array("I", ids).tobytes(), array.array("Q", drawn).tobytes()
-        return found
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(sizes, kind="stable")
+        wide = sizes[order] > _WIDE
+        alone, order = [order[wide]], order[~wide]
+        for a in range(0, len(order), _ROWS):
+            places = order[a : a + _ROWS]
+            letters = np.frombuffer("".join([chunks[p] for p in places.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+            held = np.arange(sizes[places[-1]]) < sizes[places][:, None]
+            # A column at either end stands for the edge: it joins nothing.
+            symbols = np.zeros((len(places), held.shape[1] + 2), np.int64)
+            symbols[:, 1:-1][held] = self.letters[letters]
+            named = ((self.own_id[symbols[:, 1:-1]] >= 0) | ~held).all(axis=1)
+            alone.append(places[~named])
+            places = places[named]
+            own = [skips[p] for p in places.tolist()] if skips else None
+            yield places, *self._merged(symbols[named], own, None if keys is None else keys[places], below)
+        places = np.concatenate(alone)
+        cuts = [self.segment(chunks[p], skips[p] if skips else (), 0 if keys is None else int(keys[p]), below) for p in places.tolist()]
+        yield places, *(
+            part
+            for k, kind in enumerate((np.uint32, np.uint64))
+            for part in (
+                np.fromiter((x for c in cuts for x in c[k]), kind, sum(len(c[k]) for c in cuts)),
+                np.fromiter((len(c[k]) for c in cuts), np.int64, len(cuts)),
+            )
+        )
 
     def _joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of two symbols as one, infinite if they are no piece, and that piece."""
@@ -182,68 +202,84 @@ class Pieces:
         fits = self.pairs[at] == key
         return np.where(fits, self.pair_rank[at], np.inf), self.pair_symbol[at]
 
-    def _merged(self, symbols: np.ndarray, skips: list[tuple[int, ...]]) -> list[tuple[bytes, bytes]]:
-        count, n = symbols.shape
-        # A last column stands for the end: it joins nothing.
-        symbols = np.concatenate([symbols, np.zeros((count, 1), np.int64)], axis=1)
-        score, joined = self._joins(symbols[:, :-1], symbols[:, 1:])
-        after = np.tile(np.arange(1, n + 1), (count, 1))
-        before = np.tile(np.arange(-1, n), (count, 1))
-        live = np.ones((count, n), bool)
-        width = max(map(len, skips)) + 1
-        wanted = np.full((count, width), -1, np.int64)
-        for row, own in enumerate(skips):
-            if own:
-                wanted[row, : len(own)] = own
-        met, passed = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        n_skips = np.fromiter(map(len, skips), np.int64, count)
+    def _merged(
+        self, symbols: np.ndarray, skips: list[tuple[int, ...]] | None, keys: np.ndarray | None, below: int
+    ) -> tuple[np.ndarray, ...]:
+        count, width = symbols.shape
+        symbols = np.ascontiguousarray(symbols).ravel()
+        live = symbols > 0
+        places = np.arange(count * width)
+        after, before = places + 1, places - 1
+        score, joined = np.full(count * width, np.inf), np.zeros(count * width, np.int64)
+        first = np.flatnonzero(live)
+        score[first], joined[first] = self._joins(symbols[first], symbols[first + 1])
+        table = score.reshape(count, width)
+        if skips is not None:
+            last = max((own[-1] + 1 for own in skips if own), default=0)
+            wanted = np.zeros((count, last + 1), bool)
+            for row, own in enumerate(skips):
+                wanted[row, list(own)] = True
         owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        rows = np.arange(count)
+        rows, step = np.arange(count), 0
         while True:
-            best = score[rows].argmin(axis=1)
-            top = score[rows, best]
+            best = table[rows].argmin(axis=1)
+            at = rows * width + best
+            top = score[at]
             going = top < np.inf
-            rows, best, top = rows[going], best[going], top[going]
+            if not going.all():
+                rows, best, at, top = rows[going], best[going], at[going], top[going]
             if not len(rows):
                 break
-            free = passed[rows] == n_skips[rows]
-            owners.append(rows[free])
-            values.append((top[free].astype(np.int64).astype(np.uint64) * np.uint64(_A)) ^ (best[free].astype(np.uint64) * np.uint64(_C)))
-            skip = ~free & (wanted[rows, passed[rows]] == met[rows])
-            met[rows] += 1
-            passed[rows[skip]] += 1
-            score[rows[skip], best[skip]] = np.inf
-            own, i = rows[~skip], best[~skip]
-            j = after[own, i]
-            symbols[own, i] = joined[own, i]
-            live[own, j] = False
-            score[own, j] = np.inf
-            k = after[own, j]
-            after[own, i] = k
-            before[own, k] = i
-            score[own, i], joined[own, i] = self._joins(symbols[own, i], symbols[own, k])
-            h = before[own, i]
-            own, i, h = own[h >= 0], i[h >= 0], h[h >= 0]
-            score[own, h], joined[own, h] = self._joins(symbols[own, h], symbols[own, i])
-        ids = self.own_id[symbols[:, :n][live]].astype("<u4").tobytes()
-        ends = [0, *(4 * np.cumsum(live.sum(axis=1))).tolist()]
+            value = (top.astype(np.int64).astype(np.uint64) * np.uint64(_A)) ^ ((best - 1).astype(np.uint64) * np.uint64(_C))
+            if keys is None:
+                owners.append(rows)
+                values.append(value)
+            i = at
+            if keys is not None or skips is not None:
+                # A row has met as many candidates as there were steps.
+                skip = _below(value ^ keys[rows], below) if keys is not None else wanted[rows, min(step, last)]
+                score[at[skip]] = np.inf
+                i = at[~skip]
+            step += 1
+            j = after[i]
+            symbols[i] = joined[i]
+            live[j] = False
+            score[j] = np.inf
+            k, h = after[j], before[i]
+            after[i], before[k] = k, i
+            left = np.concatenate([i, h])
+            score[left], joined[left] = self._joins(symbols[left], symbols[np.concatenate([k, i])])
+        ids = self.own_id[symbols[live]].astype(np.uint32)
         owner = np.concatenate(owners)
-        drawn = np.concatenate(values)[np.argsort(owner, kind="stable")].astype("<u8").tobytes()
-        stops = [0, *(8 * np.cumsum(np.bincount(owner, minlength=count))).tolist()]
-        return [(ids[a:b], drawn[c:d]) for a, b, c, d in zip(ends, ends[1:], stops, stops[1:])]
+        drawn = np.concatenate(values)[np.argsort(owner, kind="stable")]
+        return ids, live.reshape(count, width).sum(axis=1), drawn, np.bincount(owner, minlength=count)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.content.__getitem__, ids)).decode()[1:]
 
 
-class _Cut:
-    """A chunk's ids after some skips, if no further candidate is skipped; ``drawn`` are the further candidates."""
+class _Runs:
+    """Arrays one behind the other; room for more is kept."""
+
+    def __init__(self, kind: type):
+        self.values, self.filled = np.zeros(1024, kind), 0
+        self.starts, self.lengths, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
 
-    __slots__ = ("ids", "drawn", "n", "skips", "after")
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        end, n = self.filled + len(values), self.n + len(lengths)
+        if end > len(self.values):
+            self.values = np.concatenate([self.values[: self.filled], np.zeros(end, self.values.dtype)])
+        if n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x[: self.n], np.zeros(n, np.int64)]) for x in (self.starts, self.lengths))
+        self.values[self.filled : end] = values
+        self.starts[self.n : n] = self.filled + np.cumsum(lengths) - lengths
+        self.lengths[self.n : n] = lengths
+        self.filled, self.n = end, n
 
-    def __init__(self, ids: bytes, drawn: bytes, skips: tuple[int, ...]):
-        self.ids, self.drawn, self.n = ids, drawn, len(drawn) // 8
-        self.skips, self.after = skips, None
+
+def _picked(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return values[np.arange(lengths.sum()) + np.repeat(shift, lengths)]
 
 
 class Encoder:
@@ -252,49 +288,47 @@ class Encoder:
             raise ValueError("dropout lies in [0, 1), and one chunk or more is remembered")
         self.pieces, self.seed, self.remembered = Pieces(path), seed, remembered
         self.below = int(dropout * (1 << 32))
-        self.known: dict[str, _Cut] = {}
-        self.n_known = 0
-        self.space = _Cut(array.array("I", [self.pieces.byte_ids[b] for b in SPACE.encode()]).tobytes(), b"", ())
+        self.clear()
+
+    def clear(self) -> None:
+        # The letter for the space in a text comes first: it is written as bytes.
+        self.known: dict[str, int] = {SPACE: 0}
+        self.ids, self.drawn = _Runs(np.uint32), _Runs(np.uint64)
+        letter = np.array([self.pieces.byte_ids[b] for b in SPACE.encode()], np.uint32)
+        self.ids.add(letter, np.array([len(letter)]))
+        self.drawn.add(np.zeros(0, np.uint64), np.zeros(1, np.int64))
 
-    def _firsts(self, chunks: list[str]) -> list[_Cut]:
+    def _learn(self, chunks: list[str]) -> None:
         known = self.known
-        new = list({c for c in chunks if c not in known and c != SPACE})
-        for chunk, (ids, drawn) in zip(new, self.pieces.segment_all(new, [()] * len(new))):
-            known[chunk] = _Cut(ids, drawn, ())
-        self.n_known += len(new)
-        return [self.space if c == SPACE else known[c] for c in chunks]
-
-    def _nexts(self, cuts: list[_Cut], chunks: list[str], at: list[int]) -> list[_Cut]:
-        """What follows each cut if the further candidate of this number is skipped."""
-        new: dict[tuple[int, int], int] = {}
-        for number, (cut, k) in enumerate(zip(cuts, at)):
-            if cut.after is None:
-                cut.after = {}
-            if k not in cut.after:
-                new.setdefault((id(cut), k), number)
-        places = list(new.values())
-        skips = [(*cuts[p].skips, at[p] + (cuts[p].skips[-1] + 1 if cuts[p].skips else 0)) for p in places]
-        for p, own, (ids, drawn) in zip(places, skips, self.pieces.segment_all([chunks[p] for p in places], skips)):
-            cuts[p].after[at[p]] = _Cut(ids, drawn, own)
-        self.n_known += len(places)
-        return [cut.after[k] for cut, k in zip(cuts, at)]
+        new = list({c for c in chunks if c not in known})
+        for places, ids, n_ids, drawn, n_drawn in self.pieces.cut_all(new):
+            known.update(zip([new[p] for p in places.tolist()], range(self.ids.n, self.ids.n + len(places))))
+            self.ids.add(ids, n_ids)
+            self.drawn.add(drawn, n_drawn)
+
+    def _cut(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has."""
+        self._learn(chunks)
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        starts, lengths = self.ids.starts[number], self.ids.lengths[number]
+        n = self.drawn.lengths[number]
+        x = _picked(self.drawn.values, self.drawn.starts[number], n) ^ np.repeat(keys, n)
+        skipped = np.zeros(len(chunks), bool)
+        skipped[np.repeat(np.arange(len(chunks)), n)[_below(x, self.below)]] = True
+        others = np.flatnonzero(skipped)
+        values = [self.ids.values[: self.ids.filled]]
+        end = self.ids.filled
+        for places, ids, n_ids, _, _ in self.pieces.cut_all([chunks[p] for p in others.tolist()], None, keys[others], self.below):
+            values.append(ids)
+            lengths[others[places]] = n_ids
+            starts[others[places]] = end + np.cumsum(n_ids) - n_ids
+            end += len(ids)
+        return _picked(np.concatenate(values), starts, lengths), lengths
 
     def _span(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        cuts = self._firsts(chunks)
-        out = [c.ids for c in cuts]
-        places = np.arange(len(cuts))
-        while self.below and len(cuts):
-            n = np.fromiter((c.n for c in cuts), np.int64, len(cuts))
-            x = np.frombuffer(b"".join([c.drawn for c in cuts]), "<u8") ^ np.repeat(keys, n)
-            hit = np.flatnonzero((_mixed_all(x) >> np.uint64(32)) < np.uint64(self.below))
-            owner, first = np.unique(np.repeat(np.arange(len(cuts)), n)[hit], return_index=True)
-            k = hit[first] - (np.cumsum(n) - n)[owner]
-            places, keys = places[owner], keys[owner]
-            at = places.tolist()
-            cuts = self._nexts([cuts[o] for o in owner.tolist()], [chunks[p] for p in at], k.tolist())
-            for p, c in zip(at, cuts):
-                out[p] = c.ids
-        return out
+        ids, n = self._cut(chunks, keys)
+        ends = np.cumsum(n)
+        return [ids[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist())]
 
     def encode_all(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
         chunks: list[str] = []
@@ -309,19 +343,22 @@ class Encoder:
                 chunks += found
             ends.append(len(chunks))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        out: list[bytes] = []
+        out, counts = [], [np.zeros(1, np.int64)]
         for at in range(0, len(chunks), _SPAN):
-            out += self._span(chunks[at : at + _SPAN], key[at : at + _SPAN])
+            ids, n = self._cut(chunks[at : at + _SPAN], key[at : at + _SPAN])
+            out.append(ids.astype("<u4").tobytes())
+            counts.append(n)
             self.forget()
-        return [b"".join(out[a:b]) for a, b in zip(ends, ends[1:])]
+        ids = b"".join(out)
+        stops = (4 * np.cumsum(np.concatenate(counts)))[ends].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
     def encode(self, doc_id: int | None, text: str) -> bytes:
         return self.encode_all([(doc_id, text)])[0]
 
     def forget(self) -> None:
-        if self.n_known > self.remembered:
-            self.known.clear()
-            self.n_known = 0
+        if len(self.known) > self.remembered:
+            self.clear()
 
 
 _encoders: dict[tuple, Encoder] = {}

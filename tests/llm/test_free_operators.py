@@ -319,3 +319,17 @@ def test_chunks_merged_together_are_cut_as_each_alone():
         one, every = pieces.segment(chunk, own)
         assert np.frombuffer(ids, "<u4").tolist() == one
         assert np.frombuffer(drawn, "<u8").tolist() == every[own[-1] + 1 if own else 0 :]
+
+
+def test_a_chunk_is_merged_twice_at_most_however_many_skips_it_has(monkeypatch):
+    encoder = subwords.Encoder(subwords.default_model(), 3, 0.3)
+    rng = random.Random(5)
+    chunk = " " + "".join(rng.choice("etaoinsr") for _ in range(2000))
+    key = np.array([7], np.uint64)
+    calls = []
+    segment = encoder.pieces.segment
+    monkeypatch.setattr(encoder.pieces, "segment", lambda *a: calls.append(1) or segment(*a))
+    found = encoder._span([chunk], key)
+    assert len(calls) == 2
+    monkeypatch.undo()
+    assert found == [np.array(brute_skips(encoder.pieces, chunk, 7, encoder.below), "<u4").tobytes()]
